@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,14 +52,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """Joins left, in which one key may hold most rows, to right, which has a row per key.
 
     Keys with more than 1/HOT_SLICES of left's rows (at most HOT_SLICES of them, so their list may be
-    broadcast) are dealt over several salts, with a copy of right's row for each. left is read twice and
-    should be cheap to read. Null keys match nothing."""
-    share = max(left.count() // HOT_SLICES, MIN_HOT_ROWS)
-    hot = left.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
+    broadcast) are dealt over several salts, with a copy of right's row for each. Keys are counted in
+    `counted`, a table that holds left's keys as often as left or oftener, or else in left; it should be cheap
+    to read. Null keys match nothing."""
+    counted = left if counted is None else counted
+    share = max(counted.count() // HOT_SLICES, MIN_HOT_ROWS)
+    hot = counted.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
     hot = materialise(hot.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_n")).coalesce(1), "hot")
     if not hot.head(1):
         return left.join(right, on, how)
@@ -68,8 +72,17 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") ->
     return dealt.join(copied, [on, "_salt"], how).drop("_salt")
 
 
-def narrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keeps Arrow batches of long texts small: at most `rows` rows each, unless the session already asks for fewer."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession, rows: int = 256) -> None:
+    """Before functions of this package run in tasks: sends the package to the executors, once an application, and
+    keeps Arrow batches of long texts small (`rows` rows each, unless the session already asks for fewer)."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/sottovoce", "zip", root, "sottovoce"))
+        _SHIPPED.add(app)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

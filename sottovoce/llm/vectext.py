@@ -86,3 +86,84 @@ def words(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     return mix((total[to + 1] - total[at]) * down[at] + (to - at).astype(np.uint64)), np.searchsorted(at, starts)
+
+
+_LETTERS = np.full(256, 0x20, dtype=np.uint8)
+_LETTERS[97:123] = np.arange(97, 123)
+_LETTERS[65:91] = np.arange(97, 123)
+_LETTERS[128:] = np.arange(128, 256)
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """ASCII other than letters to spaces, A-Z to a-z; other bytes as they are."""
+    return _LETTERS[data]
+
+
+def grams(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """For each byte, it and the n - 1 bytes before it within its row (before a row there are spaces), packed into an integer; n is at most 7."""
+    rows = len(starts) - 1
+    padded = np.full(len(data) + rows * (n - 1), 0x20, np.uint8)
+    places = np.arange(len(data)) + np.repeat(np.arange(1, rows + 1), np.diff(starts)) * (n - 1)
+    padded[places] = data
+    out = np.zeros(len(data), np.uint64)
+    wide = padded.astype(np.uint64)
+    packed = np.zeros(max(len(padded) - n + 1, 0), np.uint64)
+    for k in range(n):
+        packed = packed << np.uint64(8) | wide[k : k + len(packed)]
+    out[:] = packed[places - (n - 1)]
+    return out
+
+
+def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the values of each row; 0 for an empty row."""
+    out = np.zeros((len(starts) - 1, *values.shape[1:]), np.float64)
+    full = np.flatnonzero(np.diff(starts) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[full], axis=0, dtype=np.float64)
+    return out
+
+
+def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Adds up (keys, counts) tables by key; counts may have columns."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.concatenate([c for _, c in parts])
+    out = np.zeros((len(keys), *counts.shape[1:]), counts.dtype)
+    np.add.at(out, back, counts)
+    return keys, out
+
+
+class Places:
+    """Finds where keys stand in a given list of distinct keys: an array of slots, with a further one for keys whose slot is taken."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.layers: list[tuple[np.ndarray, np.ndarray, np.uint64, np.uint64]] = []
+        left, at, seed = keys.astype(np.uint64), np.arange(len(keys), dtype=np.int32), 0
+        while len(left):
+            bits = max(8, int(len(left) * 3).bit_length())
+            salt, shift = np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64)), np.uint64(64 - bits)
+            slot = (mix(left ^ salt) >> shift).astype(np.int64)
+            slots, held = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.uint64)
+            slots[slot] = at
+            held[slot] = left
+            self.layers.append((slots, held, salt, shift))
+            kept = slots[slot] == at
+            left, at, seed = left[~kept], at[~kept], seed + 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not listed."""
+        out = np.full(len(keys), -1, np.int32)
+        open_ = None
+        for slots, held, salt, shift in self.layers:
+            asked = keys if open_ is None else keys[open_]
+            slot = (mix(asked ^ salt) >> shift).astype(np.int64)
+            place = slots[slot]
+            same = (held[slot] == asked) & (place >= 0)
+            if open_ is None:
+                out[same] = place[same]
+                open_ = np.flatnonzero(~same & (place >= 0))
+            else:
+                out[open_[same]] = place[same]
+                open_ = open_[~same & (place >= 0)]
+            if not len(open_):
+                break
+        return out
