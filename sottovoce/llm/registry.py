@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sottovoce.llm import decontaminate, exact_dedup, sharding
+from sottovoce.llm import bpe, decontaminate, exact_dedup, near_dedup, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op3_bpe": bpe.op3_bpe,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sharding": sharding.op8_sharding,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
     }
 
 
