@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sottovoce.llm import bpe, decontaminate, exact_dedup, near_dedup, sharding, toxicity
+from sottovoce.llm import bpe, decontaminate, exact_dedup, language, licenses, near_dedup, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_licenses": licenses.op2_licenses,
         "op3_bpe": bpe.op3_bpe,
+        "op4_warc": warc.op4_warc,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_language": language.op6_language,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_quality": quality.op10_quality,
     }
 
 
