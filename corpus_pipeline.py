@@ -1,27 +1,48 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, decontamination, encoding; each stage works on what the one before kept."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, benchmark decontamination, encoding; each stage works on what the one before kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sottovoce.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from sottovoce.llm.common import materialise, table
-from sottovoce.llm.decontaminate import decontaminate
-from sottovoce.llm.exact_dedup import dedup
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go; the models learn from the labelled ones among docs."""
+    return toxicity.reject(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
-    return dedup(docs)
+    return exact_dedup.dedup(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the row with the smallest doc_id stays."""
+    return near_dedup.dedup(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words are benchmark passages go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the ids (little-endian, 32 bits each) of what is left."""
+    return bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
 
 
-STAGES = [("exact dedup", exact_copies), ("benchmark decontamination", benchmark_passages)]
+STAGES = [
+    ("toxicity", toxic),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("byte-level BPE", encoded),
+]
 
-#: SQL can't express the scorer, the near-duplicate groups by sketch, or the encoding.
+#: SQL can't express the toxicity models, the near-duplicate groups of whole tables, or the encoding.
 ORACLE_SQL = None
 
 
