@@ -72,6 +72,18 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", co
     return dealt.join(copied, [on, "_salt"], how).drop("_salt")
 
 
+def maybe_in(df: DataFrame, key: str, needed: DataFrame, words: int) -> DataFrame:
+    """The rows of df whose bigint key is in needed (a table of one such column, any name), and some others: keys are
+    looked up by hash in a bitmap of words * 64 bits, which is all that is broadcast, however many keys are needed."""
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(words * 64))
+    bit = lambda c: F.expr(f"cast(pmod(xxhash64(cast(`{c}` as bigint)), 64) as int)")
+    (k,) = needed.columns
+    bits = needed.select(F.floor(spot(k) / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(k)).alias("_bits"))
+    bitmap = materialise(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).coalesce(1), "bitmap")
+    found = df.withColumn("_word", F.floor(spot(key) / 64).cast("int")).join(F.broadcast(bitmap), "_word")
+    return found.where(F.getbit("_bits", bit(key)) == 1).drop("_word", "_bits")
+
+
 _SHIPPED: set[str] = set()
 
 

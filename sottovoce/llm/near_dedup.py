@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sottovoce.llm import vectext
-from sottovoce.llm.common import discard, materialise, prepare, skew_join, table
+from sottovoce.llm.common import discard, materialise, maybe_in, prepare, skew_join, table
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -131,9 +131,15 @@ def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
     return pd.Series(jaccard((x > y).sum(1), (x < y).sum(1), n_a.to_numpy(float), n_b.to_numpy(float)))
 
 
+def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row (row, text) for each needed row, and some more: documents are picked by a bitmap of fixed size over the hashes of the needed ones."""
+    text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    picked = maybe_in(text, "row", needed, BITMAP_WORDS)
+    return materialise(picked.dropDuplicates(["row"]), "texts")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Of the node pairs (a, b), those whose full sets reach the threshold."""
-    spark = docs.sparkSession
     estimate = F.pandas_udf(_estimate, "double")
     about = nodes.select("node", "registers", "n", "row")
     side = {s: about.select(*[F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in about.columns]) for s in "ab"}
@@ -141,15 +147,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     sized = skew_join(skew_join(pairs, side["b"], "b"), side["a"], "a", counted=pairs).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = sized.where(estimate("registers_a", "registers_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b", "row_a", "row_b")
     likely = materialise(likely, "likely")
-    # the texts that a pair needs, by a bitmap of fixed size and then by the join itself
-    needed = likely.select(F.col("row_a").alias("row")).union(likely.select("row_b"))
-    bit = F.pmod(F.col("row"), F.lit(BITMAP_WORDS * 64))
-    bitmap = needed.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(row, 64) as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    bitmap = materialise(bitmap.coalesce(1), "bitmap")  # at most BITMAP_WORDS rows
-    text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).withColumn("word", F.floor(bit / 64).cast("int"))
-    picked = text.join(F.broadcast(bitmap), "word").where("getbit(bits, cast(pmod(row, 64) as int)) = 1").select("row", "text")
-    texts = materialise(picked.dropDuplicates(["row"]), "texts")
-    prepare(spark)
+    texts = _texts(docs, likely.select(F.col("row_a").alias("row")).union(likely.select("row_b")), id_col, text_col)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +192,9 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.posexplode_outer(F.array(*keys)).alias("band", "key"))
 
 
-def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between different components within a bucket (step 3)."""
+def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Links between different components within a bucket (step 3). A node that links to a component once is not compared to the rest of it in that block."""
+    spark = docs.sparkSession
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = materialise(labelled.select("node", "band", "key", "label"), "labelled")
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -207,27 +207,54 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
     stands = rows.select("node", "band", "key", "label", F.lit(0).alias("asks"), F.explode_outer(every("nq")).alias("q"), own("ns").alias("s"))
     asks = rows.where("label <> major").select("node", "band", "key", "label", F.lit(1).alias("asks"), own("nq").alias("q"), F.explode_outer(every("ns")).alias("s"))
     placed = materialise(stands.union(asks), "placed")
-    full = skew_join(placed, nodes.select("node", "registers", "n"), "node")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        out, band = [], int(frame["band"].iloc[0])
-        ask, stand = frame[frame["asks"] == 1], frame[frame["asks"] == 0]
-        if not len(ask) or not len(stand):
-            return pd.DataFrame({"a": [], "b": []})
-        names = stand["node"].to_numpy()
-        y = np.frombuffer(b"".join(stand["registers"]), np.uint16).reshape(-1, REGISTERS)
-        n_y, of = stand["n"].to_numpy(float), stand["label"].to_numpy()
-        for node, registers, n, label in zip(ask["node"], ask["registers"], ask["n"], ask["label"], strict=True):
-            x = np.frombuffer(registers, np.uint16)
-            equal = y == x
-            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band  # a pair is taken in its first common band
-            fit = np.flatnonzero(first & (of != label) & (equal.sum(1) >= REGISTERS * (percent / 100 - 2 * MARGIN)) & (100 * np.minimum(n, n_y) >= percent * np.maximum(n, n_y)))
-            if len(fit):
-                near = jaccard((x > y[fit]).sum(1), (x < y[fit]).sum(1), np.full(len(fit), float(n)), n_y[fit]) >= percent / 100 - MARGIN
-                out += [(min(node, names[i]), max(node, names[i])) for i in fit[near]]
+    full = skew_join(placed, nodes.select("node", "registers", "n", "row"), "node")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # blocks are few bytes but long to compare, so they are not packed by size
+
+    def likely(frame: pd.DataFrame) -> pd.DataFrame:
+        """Askers with the places of those that they may link to, most alike first, and all that are asked."""
+        band, ask, stand = int(frame["band"].iloc[0]), frame[frame["asks"] == 1], frame[frame["asks"] == 0].reset_index(drop=True)
+        partners, wanted = [], set()
+        if len(ask) and len(stand):
+            y = np.frombuffer(b"".join(stand["registers"]), np.uint16).reshape(-1, REGISTERS)
+            n_y, of = stand["n"].to_numpy(float), stand["label"].to_numpy()
+            for registers, n, label in zip(ask["registers"], ask["n"], ask["label"], strict=True):
+                fit = np.flatnonzero((of != label) & (100 * np.minimum(n, n_y) >= percent * np.maximum(n, n_y)))
+                x, z = np.frombuffer(registers, np.uint16), y[fit]
+                equal = z == x
+                first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band  # a pair is taken in its first common band
+                near = first & (equal.sum(1) >= REGISTERS * (percent / 100 - 2 * MARGIN))
+                fit, z = fit[near], z[near]
+                guess = jaccard((x > z).sum(1), (x < z).sum(1), np.full(len(fit), float(n)), n_y[fit])
+                fit = fit[np.argsort(-guess, kind="stable")][: int((guess >= percent / 100 - MARGIN).sum())]
+                partners.append(fit.tolist())
+                wanted.update(partners[-1])
+        stand = stand.iloc[sorted(wanted)].assign(place=sorted(wanted), partners=[[]] * len(wanted))
+        ask = ask.assign(place=-1, partners=partners or [[]] * len(ask))
+        return pd.concat([stand, ask[ask["partners"].map(len) > 0]])[["key", "q", "s", "node", "label", "row", "place", "partners"]]
+
+    met = materialise(full.repartition(tasks, "key", "q", "s").groupBy("key", "q", "s").applyInPandas(likely, "key long, q int, s int, node binary, label binary, row long, place int, partners array<int>"), "met")
+    texts = _texts(docs, met.select("row"), id_col, text_col)
+
+    def confirmed(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = [x for some in shingle_sets(pa.array(frame["text"], pa.large_string()), width) for x in some]
+        at = {p: i for i, p in enumerate(frame["place"]) if p >= 0}
+        node, label, out = frame["node"].tolist(), frame["label"].tolist(), []
+        for i, partners in enumerate(frame["partners"]):
+            linked: set[bytes] = set()
+            for j in (at[p] for p in partners):
+                if label[j] in linked:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    linked.add(label[j])
+                    out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return full.groupBy("key", "q", "s").applyInPandas(compare, "a binary, b binary").distinct()
+    whole = skew_join(met, texts, "row").repartition(tasks, "key", "q", "s")
+    links = materialise(whole.groupBy("key", "q", "s").applyInPandas(confirmed, "a binary, b binary"), "links")
+    for used in (labelled, placed, met, texts):
+        discard(used)
+    return links
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -244,11 +271,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     pairs = materialise(stars, "pairs")
     links = verified(pairs, nodes, docs, id_col, text_col, width, percent)
     labels = components(links)
-    crossing = materialise(_crossing(buckets, labels, nodes, percent).join(pairs, ["a", "b"], "left_anti"), "crossing")
-    if crossing.head(1):
-        more = verified(crossing, nodes, docs, id_col, text_col, width, percent)
-        if more.head(1):
-            labels = components(links.union(more))
+    more = _crossing(buckets, labels, nodes, docs, id_col, text_col, width, percent)
+    if more.head(1):
+        labels = components(links.union(more))
     discard(buckets)
     named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = materialise(named, "named")
