@@ -1,15 +1,284 @@
-"""The registered queries of the disclosure engine and their SQL."""
+"""The registered queries of the disclosure engine and their SQL.
+
+Doubles are quantised by floor(x * 1e4 + 0.5) / 1e4 in both engines; counts are bigint."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sottovoce.functions import audio, numbers, text
+from sottovoce.operators import audit, fusion, keywords, outbox, reporting, semantic, state
+from sottovoce.operators.fusion import quantised
+from sottovoce.sources.policy import SUFFIXES, Policy
+
+AS_OF = "2024-02-01 00:00:00"
+_IBAN_ROWS = [(1, "wire to de89370400440532013000 today"), (2, "gb29 nwbk 6016 1331 9268 19 is the account"), (3, "nothing here"), (4, "fr14 2004 1010 0505 0001 3m02 606")]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def normal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", text.normalize(F.col("text"), latin=True).alias("normal"))
+
+
+def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = normal_documents(spark, sf_dir)
+    return n.select("doc_id", F.sha2("normal", 256).alias("normal_sha256"), F.length("normal").cast("bigint").alias("n_chars"))
+
+
+def norm_text_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 by Python for texts beyond Latin, and T8."""
+    n = text.normalize(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", n.alias("normal")).select("doc_id", "normal", text.skeleton(F.col("normal")).alias("skeleton"))
+
+
+def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.dominant_script(F.col("text")).alias("script"), text.is_rtl(F.col("text")).alias("is_rtl"))
+
+
+def phrase_hits_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.exact_hits(normal_documents(spark, sf_dir), Policy.example(), "doc_id", "normal").select("doc_id", "category", "phrase", "weight", "lang")
+
+
+def phrase_hits_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = keywords.exact_array(normal_documents(spark, sf_dir), Policy.example(), "doc_id", "normal")
+    ranked = hits.select("doc_id", keywords.ranked(keywords.suppress(F.col("hits"))).alias("m"))
+    return ranked.select("doc_id", F.size("m").cast("bigint").alias("n_matches"), F.get("m", F.lit(0))["weight"].alias("score"), F.array_join(F.array_sort(F.transform("m", lambda m: m["phrase"])), "|").alias("phrases"))
+
+
+def phrase_hits_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6-K9 on the turns of conversations."""
+    turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.normalize(F.col("text"), latin=True).alias("normal"))
+    none = F.array().cast("array<string>")
+    found = turns.select("id", keywords.fuzzy(F.col("normal"), none, Policy.example()).alias("hits"))
+    return found.select("id", F.explode(keywords.ranked(keywords.suppress(F.col("hits")))).alias("m")).select("id", "m.category", "m.phrase", "m.weight", "m.similarity")
+
+
+def ipv4_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = numbers.written_ipv4(text.casefold_latin(F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("ip"))
+
+
+def iban_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_IBAN_ROWS, "id int, t string")
+    return rows.select("id", F.explode(numbers.ibans(F.col("t"))).alias("iban")).select("id", "iban", numbers.mask(F.upper("iban")).alias("masked"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = text.casefold_latin(F.col("text"))
+    runs = numbers.digit_runs(text.fold_marks(numbers.residual(folded)))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+
+
+def digit_runs_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _runs(spark, sf_dir).where(F.length("run") >= numbers.MIN_RUN)
+    return r.select("doc_id", "run", numbers.classify(F.col("run")).alias("kind"), numbers.luhn(F.col("run")).alias("luhn_ok"))
+
+
+def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select("doc_id", numbers.mask(F.col("run")).alias("masked"), F.length("run").cast("bigint").alias("n"))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return fusion.score(docs, Policy.example(), "doc_id", "text", language_col="lang", latin=True)
+
+
+def verdict_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("verdict")
+    return verdicts(spark, sf_dir).select(
+        "doc_id", v["keyword_score"].alias("keyword_score"), v["pattern_score"].alias("pattern_score"), v["threat_score"].alias("threat_score"), v["severity"].alias("severity"), v["is_violation"].alias("is_violation"),
+        F.size(v["matches"]).cast("bigint").alias("n_matches"), F.array_join(F.array_sort(v["categories"]), "|").alias("categories"), F.array_join(v["sources"], "|").alias("sources"))
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts that stand for events: severity by value, latency from the id."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = Policy.example()
+    return e.select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("endpoint_id"), F.col("event_type").alias("category"), F.col("value"), p.severity(F.pmod(F.col("value"), F.lit(100.0)) / 100.0).alias("severity"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 5000).alias("latency_ms"))
+
+
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.by_severity(verdict_fused(spark, sf_dir).select("severity"))
+
+
+def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = verdicts(spark, sf_dir).where("verdict.severity <> 'NONE'")
+    return reporting.by_language(v.select(F.col("verdict.language").alias("language")))
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.by_category(verdicts(spark, sf_dir).select(F.col("verdict.categories").alias("categories")))
+
+
+def alert_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, _ = reporting.list_alerts(_alerts(spark, sf_dir), severity="high", limit=50, offset=10)
+    return page.select("id", "severity", "endpoint_id", "category")
+
+
+def alert_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.stats(_alerts(spark, sf_dir), AS_OF)
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = read(spark, sf_dir, "embeddings")
+    pick = lambda lo, hi: e.where(F.col("vec_id").between(lo, hi)).select(F.col("vec_id").cast("int").alias("idx"), "embedding")
+    return e, pick(0, 22), pick(23, 35)
+
+
+def nearest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, refs, _ = _sentences(spark, sf_dir)
+    return semantic.nearest(e, refs, "vec_id", "embedding").select("vec_id", "idx", quantised(F.col("similarity")).alias("similarity"))
+
+
+def semantic_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, refs, benign = _sentences(spark, sf_dir)
+    return semantic.margin(e, refs, benign, "vec_id", "embedding").select("vec_id", quantised(F.col("margin")).alias("margin"), quantised(F.col("score")).alias("score"))
+
+
+def repeat_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = _alerts(spark, sf_dir).where("severity in ('MEDIUM', 'HIGH', 'CRITICAL')")
+    counted = state.repeats(alerts, "endpoint_id", "category", "ts", "id", 86400)
+    return counted.select("id", "repeats", state.escalate(F.col("severity"), F.col("repeats")).alias("severity"))
+
+
+def segments_sessionised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _alerts(spark, sf_dir)
+    s = state.sessionise(e, ["endpoint_id"], "ts", 7200.0)
+    return s.select("endpoint_id", "segment", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "chunks")
+
+
+def phrase_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_type"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).cast("bigint").alias("window_idx"))
+    return state.confirm(e, ["user_id", "event_type"]).select("user_id", "event_type", "confirmed_at")
+
+
+def muted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return state.muted_runs(e, ["user_id"], "event_id", "value", limit=30.0, chunks=3).select("user_id", "first", "last", "n")
+
+
+def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.noise_floor(read(spark, sf_dir, "events"), ["user_id"], "event_id", "value").select("user_id", quantised(F.col("floor")).alias("floor"))
+
+
+def raised_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", (-F.pmod("value", F.lit(60.0))).alias("level"))
+    return state.raised(e, ["user_id"], "event_id", "level").select("event_id", (F.floor(F.col("mean_db") * 100 + 0.5) / 100).alias("mean_db"))
+
+
+def level_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", quantised(audio.rms_db(F.col("embedding"))).alias("db"), quantised(audio.peak(F.col("embedding"))).alias("peak"))
+
+
+def spectral_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(audio.spectral_centroid("embedding"), 3).alias("centroid"))
+
+
+def _audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of audit rows: the orders of the first customers."""
+    o = read(spark, sf_dir, "orders").where("o_custkey <= 20")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+
+
+def _chain(rows: DataFrame) -> DataFrame:
+    entries = rows.select(F.lit("alert").alias("kind"), F.col("id").alias("ref_id"), "ts", audit.payload_hash(rows, ["id", "status", "priority"]).alias("payload_hash"), F.lit("").alias("detail"), F.col("id").alias("ord"))
+    return audit.append(None, entries)
+
+
+def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(_audit_rows(spark, sf_dir)).select("seq", "ref_id", "row_hash")
+
+
+def chain_tamper_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of key divisible by 8 are edited and by 12 deleted after the fact."""
+    rows = _audit_rows(spark, sf_dir)
+    edited = rows.where("id % 12 <> 0").withColumn("status", F.when(F.col("id") % 8 == 0, F.lit("X")).otherwise(F.col("status")))
+    return audit.verify(_chain(rows), {"alert": (edited, ["id", "status", "priority"])})
+
+
+def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, gone = audit.purge(_alerts(spark, sf_dir), AS_OF, 20)
+    return kept.groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.lit("kept")).unionByName(gone.groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.lit("expired")))
+
+
+def transcript_minimised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.minimised(read(spark, sf_dir, "conversations"), False, "text", None).select("conv_id", "turn", "transcript_hash", "text")
+
+
+def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _alerts(spark, sf_dir).where("severity in ('HIGH', 'CRITICAL')")
+    box = e.select("id", F.col("ts").alias("created"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("event_json"))
+    tries = e.where("id % 3 <> 0").select("id", F.col("ts").alias("at"), (F.col("id") % 2 == 0).alias("ok"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("failed "), F.col("id").cast("string"))).alias("error"))
+    return outbox.current(box, tries)
+
+
+def outbox_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outbox.due(_outbox(spark, sf_dir), AS_OF).select("id", "attempts")
+
+
+def outbox_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outbox.stats(_outbox(spark, sf_dir))
+
+
+def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Policy.example().summary(spark)
+
+
+def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Policy.example().report(spark)
+
+
+def detector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = verdict_fused(spark, sf_dir).select("doc_id", F.contains("categories", F.lit("safety_threats")).alias("hit"))
+    j = v.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return j.groupBy("toxic", "hit").agg(F.count(F.lit(1)).alias("n"))
+
+
+def second_opinion_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last turn of a conversation as two transcripts of one segment."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    edge = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    policy = Policy.example()
+    one = fusion.score(edge.select("conv_id", F.concat("first", F.lit(" token")).alias("t")), policy, "conv_id", "t", latin=True)
+    two = fusion.score(edge.select("conv_id", F.concat("last", F.when(F.length("last") % 2 == 0, F.lit(" access token")).otherwise(F.lit(""))).alias("t")), policy, "conv_id", "t", latin=True)
+    found = fusion.second_opinion(one, two, "conv_id")
+    return found.select("conv_id", "severity_before", F.col("verdict.severity").alias("severity_after"), F.col("verdict.threat_score").alias("threat_score"))
+
+
+def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.text_filter(read(spark, sf_dir, "documents"), "Apache License", ["text"]).select("doc_id")
+
+
+def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("verdict")
+    rows = verdicts(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("upload").alias("source"), F.col("source").alias("endpoint_id"), v["language"].alias("language"), v["severity"].alias("severity"),
+        v["threat_score"].alias("threat_score"), v["keyword_score"].alias("keyword_score"), v["semantic_score"].alias("semantic_score"), v["pattern_score"].alias("pattern_score"), F.array_sort(v["categories"]).alias("categories"),
+        F.lit(None).cast("string").alias("transcript"), F.lit(None).cast("string").alias("translation"))
+    return reporting.csv_rows(rows)
+
+
+_QUERIES = [
+    norm_text, norm_text_unicode, script_profile, phrase_hits_exact, phrase_hits_ranked, phrase_hits_fuzzy, ipv4_hits, iban_hits, digit_runs_classified, masked_values, verdict_fused,
+    severity_counts, language_counts, category_counts, alert_page, alert_stats, nearest_reference, semantic_margin, repeat_escalation, segments_sessionised, phrase_confirmation, muted_runs,
+    noise_floor, raised_level, level_db, spectral_centroid, chain_build, chain_tamper_detect, retention_purge, transcript_minimised, outbox_due, outbox_stats, policy_summary, policy_report,
+    detector_quality, second_opinion_upgrade, text_filter, csv_projection,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sottovoce.plans import oracles
+
+    return oracles.sql()
