@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sottovoce.llm.common import prepare, table
 
-#: Remembered pre-tokens in a task's process, and the longest that is remembered (in characters).
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+#: Remembered pre-tokens in a task's process (and as many of the time before), and the longest that is remembered (in characters).
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
 
 
 def parse_ranks(file: bytes) -> dict[bytes, int]:
@@ -33,72 +34,74 @@ def parse_ranks(file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file.splitlines() if line)}
 
 
-class RankQueue:
-    """The pairs that wait, by rank: buckets of positions (smallest first) and a bitmap over the ranks in use."""
+_BIT = [1 << k for k in range(256)]
+_COUNT = list(range(-1, 4096))
 
-    __slots__ = ("buckets", "top", "words")
 
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        high = rank >> 8
-        self.words[high] = self.words.get(high, 0) | 1 << (rank & 255)
-        self.top |= 1 << high
+def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """The ids of one pre-token.
 
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position."""
-        high = (self.top & -self.top).bit_length() - 1
-        word = self.words[high]
+    The queue: `buckets` holds, by rank, the left positions of the pairs that wait, smallest first; `words` and `top`
+    are the bitmap of the ranks in use, 256 to a word."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n, get = len(piece), ranks.get
+    before = _COUNT[: n + 2] if n < 4000 else list(range(-1, n + 1))
+    after = _COUNT[2 : n + 4] if n < 4000 else list(range(1, n + 3))
+    rank_at = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # of the pair that starts there; -1: none
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    top = 0
+    for i, rank in enumerate(rank_at):
+        if rank >= 0:
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                high = rank >> 8
+                words[high] = words.get(high, 0) | _BIT[rank & 255]
+                top |= 1 << high
+    rank_at += (-1, -1)
+    while top:
+        high = (top & -top).bit_length() - 1
+        word = words[high]
         rank = high << 8 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
+        bucket = buckets[rank]
+        i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
         if not bucket:
-            del self.buckets[rank]
+            del buckets[rank]
             word &= word - 1
-            self.words[high] = word
+            words[high] = word
             if not word:
-                self.top &= self.top - 1
-        return rank, at
-
-
-def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """The ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 2)), list(range(-1, n + 1))
-    rank_at = [-1] * (n + 1)  # of the pair that starts there; -1: none
-    queue, get = RankQueue(), ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            rank_at[i] = rank
-            queue.push(rank, i)
-    while queue.top:
-        rank, i = queue.pop()
+                top &= top - 1
         if rank_at[i] != rank:
             continue  # stale: this pair has changed
         j = after[i]
         k = after[j]
         after[i], before[k], rank_at[j] = k, i, -1
-        for left, end in ((i, after[k] if k < n else 0), (before[i], k)):
-            if left < 0:
-                continue
+        left = before[i]
+        rank_at[i] = -1
+        if k < n and (end := after[k]) - i <= longest and (rank := get(piece[i:end])) is not None:
+            rank_at[i] = rank
+            if rank in buckets:
+                heappush(buckets[rank], i)
+            else:
+                buckets[rank] = [i]
+                high = rank >> 8
+                words[high] = words.get(high, 0) | _BIT[rank & 255]
+                top |= 1 << high
+        if left >= 0:
             rank_at[left] = -1
-            if end and end - left <= longest:
-                rank = get(piece[left:end])
-                if rank is not None:
-                    rank_at[left] = rank
-                    queue.push(rank, left)
+            if k - left <= longest and (rank := get(piece[left:k])) is not None:
+                rank_at[left] = rank
+                if rank in buckets:
+                    heappush(buckets[rank], left)
+                else:
+                    buckets[rank] = [left]
+                    high = rank >> 8
+                    words[high] = words.get(high, 0) | _BIT[rank & 255]
+                    top |= 1 << high
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -110,16 +113,20 @@ class Encoder(dict):
     """Remembers the ids (little-endian, 32 bits each) of pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.longest = ranks, max(map(len, ranks))
+        self.ranks, self.longest, self.earlier = ranks, max(map(len, ranks)), {}
         self.find = regex.compile(pattern).findall
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_piece(piece.encode(), self.ranks, self.longest), "<u4").tobytes()
+        ids = self.earlier.get(piece)
+        if ids is None:
+            found = merge_piece(piece.encode(), self.ranks, self.longest)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.earlier = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
