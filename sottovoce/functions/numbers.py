@@ -136,10 +136,21 @@ def _is(kind: str, cnic: bool):
 MATCH = "category:string,phrase:string,weight:double,lang:string,match:string,similarity:double,pattern:string,windows:int"
 
 
-def scan(folded: Column, rules: dict[str, tuple[float, str]], normalise_marks) -> Column:
+def long_runs(folded: Column, normalise_marks) -> Column:
+    """The digit runs of casefolded text that are long enough to classify. normalise_marks: T3-T7 on a column."""
+    return F.filter(digit_runs(normalise_marks(residual(folded))), lambda r: F.length(r) >= MIN_RUN)
+
+
+def quads(folded: Column, normalise_marks) -> Column:
+    """Written and spoken addresses of casefolded text."""
+    return F.array_union(written_ipv4(folded), spoken_ipv4(normalise_marks(F.replace(folded, F.lit("."), F.lit(" dot ")))))
+
+
+def scan(folded: Column, runs: Column, addresses: Column, rules: dict[str, tuple[float, str]]) -> Column:
     """Pattern hits (N11, N12) of casefolded text as an array of matches, heaviest first, without repeats.
 
-    rules: kind -> (weight, label); a kind without a rule is not looked for. normalise_marks: T3-T7 on a column."""
+    runs, addresses: columns of long_runs() and quads(), which are worth a column of their own as they are used more than
+    once. rules: kind -> (weight, label); a kind without a rule is not looked for."""
 
     def hits(kind: str, values: Column, shown) -> Column:
         weight, label = rules[kind]
@@ -147,11 +158,9 @@ def scan(folded: Column, rules: dict[str, tuple[float, str]], normalise_marks) -
             F.lit("sensitive_pattern").alias("category"), F.concat(F.lit(f"{label}: "), shown(v)).alias("phrase"), F.lit(float(weight)).alias("weight"), F.lit("any").alias("lang"),
             F.lit(None).cast("string").alias("match"), F.lit(None).cast("double").alias("similarity"), F.lit(kind).alias("pattern"), F.lit(None).cast("int").alias("windows")))
 
-    runs = F.filter(digit_runs(normalise_marks(residual(folded))), lambda r: F.length(r) >= MIN_RUN)
     parts = []
     if "ipv4" in rules:
-        quads = F.array_union(written_ipv4(folded), spoken_ipv4(normalise_marks(F.replace(folded, F.lit("."), F.lit(" dot ")))))
-        parts.append(hits("ipv4", quads, lambda v: F.concat(F.regexp_extract(v, r"^(.*)\.[^.]*$", 1), F.lit(".*"))))
+        parts.append(hits("ipv4", addresses, lambda v: F.concat(F.regexp_extract(v, r"^(.*)\.[^.]*$", 1), F.lit(".*"))))
     if "iban" in rules:
         parts.append(hits("iban", ibans(folded), lambda v: mask(F.upper(v))))
     for kind in ("cnic", "payment_card", "phone", "long_number"):

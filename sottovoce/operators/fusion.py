@@ -50,7 +50,9 @@ def _texts(df: DataFrame, id_col: str, cols: list[str], policy: Policy, latin: b
             out = out.withColumn(f"{c}_fuzzy", keywords.fuzzy(normal, F.transform(raw, lambda h: h["phrase"]), policy))
             raw = F.concat(raw, F.col(f"{c}_fuzzy"))
         out = out.withColumn(f"{c}_all", raw).withColumn(f"{c}_hits", keywords.ranked(keywords.suppress(F.col(f"{c}_all"))))
-        out = out.withColumn(f"{c}_numbers", numbers.scan(F.col(f"{c}_folded"), policy.rules, text.fold_marks))
+        folded = F.col(f"{c}_folded")
+        out = out.withColumn(f"{c}_runs", numbers.long_runs(folded, text.fold_marks)).withColumn(f"{c}_quads", numbers.quads(folded, text.fold_marks))
+        out = out.withColumn(f"{c}_numbers", numbers.scan(folded, F.col(f"{c}_runs"), F.col(f"{c}_quads"), policy.rules))
     return out
 
 
@@ -69,7 +71,6 @@ def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation
     extras = F.coalesce(F.col(extras_col).cast(kind), none) if extras_col else none
     words = F.concat(*[F.col(f"{c}_hits") for c in cols])
     found = F.concat(words, *[F.col(f"{c}_numbers") for c in cols], extras)
-    first = F.filter(found, lambda m, i: ~F.exists(F.slice(found, F.lit(1), i), lambda o: (o["category"] == m["category"]) & (o["phrase"] == m["phrase"])))
     wide = wide.withColumn("_found", found).withColumn("_words", words).withColumn("_extras", extras)
     found, words, extras = F.col("_found"), F.col("_words"), F.col("_extras")
     first = F.filter(found, lambda m, i: ~F.exists(F.slice(found, F.lit(1), i), lambda o: (o["category"] == m["category"]) & (o["phrase"] == m["phrase"])))
