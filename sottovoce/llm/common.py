@@ -52,18 +52,26 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
-    """Joins left, in which one key may hold most rows, to right, which has a row per key.
-
-    Keys with more than 1/HOT_SLICES of left's rows (at most HOT_SLICES of them, so their list may be
-    broadcast) are dealt over several salts, with a copy of right's row for each. Keys are counted in
-    `counted`, a table that holds left's keys as often as left or oftener, or else in left; it should be cheap
-    to read. Null keys match nothing."""
-    counted = left if counted is None else counted
+def hot_keys(counted: DataFrame, on: str) -> DataFrame | None:
+    """The keys with more than 1/HOT_SLICES of the rows, each with the parts (_n) to deal it over; None if there are none. At most HOT_SLICES rows."""
     share = max(counted.count() // HOT_SLICES, MIN_HOT_ROWS)
     hot = counted.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
     hot = materialise(hot.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_n")).coalesce(1), "hot")
-    if not hot.head(1):
+    return hot if hot.head(1) else None
+
+
+_UNKNOWN = object()
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", counted: DataFrame | None = None, hot: object = _UNKNOWN) -> DataFrame:
+    """Joins left, in which one key may hold most rows, to right, which has a row per key.
+
+    Hot keys are dealt over several salts, with a copy of right's row for each; their list is bounded, so it may be
+    broadcast. Keys are counted in `counted`, a table that holds left's keys as often as left or oftener, or else in
+    left; it should be cheap to read. `hot` is what hot_keys() gave for such a table earlier. Null keys match nothing."""
+    if hot is _UNKNOWN:
+        hot = hot_keys(left if counted is None else counted, on)
+    if hot is None:
         return left.join(right, on, how)
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_n", F.lit(1))).cast("int")
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_n")

@@ -6,8 +6,8 @@ Documents link when intersection / union of their sets reaches the threshold; gr
 How no link between different sets gets lost, while no bucket is expanded into all its pairs:
 1. documents with equal sets collapse to one node, so exact copies cost one row;
 2. in every bucket of equal band values each node is compared to one pivot of that bucket only (a star);
-3. links found so far give components; where a bucket still holds several, the nodes outside its largest component are
-   compared, in blocks spread over tasks, with all the bucket's nodes outside their own.
+3. two rounds of labelling along the links found so far give (parts of) components; where a bucket still holds several,
+   the nodes outside its largest are compared, in blocks spread over tasks, with all the bucket's nodes outside their own.
 Pairs that share no band are lost: with 32 bands of 5 registers that is 1 pair in 300,000 at similarity 0.8, fewer above.
 
 Defined cases: null and empty texts have empty sets, stay alone and are kept; a component's id is its smallest id; rows
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sottovoce.llm import vectext
-from sottovoce.llm.common import discard, materialise, maybe_in, prepare, skew_join, table
+from sottovoce.llm.common import discard, hot_keys, materialise, maybe_in, prepare, skew_join, table
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -167,23 +167,27 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return found
 
 
-def components(links: DataFrame) -> DataFrame:
-    """A row per linked node: node, label (the smallest node it reaches). Rounds of taking the neighbours' smallest label and then the label's label; each round is written out."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """A row per linked node: node, label (the smallest node it reaches). Rounds of taking the neighbours' smallest label
+    and then the label's label; each is written out. After a given number of rounds, labels are nodes of the same
+    component, though it may still have several."""
     edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v"), "edges")
     labels = materialise(edges.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("label")), "labels")
-    while True:
-        near = skew_join(edges, labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
+    hot = hot_keys(edges, "v")
+    done = False
+    while not done:
+        near = skew_join(edges, labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v", hot=hot).groupBy("u").agg(F.min("l").alias("l"))
         lower = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("mid"))
         lower = materialise(lower, "lower")
         jumped = skew_join(lower, lower.select(F.col("node").alias("mid"), F.col("mid").alias("far")), "mid")
         after = materialise(jumped.select("node", F.least("mid", "far").alias("label"), "old"), "labels")
         discard(lower)
-        done = not after.where("label <> old").head(1)
+        rounds = rounds and rounds - 1
+        done = rounds == 0 or not after.where("label <> old").head(1)
         discard(labels)
         labels = after.select("node", "label")
-        if done:
-            discard(edges)
-            return labels
+    discard(edges)
+    return labels
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -210,27 +214,35 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
     full = skew_join(placed, nodes.select("node", "registers", "n", "row"), "node")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # blocks are few bytes but long to compare, so they are not packed by size
 
+    names = ["key", "q", "s", "node", "label", "row", "place", "partners"]
+
     def likely(frame: pd.DataFrame) -> pd.DataFrame:
         """Askers with the places of those that they may link to, most alike first, and all that are asked."""
-        band, ask, stand = int(frame["band"].iloc[0]), frame[frame["asks"] == 1], frame[frame["asks"] == 0].reset_index(drop=True)
-        partners, wanted = [], set()
+        band, asks_, label, n = int(frame["band"].iloc[0]), frame["asks"].to_numpy(), frame["label"].to_numpy(), frame["n"].to_numpy(float)
+        ask, stand = np.flatnonzero(asks_ == 1), np.flatnonzero(asks_ == 0)
+        partners: dict[int, list[int]] = {}
         if len(ask) and len(stand):
-            y = np.frombuffer(b"".join(stand["registers"]), np.uint16).reshape(-1, REGISTERS)
-            n_y, of = stand["n"].to_numpy(float), stand["label"].to_numpy()
-            for registers, n, label in zip(ask["registers"], ask["n"], ask["label"], strict=True):
-                fit = np.flatnonzero((of != label) & (100 * np.minimum(n, n_y) >= percent * np.maximum(n, n_y)))
-                x, z = np.frombuffer(registers, np.uint16), y[fit]
-                equal = z == x
-                first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band  # a pair is taken in its first common band
-                near = first & (equal.sum(1) >= REGISTERS * (percent / 100 - 2 * MARGIN))
-                fit, z = fit[near], z[near]
-                guess = jaccard((x > z).sum(1), (x < z).sum(1), np.full(len(fit), float(n)), n_y[fit])
+            registers = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS)
+            for i in ask:
+                fit = stand[(label[stand] != label[i]) & (100 * np.minimum(n[i], n[stand]) >= percent * np.maximum(n[i], n[stand]))]
+                if not len(fit):
+                    continue
+                x, y = registers[i], registers[fit]
+                equal = y == x
+                near = equal.sum(1) >= REGISTERS * (percent / 100 - 2 * MARGIN)
+                near[near] = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band  # a pair is taken in its first common band
+                fit, y = fit[near], y[near]
+                if not len(fit):
+                    continue
+                guess = jaccard((x > y).sum(1), (x < y).sum(1), np.full(len(fit), n[i]), n[fit])
                 fit = fit[np.argsort(-guess, kind="stable")][: int((guess >= percent / 100 - MARGIN).sum())]
-                partners.append(fit.tolist())
-                wanted.update(partners[-1])
-        stand = stand.iloc[sorted(wanted)].assign(place=sorted(wanted), partners=[[]] * len(wanted))
-        ask = ask.assign(place=-1, partners=partners or [[]] * len(ask))
-        return pd.concat([stand, ask[ask["partners"].map(len) > 0]])[["key", "q", "s", "node", "label", "row", "place", "partners"]]
+                if len(fit):
+                    partners[int(i)] = fit.tolist()
+        wanted = sorted({j for js in partners.values() for j in js})
+        if not wanted:
+            return pd.DataFrame(columns=names)
+        out = frame.iloc[wanted + list(partners)][["key", "q", "s", "node", "label", "row"]]
+        return out.assign(place=wanted + [-1] * len(partners), partners=[[]] * len(wanted) + list(partners.values()))
 
     met = materialise(full.repartition(tasks, "key", "q", "s").groupBy("key", "q", "s").applyInPandas(likely, "key long, q int, s int, node binary, label binary, row long, place int, partners array<int>"), "met")
     texts = _texts(docs, met.select("row"), id_col, text_col)
@@ -270,10 +282,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     stars = skew_join(buckets, shared, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = materialise(stars, "pairs")
     links = verified(pairs, nodes, docs, id_col, text_col, width, percent)
-    labels = components(links)
+    labels = components(links, rounds=2)
     more = _crossing(buckets, labels, nodes, docs, id_col, text_col, width, percent)
-    if more.head(1):
-        labels = components(links.union(more))
+    labels = components(links.union(more))
     discard(buckets)
     named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = materialise(named, "named")
