@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 RATE, CHUNK, FLOOR_DB, MAX_SECONDS = 16_000, 512, -90.0, 60
 
@@ -40,7 +41,7 @@ def gate(mode: str, snr: Column, limit: float = 3.0) -> Column:
     return {"off": F.lit(False), "on": F.lit(True), "auto": F.coalesce(snr < limit, F.lit(False))}[mode]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spectral_centroid(samples: pd.Series) -> pd.Series:
     """Mean frequency, weighted by magnitude under a Hann window."""
     def one(x) -> float:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The code points that count as Arabic marks, and the letter and digit maps of the normal form.
 ARABIC_MARKS = r"[ؐ-ًؚ-ٰٟۖ-ۭـ]"
@@ -24,7 +25,7 @@ SKELETON_TO = ("ردتتسسزززہہاانییوک"
 LATIN = r"^[\x00-\x7EÀ-ÖØ-öø-ÿ]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 

@@ -26,7 +26,7 @@ def quantised(x: Column) -> Column:
 
 def exact_round4(x: Column) -> Column:
     """Four places, half to even on the decimal rendering."""
-    return F.replace(F.format_number(x, "0.0000"), F.lit(","), F.lit("")).cast("double")
+    return F.replace(F.call_function("format_number", x, F.lit("0.0000")), F.lit(","), F.lit("")).cast("double")
 
 
 def noisy_or(keyword: Column, semantic: Column, pattern: Column, policy: Policy) -> Column:

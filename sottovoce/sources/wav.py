@@ -25,7 +25,7 @@ def clips(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFra
             try:
                 out.append((audio.decode_wav(data).tolist(), None))
             except Exception as e:  # noqa: BLE001 - whatever is wrong with a clip belongs to its row
-                out.append((None, str(e)))
+                out.append((None, str(e) or type(e).__name__))
         return pd.DataFrame(out, columns=["samples", "error"])
 
     return files.withColumn("d", decode("content")).select("path", "d.samples", "d.error")
