@@ -39,6 +39,7 @@ def measures(text: Column) -> dict[str, Column]:
         "digits": (F.length(t) - F.length(F.translate(t, "0123456789", ""))) / n,
         "upper": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) / n,
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
+        "variety": F.size(F.array_distinct(F.split(t, r"\s+"))) / F.size(F.split(t, r"\s+")),
         "marks": (F.length(t) - F.length(F.translate(t, "#*$%&@{}<>|\\^~=_", ""))) / n,
         "doubled": F.size(F.regexp_extract_all(t, F.lit(r"!!|\?\?| \| "), F.lit(0))) / (n / 100),
         "stops": F.size(F.regexp_extract_all(t, F.lit(r"[.!?]"), F.lit(0))) / (n / 100),
@@ -47,44 +48,51 @@ def measures(text: Column) -> dict[str, Column]:
 
 def votes(m: dict[str, Column]) -> dict[str, Column]:
     """The labellers."""
-    def split(good: Column, bad: Column) -> Column:
-        return F.when(good, 1).when(bad, 0)
+    bad = lambda test: F.when(test, 0)
 
     return {
-        "length": split((m["words"] >= 30) & (m["words"] <= 20000), m["words"] < 12),
-        "letters": split(m["letters"] >= 0.95, m["letters"] < 0.85),
-        "digits": split(m["digits"] <= 0.01, m["digits"] > 0.08),
-        "case": split(m["upper"].between(0.005, 0.06), m["upper"] > 0.12),
-        "lines": split(m["distinct_lines"] >= 0.95, m["distinct_lines"] < 0.7),
-        "marks": split(m["marks"] == 0, m["marks"] > 0.01),
-        "doubled": split(m["doubled"] == 0, m["doubled"] > 0.3),
-        "stops": split(m["stops"].between(0.3, 4.0), (m["stops"] == 0) | (m["stops"] > 8)),
-    }
+        "length": F.when(m["words"].between(30, 20000), 1).when(m["words"] < 3, 0),
+        "letters": F.when(m["letters"] >= 0.95, 1).when(m["letters"] < 0.8, 0),
+        "stops": F.when(m["stops"].between(0.3, 4.0), 1).when(m["stops"] > 8, 0),
+        "digits": bad(m["digits"] > 0.08),
+        "case": bad(m["upper"] > 0.2),
+        "lines": bad(m["distinct_lines"] < 0.7),
+        "variety": bad((m["variety"] < 0.42) & (m["words"] >= 20)),
+        "marks": bad(m["marks"] > 0.01),
+        "doubled": bad(m["doubled"] > 0.3),
+    }
 
 
 class LabelModel:
-    """Accuracies of the labellers (of those votes that are cast) on good and on bad texts, and the share of good texts."""
+    """How often each labeller votes bad, good or nothing on good and on bad texts, and the share of good texts.
+
+    A vote withheld tells something too: most labellers only speak up against a text."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> None:
-        """patterns: rows of votes 1, 0 or -1 (none); counts: texts with each. Votes start at an accuracy of 0.8, so `good` keeps its meaning."""
-        cast, good = patterns >= 0, patterns == 1
-        self.right_good, self.right_bad, self.share = np.full(patterns.shape[1], 0.8), np.full(patterns.shape[1], 0.8), 0.7
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> None:
+        """patterns: rows of votes 1, 0 or -1 (none); counts: texts with each. The first guess gives the classes their meaning."""
+        cast = patterns.shape[1]
+        self.share = 0.85
+        self.rates = {"good": np.tile([0.38, 0.02, 0.6], (cast, 1)), "bad": np.tile([0.4, 0.3, 0.3], (cast, 1))}  # none, bad, good
         for _ in range(rounds):
             p = self.posterior(patterns)
-            before = self.right_good.copy()
-            w, v = (counts * p)[:, None], (counts * (1 - p))[:, None]
-            # two votes of each kind beforehand keep the estimates off 0 and 1
-            self.right_good = np.clip(((w * good).sum(0) + 1.6) / ((w * cast).sum(0) + 2), 0.5, 0.999)
-            self.right_bad = np.clip(((v * (cast & ~good)).sum(0) + 1.6) / ((v * cast).sum(0) + 2), 0.02, 0.999)
+            before = self.rates["bad"].copy()
+            for side, w in (("good", counts * p), ("bad", counts * (1 - p))):
+                seen = np.stack([(w[:, None] * (patterns == v)).sum(0) for v in (-1, 0, 1)], axis=1)
+                self.rates[side] = (seen + 0.1) / (seen.sum(1, keepdims=True) + 0.3)
             self.share = float(np.clip((counts * p).sum() / max(counts.sum(), 1), 0.02, 0.98))
-            if np.abs(before - self.right_good).max() < 1e-7:
+            if np.abs(before - self.rates["bad"]).max() < 1e-7:
                 break
 
+    def accuracy(self) -> np.ndarray:
+        """Of the votes that each labeller casts, the share that is right."""
+        good, bad = self.share * self.rates["good"], (1 - self.share) * self.rates["bad"]
+        return (good[:, 2] + bad[:, 1]) / np.maximum((good + bad)[:, 1:].sum(1), 1e-12)
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that texts with these votes are good."""
-        cast, good = patterns >= 0, patterns == 1
-        a = np.log(self.share) + np.where(cast, np.where(good, np.log(self.right_good), np.log(1 - self.right_good)), 0).sum(1)
-        b = np.log(1 - self.share) + np.where(cast, np.where(good, np.log(1 - self.right_bad), np.log(self.right_bad)), 0).sum(1)
+        at = np.arange(patterns.shape[1])
+        a = np.log(self.share) + np.log(self.rates["good"][at, patterns + 1]).sum(1)
+        b = np.log(1 - self.share) + np.log(self.rates["bad"][at, patterns + 1]).sum(1)
         return 1 / (1 + np.exp(np.clip(b - a, -50, 50)))
 
 
@@ -124,15 +132,14 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     measured = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), *[c.alias(k) for k, c in measures(F.col(text_col)).items()])
     voted = materialise(measured.select("id", "digest", *[F.coalesce(c, F.lit(-1)).alias(k) for k, c in named.items()]), "votes")
     found = voted.groupBy(*named).count().toPandas()  # at most 3 ** labellers rows
-    patterns = found[list(named)].to_numpy().reshape(-1, len(named))
+    patterns = found[list(named)].to_numpy().reshape(-1, len(named)).astype(int)
     model = LabelModel(patterns, found["count"].to_numpy(float))
     terms = []
-    for side in ("good", "bad"):
-        base = F.lit(float(np.log(model.share if side == "good" else 1 - model.share)))
-        for i, k in enumerate(named):
-            for_good, for_bad = (model.right_good[i], 1 - model.right_good[i]) if side == "good" else (1 - model.right_bad[i], model.right_bad[i])
-            base = base + F.when(F.col(k) == 1, float(np.log(for_good))).when(F.col(k) == 0, float(np.log(for_bad))).otherwise(0.0)
-        terms.append(base)
+    for side, share in (("good", model.share), ("bad", 1 - model.share)):
+        term = F.lit(float(np.log(share)))
+        for rates, k in zip(np.log(model.rates[side]), named, strict=True):
+            term = term + F.when(F.col(k) == 1, float(rates[2])).when(F.col(k) == 0, float(rates[1])).otherwise(float(rates[0]))
+        terms.append(term)
     return voted.select("id", "digest", (1 / (1 + F.exp(terms[1] - terms[0]))).alias("posterior")), model
 
 
