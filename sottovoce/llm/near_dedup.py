@@ -50,7 +50,8 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
         hashes, at = vectext.words(vectext.fold(data), starts, _WORD)
         grams = np.zeros(len(hashes), np.uint64)
         for k in range(width):  # of the last width - 1 words of a row nothing is used
-            grams[: len(hashes) - k] = grams[: len(hashes) - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:]
+            m = max(len(hashes) - k, 0)  # a block may hold fewer words than a shingle
+            grams[:m] = grams[:m] * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + m]
         grams = vectext.mix(grams)
         sets = []
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -66,6 +66,12 @@ def test_dedup_keeps_columns_and_empties(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4]
 
 
+@pytest.mark.parametrize("text", ["That it.", "that is it", "one"])
+def test_a_block_of_fewer_words_than_a_shingle(spark, text):
+    df = spark.createDataFrame([(7, text)], "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.groups(df, width=5).collect()} == brute([(7, text)], 5)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_dedup.groups(df).count() == 0
