@@ -7,8 +7,10 @@ neither class has shown counts for neither. The log-likelihood difference of the
 passages of PASSAGE bytes; a text is as toxic as its most toxic passage, so that one expression shows in a long text too.
 A logistic curve, fitted on labelled rows that the counts leave out, makes the evidence a score.
 
-Counts cover every labelled text, whole; they are gathered by key, and the finished table of log-ratios is cut to its
-MODEL_GRAMS most telling entries before it is sent to the tasks. Ids, languages and sources are no inputs.
+Counts cover every labelled text, whole; they are gathered by key. Scoring backs off as learning does: a byte counts by
+the longest gram that was seen, plus, for each longer context that was seen without it, the difference of the two models'
+back-off weights there; so the finished tables hold every gram and every context of each order, whole. Ids, languages
+and sources are no inputs.
 
 Defined cases: null and empty texts have no evidence and get the score of none; labels that are null teach nothing; with
 labels of one class only, every score is 0 (or 1, if all are toxic); rows that repeat get equal scores; an empty table
@@ -17,6 +19,7 @@ gives an empty result; further columns pass through untouched."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,6 @@ SHARED = 2
 PRIOR = 5.0
 #: Bytes of a passage over which the log-likelihoods are compared.
 PASSAGE = 12
-#: Entries of the table that the tasks get: about 40 MB at most.
-MODEL_GRAMS = 1 << 20
 #: Labelled rows, at most about, on which the curve is fitted.
 CURVE_ROWS = 20_000
 #: Words of 64 bits of the bitmap that picks labelled documents: 8 MB however many there are.
@@ -101,37 +102,58 @@ def _shared(counts: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
-    """Each gram (context and byte) with ln P_toxic - ln P_ordinary."""
+    """Rows (size, escape, g, ratio) of the orders above SHARED: ln P_toxic - ln P_ordinary of each gram of `size` bytes
+    (context and byte), and, with escape, of the weights that each context (size - 1 bytes) gives to the next order."""
     lower = _shared(counts).select("g", F.col("p").alias("p_o"), F.col("p").alias("p_t"))
+    tables = []
     for size in range(SHARED + 1, ORDER + 1):
         grams = counts if size == ORDER else counts.groupBy(_last(size).alias("g")).agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
         grams = grams.withColumn("h", F.shiftright("g", 8)).withColumn("s", _last(size - 1))
         context = grams.groupBy("h").agg(
             F.sum("o").alias("all_o"), F.sum("t").alias("all_t"), F.count(F.when(F.col("o") > 0, 1)).alias("types_o"), F.count(F.when(F.col("t") > 0, 1)).alias("types_t"))
+
+        def rest(c: str) -> F.Column:
+            return (F.least(DISCOUNT * F.col(f"types_{c}"), F.col(f"all_{c}").cast("double")) + PRIOR) / (F.col(f"all_{c}") + PRIOR)
+
+        context = materialise(context.select("h", "all_o", "all_t", rest("o").alias("rest_o"), rest("t").alias("rest_t")), "contexts")
         joined = grams.join(context, "h").join(lower.select(F.col("g").alias("s"), F.col("p_o").alias("q_o"), F.col("p_t").alias("q_t")), "s")
 
         def p(c: str) -> F.Column:
-            rest = F.least(DISCOUNT * F.col(f"types_{c}"), F.col(f"all_{c}").cast("double")) + PRIOR
-            return (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + rest * F.col(f"q_{c}")) / (F.col(f"all_{c}") + PRIOR)
+            return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / (F.col(f"all_{c}") + PRIOR) + F.col(f"rest_{c}") * F.col(f"q_{c}")
 
         lower = materialise(joined.select("g", p("o").alias("p_o"), p("t").alias("p_t")), "order")
-    return lower.select("g", F.ln(F.col("p_t") / F.col("p_o")).alias("ratio"))
+        tables.append(lower.select(F.lit(size).alias("size"), F.lit(False).alias("escape"), "g", F.ln(F.col("p_t") / F.col("p_o")).alias("ratio")))
+        tables.append(context.select(F.lit(size).alias("size"), F.lit(True).alias("escape"), F.col("h").alias("g"), F.ln(F.col("rest_t") / F.col("rest_o")).alias("ratio")))
+    return reduce(DataFrame.union, tables)
 
 
 class Model:
-    """Kept grams, their log-ratios, and the curve (slope, middle) from evidence to score."""
-
-    def __init__(self, grams: np.ndarray, ratios: np.ndarray, slope: float = 1.0, middle: float = 0.0, constant: float | None = None) -> None:
-        self.grams, self.ratios, self.slope, self.middle, self.constant = grams.astype(np.uint64), ratios.astype(np.float32), slope, middle, constant
-        self.places: vectext.Places | None = None
+    """For each (size, escape): grams or contexts and their log-ratios; and the curve (slope, middle) from evidence to score."""
+
+    def __init__(self, tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]], slope: float = 1.0, middle: float = 0.0, constant: float | None = None) -> None:
+        self.tables = {k: (grams.astype(np.uint64), ratios.astype(np.float32)) for k, (grams, ratios) in tables.items()}
+        self.slope, self.middle, self.constant = slope, middle, constant
+        self.places: dict[tuple[int, bool], vectext.Places] | None = None
+
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """The log-ratio of the last byte of each ORDER-gram, by the longest of its endings that was seen."""
+        self.places = self.places or {k: vectext.Places(grams) for k, (grams, _) in self.tables.items()}
+        out, left = np.zeros(len(keys), np.float32), np.arange(len(keys))
+        for size in range(ORDER, SHARED, -1):
+            for escape in (False, True):
+                if (size, escape) in self.tables and len(left):
+                    found = self.places[size, escape].find((keys[left] & np.uint64((1 << 8 * size) - 1)) >> np.uint64(8 * escape))
+                    known = found >= 0
+                    out[left[known]] += self.tables[size, escape][1][found[known]]
+                    left = left if escape else left[~known]
+        return out
 
     def evidence(self, column: pa.Array) -> np.ndarray:
         """The largest log-likelihood ratio a byte of a passage; 0 for empty texts."""
-        self.places = self.places or vectext.Places(self.grams)
-        table_, out = np.append(self.ratios, np.float32(0)), []
+        out = []
         for _, data, starts in vectext.blocks(*vectext.text_bytes(column)):
-            found = self.places.find(vectext.grams(vectext.letters(data), starts, ORDER))
-            total = np.concatenate([[0.0], np.cumsum(table_[found], dtype=np.float64)])
+            ratios = self.ratios(vectext.grams(vectext.letters(data), starts, ORDER))
+            total = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
             ends = np.minimum(np.arange(len(data)) + PASSAGE, np.repeat(starts[1:], np.diff(starts)))
             most, full = np.zeros(len(starts) - 1), np.flatnonzero(np.diff(starts))
             if len(full):
@@ -170,6 +192,13 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return 8 / apart, float(middle)
 
 
+def _tables(ratios: DataFrame) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    got = ratios.withColumn("ratio", F.col("ratio").cast("float")).toArrow()
+    size, escape, grams, values = (got[c].to_numpy() for c in ("size", "escape", "g", "ratio"))
+    picks = {(k, e): np.flatnonzero((size == k) & (escape == e)) for k in range(SHARED + 1, ORDER + 1) for e in (False, True)}
+    return {k: (grams[at], values[at]) for k, at in picks.items()}
+
+
 def train(labelled: DataFrame, in_curve: F.Column) -> Model:
     """labelled: rows (text, toxic 0 or 1). The counts take the rows outside in_curve, the curve those inside."""
     prepare(labelled.sparkSession)
@@ -178,17 +207,11 @@ def train(labelled: DataFrame, in_curve: F.Column) -> Model:
     sizes = {(r["inside"], r["toxic"]): r["count"] for r in rows.groupBy("inside", "toxic").count().collect()}
     seen = {t for (_, t), n in sizes.items() if n}
     if len(seen) < 2:
-        return Model(np.zeros(0), np.zeros(0), constant=float(max(seen, default=0)))
+        return Model({}, constant=float(max(seen, default=0)))
     if not all(sizes.get((inside, t)) for inside in (False, True) for t in (0, 1)):
         rows = rows.withColumn("inside", F.lit(False))  # too few rows to spare: all count
     counts = materialise(gram_counts(rows.where("not inside")), "grams")
-    ratios = materialise(log_ratios(counts).where("abs(ratio) > 0.02").withColumn("weight", F.abs("ratio")), "ratios")
-    n = ratios.count()
-    if n > MODEL_GRAMS:
-        cut = ratios.agg(F.percentile_approx("weight", 1 - 0.98 * MODEL_GRAMS / n, 100_000)).head()[0]
-        ratios = ratios.where(F.col("weight") > cut)
-    kept = ratios.select("g", F.col("ratio").cast("float")).toArrow()
-    model = Model(kept["g"].to_numpy(), kept["ratio"].to_numpy())
+    model = Model(_tables(log_ratios(counts)))
     spared = rows.where("inside") if all(sizes.get((True, t)) for t in (0, 1)) and any(inside for inside, _ in sizes) else rows
     share = min(1.0, CURVE_ROWS / max(sum(sizes.values()), 1) * 4)
     picked = spared.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))

@@ -88,6 +88,34 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), toxicity.train(df.limit(0), F.lit(False))).count() == 0
 
 
+def test_toxicity_backs_off_as_it_learned(spark):
+    """Log-ratios against Kneser-Ney worked out gram by gram, also for grams that no labelled text has."""
+    taught = [("you zumpf there", 1), ("the zumpf", 1), ("you there", 0), ("the other one there", 0)]
+    model = toxicity.train(spark.createDataFrame(taught * 20, "text string, toxic int"), F.lit(False))
+    shared = {r["g"]: r["p"] for r in toxicity._shared(toxicity.gram_counts(spark.createDataFrame(taught, "text string, toxic int"))).collect()}
+    n = [{}, {}]
+    for t, c in taught * 20:
+        padded = " " * 5 + t
+        for i in range(5, len(padded)):
+            for size in range(3, 7):
+                of = n[c].setdefault(padded[i - size + 1 : i], {})
+                of[padded[i]] = of.get(padded[i], 0) + 1
+
+    def p(c, gram):
+        if len(gram) == toxicity.SHARED:
+            return shared.get(int.from_bytes(gram.encode(), "big"), 1e-9)
+        of = n[c].get(gram[:-1], {})
+        rest = min(toxicity.DISCOUNT * len(of), sum(of.values())) + toxicity.PRIOR
+        return (max(of.get(gram[-1], 0) - toxicity.DISCOUNT, 0) + rest * p(c, gram[1:])) / (sum(of.values()) + toxicity.PRIOR)
+
+    for t in ("my oldzumpfer", "qq zum", "you zumpf there"):
+        padded, data = " " * 5 + t, np.frombuffer(t.encode(), np.uint8)
+        grams = [padded[i : i + 6] for i in range(len(t))]
+        want = [np.log(p(1, g) / p(0, g)) for g in grams]
+        assert model.ratios(vectext.grams(data, np.array([0, len(t)]), toxicity.ORDER)) == pytest.approx(want, abs=1e-4)
+    assert model.evidence(pa.array(["qqzumpf"]))[0] > 0.1  # no 6-gram of it was seen
+
+
 def test_language(spark):
     rng = random.Random(4)
     said = {"aa": ["kala", "malo", "tiki", "nano"], "bb": ["schlacht", "grund", "wurm"], "ç": ["łódź", "żółw"]}
