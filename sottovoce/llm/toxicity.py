@@ -9,8 +9,9 @@ A logistic curve, fitted on labelled rows that the counts leave out, makes the e
 
 Counts cover every labelled text, whole; they are gathered by key. Scoring backs off as learning does: a byte counts by
 the longest gram that was seen, plus, for each longer context that was seen without it, the difference of the two models'
-back-off weights there; so the finished tables hold every gram and every context of each order, whole. Ids, languages
-and sources are no inputs.
+back-off weights there; so the finished tables hold every gram and every context of each order, whole. Up to
+BROADCAST_ENTRIES they are broadcast; larger ones go as sorted files to the disk of each node, where the tasks map them
+into memory, so that they may grow with the labelled texts. Ids, languages and sources are no inputs.
 
 Defined cases: null and empty texts have no evidence and get the score of none; labels that are null teach nothing; with
 labels of one class only, every score is 0 (or 1, if all are toxic); rows that repeat get equal scores; an empty table
@@ -18,12 +19,16 @@ gives an empty result; further columns pass through untouched."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,10 @@ SHARED = 2
 PRIOR = 5.0
 #: Bytes of a passage over which the log-likelihoods are compared.
 PASSAGE = 12
+#: Entries of all tables, up to which they are broadcast: about 100 MB a task, slots included.
+BROADCAST_ENTRIES = 1 << 21
+#: Entries that travel to the driver in one row, on the way to a file.
+PACKED = 1 << 16
 #: Labelled rows, at most about, on which the curve is fitted.
 CURVE_ROWS = 20_000
 #: Words of 64 bits of the bitmap that picks labelled documents: 8 MB however many there are.
@@ -127,17 +136,49 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
+class Sorted:
+    """Finds where keys stand in a sorted array, which may be a mapped file; the interface of vectext.Places."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys) or not len(keys):
+            return np.full(len(keys), -1)
+        asked, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(self.keys[at] == asked, at, -1)[back]
+
+
+class Files:
+    """Tables in two files (keys, ratios) that Spark sends to each node, and where each table starts and stops in them."""
+
+    def __init__(self, name: str, spans: dict[tuple[int, bool], tuple[int, int]]) -> None:
+        self.name, self.spans = name, spans
+
+    def tables(self) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+        keys, ratios = (np.memmap(SparkFiles.get(f"{self.name}.{part}"), kind, "r") for part, kind in (("keys", np.uint64), ("ratios", np.float32)))
+        return {k: (keys[a:b], ratios[a:b]) for k, (a, b) in self.spans.items() if b > a}
+
+
 class Model:
     """For each (size, escape): grams or contexts and their log-ratios; and the curve (slope, middle) from evidence to score."""
 
-    def __init__(self, tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]], slope: float = 1.0, middle: float = 0.0, constant: float | None = None) -> None:
-        self.tables = {k: (grams.astype(np.uint64), ratios.astype(np.float32)) for k, (grams, ratios) in tables.items()}
+    def __init__(self, tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] | Files, slope: float = 1.0, middle: float = 0.0, constant: float | None = None) -> None:
+        self.files = tables if isinstance(tables, Files) else None
+        self.tables = {} if self.files else {k: (grams.astype(np.uint64), ratios.astype(np.float32)) for k, (grams, ratios) in tables.items()}
         self.slope, self.middle, self.constant = slope, middle, constant
-        self.places: dict[tuple[int, bool], vectext.Places] | None = None
+        self.places: dict[tuple[int, bool], vectext.Places | Sorted] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"places": None} | ({"tables": {}} if self.files else {})
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
         """The log-ratio of the last byte of each ORDER-gram, by the longest of its endings that was seen."""
-        self.places = self.places or {k: vectext.Places(grams) for k, (grams, _) in self.tables.items()}
+        if self.places is None:
+            if self.files:
+                self.tables = self.files.tables()
+            self.places = {k: Sorted(grams) if self.files else vectext.Places(grams) for k, (grams, _) in self.tables.items()}
         out, left = np.zeros(len(keys), np.float32), np.arange(len(keys))
         for size in range(ORDER, SHARED, -1):
             for escape in (False, True):
@@ -192,13 +233,50 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return 8 / apart, float(middle)
 
 
-def _tables(ratios: DataFrame) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
-    got = ratios.withColumn("ratio", F.col("ratio").cast("float")).toArrow()
+def _tables(ratios: DataFrame) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] | Files:
+    """The tables of a model: in the driver's memory, or, if they are more than may be broadcast, in files."""
+    ratios = ratios.withColumn("ratio", F.col("ratio").cast("float"))
+    if ratios.count() > BROADCAST_ENTRIES:
+        return _files(ratios)
+    got = ratios.toArrow()
     size, escape, grams, values = (got[c].to_numpy() for c in ("size", "escape", "g", "ratio"))
     picks = {(k, e): np.flatnonzero((size == k) & (escape == e)) for k in range(SHARED + 1, ORDER + 1) for e in (False, True)}
     return {k: (grams[at], values[at]) for k, at in picks.items()}
 
 
+def _files(ratios: DataFrame) -> Files:
+    """Sorts the tables in the cluster, and streams them through the driver into files; it holds one partition at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table_ = pa.Table.from_batches(held)
+            kind, grams, values = table_["kind"].to_numpy(), table_["g"].to_numpy().astype(np.uint64), table_["ratio"].to_numpy()
+            for k in np.unique(kind):  # rows are sorted by kind
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([grams[kind == k].tobytes()]), pa.array([values[kind == k].tobytes()])], ["kind", "keys", "ratios"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED:
+                yield from out(held)
+                held, n = [], 0
+        if n:
+            yield from out(held)
+
+    rows = ratios.select((F.col("size") * 2 + F.col("escape").cast("int")).alias("kind"), "g", "ratio").orderBy("kind", "g")
+    packed = rows.mapInArrow(run, "kind int, keys binary, ratios binary")
+    name, folder, sizes = f"toxicity-{uuid.uuid4().hex[:12]}", tempfile.mkdtemp(prefix="sottovoce-"), Counter()
+    with open(f"{folder}/{name}.keys", "wb") as keys, open(f"{folder}/{name}.ratios", "wb") as values:
+        for r in packed.toLocalIterator():
+            sizes[r["kind"]] += keys.write(r["keys"]) // 8
+            values.write(r["ratios"])
+    for part in ("keys", "ratios"):
+        ratios.sparkSession.sparkContext.addFile(f"{folder}/{name}.{part}")
+    stops = np.cumsum([sizes[k] for k in sorted(sizes)]).tolist()
+    return Files(name, {(k // 2, k % 2 == 1): (stop - sizes[k], stop) for k, stop in zip(sorted(sizes), stops, strict=True)})
+
+
 def train(labelled: DataFrame, in_curve: F.Column) -> Model:
     """labelled: rows (text, toxic 0 or 1). The counts take the rows outside in_curve, the curve those inside."""
     prepare(labelled.sparkSession)

@@ -116,6 +116,21 @@ def test_toxicity_backs_off_as_it_learned(spark):
     assert model.evidence(pa.array(["qqzumpf"]))[0] > 0.1  # no 6-gram of it was seen
 
 
+def test_toxicity_tables_beyond_a_broadcast_stay_whole(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda toxic: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20)) + (" zumpf" if toxic else "")
+    df = spark.createDataFrame([(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(300)], "doc_id bigint, text string, toxic int")
+    small = toxicity.train(df, F.lit(False))
+    monkeypatch.setattr(toxicity, "BROADCAST_ENTRIES", 100)
+    monkeypatch.setattr(toxicity, "PACKED", 1000)
+    large = toxicity.train(df, F.lit(False))
+    assert large.files and not small.files
+    assert {k: b - a for k, (a, b) in large.files.spans.items()} == {k: len(grams) for k, (grams, _) in small.tables.items()}
+    scores = [sorted(toxicity.score(df, m).select("doc_id", "score").collect()) for m in (small, large)]
+    assert scores[0] == scores[1] and sum(s > 0.5 for _, s in scores[0]) == 100
+    assert toxicity.reject(df, large).count() == 200
+
+
 def test_language(spark):
     rng = random.Random(4)
     said = {"aa": ["kala", "malo", "tiki", "nano"], "bb": ["schlacht", "grund", "wurm"], "ç": ["łódź", "żółw"]}
