@@ -6,7 +6,8 @@ code or an escape and the cost in the next shorter context; below the empty cont
 language with the shortest code for the whole text wins. Costs for every sequence that any language has seen are worked
 out once, so a byte takes about one search for all languages together.
 
-The training sample is a bounded one: whole texts, about SAMPLE_DOCS of each language, taken by a hash of id and text.
+The training sample is a bounded one: whole texts, about SAMPLE_DOCS distinct ones of each language (all, if there are no
+more), taken by a hash of the text; each counts once, however often it is copied.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as are all texts if nothing was learned;
 null languages teach nothing; of equal costs the language that sorts first wins; rows that repeat get equal answers; an
@@ -105,12 +106,13 @@ class Model:
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """labelled: rows (lang, text). None if there is nothing to learn from."""
     prepare(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as languages
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}  # as many rows as languages
     if not sizes:
         return None
     limits = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 30, sample_docs * (1 << 30) // n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < limits[F.col("lang")])
+    sample = rows.where(F.pmod("h", F.lit(1 << 30)) < limits[F.col("lang")])
+    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies meet in their own partition first
     counts = materialise(sequence_counts(sample), "sequences").toArrow()  # bounded by the sample
     langs = sorted(set(counts["lang"].to_pylist()))
     number = {lang: i for i, lang in enumerate(langs)}

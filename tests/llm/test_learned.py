@@ -147,6 +147,17 @@ def test_language(spark):
     assert language.predict(df.limit(0), model).count() == 0
 
 
+def test_language_learns_each_text_once(spark):
+    """A text copied so often that it is most rows of a language neither hides the others nor outweighs them."""
+    rows = [("aa", f"kala malo tiki {i} nano") for i in range(4)] + [("aa", " ".join(["tiki", "nano", "malo"] * i)) for i in range(1, 17)] + [("bb", "schlacht grund " + "wurm " * i) for i in range(20)]
+    few = spark.createDataFrame(rows, "lang string, text string")
+    many = few.union(spark.range(4000).select(F.lit("aa"), F.lit("kala kala kala")))
+    once = few.union(spark.createDataFrame([("aa", "kala kala kala")], few.schema))
+    a, b = language.train(many, sample_docs=5), language.train(once, sample_docs=5)
+    texts = pa.array(["kala nano", "grund wurm", "tiki tiki"])
+    assert a.langs == b.langs == ["aa", "bb"] and (a.costs(texts) == b.costs(texts)).all()
+
+
 def test_ppm_costs_are_exact():
     """Against a tree walked byte by byte."""
     texts = {"a": "abracadabra abra", "b": "banana band"}
