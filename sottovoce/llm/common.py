@@ -23,9 +23,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master alone, a folder of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sottovoce-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
@@ -44,19 +46,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files that a materialised table was read from."""
+    """Deletes the files of materialised tables; files outside the shared folder are left alone."""
     spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf, as_path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    own = as_path(shared_dir(spark)).toUri().getPath().rstrip("/") + "/"
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        path = as_path(parent)
+        if path.toUri().getPath().startswith(own):
+            path.getFileSystem(conf).delete(path, True)
 
 
 def hot_keys(counted: DataFrame, on: str) -> DataFrame | None:
     """The keys with more than 1/HOT_SLICES of the rows, each with the parts (_n) to deal it over; None if there are none. At most HOT_SLICES rows."""
     share = max(counted.count() // HOT_SLICES, MIN_HOT_ROWS)
     hot = counted.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
-    hot = materialise(hot.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_n")).coalesce(1), "hot")
+    hot = materialise(hot.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_n")), "hot")
     return hot if hot.head(1) else None
 
 
@@ -87,7 +91,7 @@ def maybe_in(df: DataFrame, key: str, needed: DataFrame, words: int) -> DataFram
     bit = lambda c: F.expr(f"cast(pmod(xxhash64(cast(`{c}` as bigint)), 64) as int)")
     (k,) = needed.columns
     bits = needed.select(F.floor(spot(k) / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(k)).alias("_bits"))
-    bitmap = materialise(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).coalesce(1), "bitmap")
+    bitmap = materialise(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")), "bitmap")
     found = df.withColumn("_word", F.floor(spot(key) / 64).cast("int")).join(F.broadcast(bitmap), "_word")
     return found.where(F.getbit("_bits", bit(key)) == 1).drop("_word", "_bits")
 

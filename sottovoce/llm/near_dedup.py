@@ -4,8 +4,9 @@ A document's set holds its distinct `width`-word shingles (fewer words: the whol
 Documents link when intersection / union of their sets reaches the threshold; groups are the connected components.
 
 How no link between different sets gets lost, while no bucket is expanded into all its pairs:
-1. documents with equal sets collapse to one node, so exact copies cost one row;
-2. in every bucket of equal band values each node is compared to one pivot of that bucket only (a star);
+1. documents with equal sets collapse to one node, so exact copies cost one row; nodes are numbered, in 8 bytes;
+2. one pass over the band values counts every bucket and finds its first and last node: of two nodes that is the pair.
+   Only nodes of larger buckets move once more; each is compared to one pivot of its bucket (a star);
 3. two rounds of labelling along the links found so far give (parts of) components; where a bucket still holds several,
    the nodes outside its largest are compared, in blocks spread over tasks, with all the bucket's nodes outside their own.
 Pairs that share no band are lost: with 32 bands of 5 registers that is 1 pair in 300,000 at similarity 0.8, fewer above.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sottovoce.llm import vectext
-from sottovoce.llm.common import discard, hot_keys, materialise, maybe_in, prepare, skew_join, table
+from sottovoce.llm.common import HOT_SLICES, MIN_HOT_ROWS, discard, hot_keys, materialise, maybe_in, prepare, skew_join, table
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -106,25 +107,25 @@ def jaccard(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """A row per document: id, row (hash of id and text), n (set size), node (digest of the set) and registers."""
+    """A row per document: id, row (hash of id and text), n (set size), digest (128 bits, of the set) and registers."""
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, sketches = [], [], []
+            sizes, digests, sketches = [], [], []
             for sets in shingle_sets(batch.column("text"), width):
                 sizes += [len(s) for s in sets]
                 for s in sets:
                     twice = vectext.mix(s ^ np.uint64(0x5851F42D4C957F2D))
-                    nodes.append(np.array([s.sum(dtype=np.uint64), twice.sum(dtype=np.uint64)]).tobytes() if len(s) else None)
+                    digests.append(np.array([s.sum(dtype=np.uint64), twice.sum(dtype=np.uint64)]).tobytes() if len(s) else None)
                 full = [s for s in sets if len(s)]
                 rows = iter(sketch(full)) if full else iter(())
                 sketches += [next(rows).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())], ["id", "row", "n", "node", "registers"])
+                [batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["id", "row", "n", "digest", "registers"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, row long, n long, node binary, registers binary")
+    return slim.mapInArrow(run, f"id {kind}, row long, n long, digest binary, registers binary")
 
 
 def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -133,21 +134,24 @@ def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
 
 
 def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row (row, text) for each needed row, and some more: documents are picked by a bitmap of fixed size over the hashes of the needed ones."""
-    text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    """A row (row, text_id, text) for each needed row, and some more: documents are picked by a bitmap of fixed size over
+    the hashes of the needed ones. Different documents may share a hash; the id tells them apart."""
+    text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
     picked = maybe_in(text, "row", needed, BITMAP_WORDS)
-    return materialise(picked.dropDuplicates(["row"]), "texts")
+    return materialise(picked.dropDuplicates(["row", "text_id"]), "texts")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Of the node pairs (a, b), those whose full sets reach the threshold."""
     estimate = F.pandas_udf(_estimate, "double")
-    about = nodes.select("node", "registers", "n", "row")
+    named = pairs.select(F.col("a").alias("x")).union(pairs.select("b"))
+    about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", named, BITMAP_WORDS), "about")
     side = {s: about.select(*[F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in about.columns]) for s in "ab"}
     # size alone rules a pair out at once; registers rule out most others
     sized = skew_join(skew_join(pairs, side["b"], "b"), side["a"], "a", counted=pairs).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    likely = sized.where(estimate("registers_a", "registers_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b", "row_a", "row_b")
+    likely = sized.where(estimate("registers_a", "registers_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b", "row_a", "id_a", "row_b", "id_b")
     likely = materialise(likely, "likely")
+    discard(about)
     texts = _texts(docs, likely.select(F.col("row_a").alias("row")).union(likely.select("row_b")), id_col, text_col)
     prepare(docs.sparkSession)
 
@@ -161,10 +165,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of = {s: texts.select(F.col("row").alias(f"row_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
-    both = skew_join(skew_join(likely, of["b"], "row_b"), of["a"], "row_a", counted=likely)
-    found = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary"), "links")
+    of = {s: texts.select(F.col("row").alias(f"row_{s}"), F.col("text_id").alias(f"text_id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
+    own = lambda s: F.col(f"id_{s}").eqNullSafe(F.col(f"text_id_{s}"))
+    both = skew_join(skew_join(likely, of["b"], "row_b").where(own("b")), of["a"], "row_a", counted=likely).where(own("a"))
+    found = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
     discard(texts)
+    discard(likely)
     return found
 
 
@@ -191,16 +197,34 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """A row per node and band: node, band and the hash of its registers there, of buckets with several nodes."""
+def _bands(nodes: DataFrame) -> DataFrame:
+    """A row per node and band: node, band and the hash of its registers there."""
     keys = [F.xxhash64(F.lit(k), F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)]
     return nodes.select("node", F.posexplode_outer(F.array(*keys)).alias("band", "key"))
 
 
+def _buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) to compare first, and the buckets of more than two nodes, a row (key, band, node) for each of their nodes."""
+    bands = _bands(nodes)
+    # numbers are mixed with the key, so that each bucket has a first node of its own; that and the key tell the number
+    mixed = F.col("node").bitwiseXOR(F.col("key"))
+    counted = bands.select("key", mixed.alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    shared = materialise(counted.where("c > 1").select("key", "c", (F.col("lo").bitwiseXOR(F.col("key"))).alias("pivot"), (F.col("hi").bitwiseXOR(F.col("key"))).alias("other")), "shared")
+    wide = shared.where("c > 2")
+    share = F.greatest(F.floor(F.lit((wide.agg(F.sum("c")).head()[0] or 0) / HOT_SLICES)), F.lit(MIN_HOT_ROWS))
+    hot = wide.where(F.col("c") > share).select("key", F.ceil(F.col("c") / share).cast("int").alias("_n"))  # at most HOT_SLICES rows
+    members = skew_join(maybe_in(bands, "key", wide.select("key"), BITMAP_WORDS), wide.select("key", "pivot"), "key", hot=hot if hot.head(1) else None)
+    buckets = materialise(members.select("key", "band", "node", "pivot"), "buckets")
+    stars = buckets.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).union(shared.where("c = 2").select("pivot", "other"))
+    pairs = materialise(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    discard(shared)
+    return pairs, buckets
+
+
 def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links between different components within a bucket (step 3). A node that links to a component once is not compared to the rest of it in that block."""
     spark = docs.sparkSession
-    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = skew_join(buckets.select("key", "band", "node"), labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = materialise(labelled.select("node", "band", "key", "label"), "labelled")
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     state = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("major")).where("all > 2 and all > major.n")
@@ -212,10 +236,12 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
     stands = rows.select("node", "band", "key", "label", F.lit(0).alias("asks"), F.explode_outer(every("nq")).alias("q"), own("ns").alias("s"))
     asks = rows.where("label <> major").select("node", "band", "key", "label", F.lit(1).alias("asks"), own("nq").alias("q"), F.explode_outer(every("ns")).alias("s"))
     placed = materialise(stands.union(asks), "placed")
-    full = skew_join(placed, nodes.select("node", "registers", "n", "row"), "node")
+    about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", placed.select("node"), BITMAP_WORDS), "about")
+    full = skew_join(placed, about, "node")
+    kind = nodes.schema["id"].dataType.simpleString()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # blocks are few bytes but long to compare, so they are not packed by size
 
-    names = ["key", "q", "s", "node", "label", "row", "place", "partners"]
+    names = ["key", "q", "s", "node", "label", "row", "id", "place", "partners"]
 
     def likely(frame: pd.DataFrame) -> pd.DataFrame:
         """Askers with the places of those that they may link to, most alike first, and all that are asked."""
@@ -242,10 +268,11 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
         wanted = sorted({j for js in partners.values() for j in js})
         if not wanted:
             return pd.DataFrame(columns=names)
-        out = frame.iloc[wanted + list(partners)][["key", "q", "s", "node", "label", "row"]]
+        out = frame.iloc[wanted + list(partners)][["key", "q", "s", "node", "label", "row", "id"]]
         return out.assign(place=wanted + [-1] * len(partners), partners=[[]] * len(wanted) + list(partners.values()))
 
-    met = materialise(full.repartition(tasks, "key", "q", "s").groupBy("key", "q", "s").applyInPandas(likely, "key long, q int, s int, node binary, label binary, row long, place int, partners array<int>"), "met")
+    met = materialise(full.repartition(tasks, "key", "q", "s").groupBy("key", "q", "s").applyInPandas(likely, f"key long, q int, s int, node long, label long, row long, id {kind}, place int, partners array<int>"), "met")
+    discard(about)
     texts = _texts(docs, met.select("row"), id_col, text_col)
 
     def confirmed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +280,7 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
         at = {p: i for i, p in enumerate(frame["place"]) if p >= 0}
         node, label, out = frame["node"].tolist(), frame["label"].tolist(), []
         for i, partners in enumerate(frame["partners"]):
-            linked: set[bytes] = set()
+            linked: set[int] = set()
             for j in (at[p] for p in partners):
                 if label[j] in linked:
                     continue
@@ -263,9 +290,9 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
                     out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    whole = skew_join(met, texts, "row").repartition(tasks, "key", "q", "s")
-    links = materialise(whole.groupBy("key", "q", "s").applyInPandas(confirmed, "a binary, b binary"), "links")
-    for used in (labelled, placed, met, texts):
+    whole = skew_join(met, texts, "row").where(F.col("id").eqNullSafe(F.col("text_id"))).drop("id", "text_id").repartition(tasks, "key", "q", "s")
+    links = materialise(whole.groupBy("key", "q", "s").applyInPandas(confirmed, "a long, b long"), "links")
+    for used in (labelled, state, placed, met, texts):
         discard(used)
     return links
 
@@ -274,24 +301,28 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """A row per document: id, n_shingles, component_id, kept (id = component_id), row (hash of id and text)."""
     prepare(docs.sparkSession)
     percent = round(threshold * 100)
-    found = materialise(features(docs, id_col, text_col, width), "features")
-    nodes = materialise(found.where("n > 0").groupBy("node").agg(F.first("registers").alias("registers"), F.first("n").alias("n"), F.min("row").alias("row"), F.min("id").alias("least")), "nodes")
-    spread = _buckets(nodes)
-    pivot = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"]
-    shared = materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("c"), pivot.alias("pivot")).where("c > 1").select("key", "pivot"), "shared")
-    buckets = materialise(spread.join(shared.select("key"), "key", "left_semi").select("node", "band", "key"), "buckets")
-    stars = skew_join(buckets, shared, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    pairs = materialise(stars, "pairs")
+    sketched = materialise(features(docs, id_col, text_col, width), "features")
+    first = F.first(F.struct("registers", "n", "row", "id"))
+    nodes = sketched.where("n > 0").groupBy("digest").agg(first.alias("f"), F.min("id").alias("least")).select(F.monotonically_increasing_id().alias("node"), "digest", "f.*", "least")
+    nodes = materialise(nodes, "nodes")  # numbers are fixed by writing them
+    found = materialise(sketched.select("id", "row", "n", "digest"), "found")
+    discard(sketched)
+    pairs, buckets = _buckets(nodes)
     links = verified(pairs, nodes, docs, id_col, text_col, width, percent)
+    discard(pairs)
     labels = components(links, rounds=2)
     more = _crossing(buckets, labels, nodes, docs, id_col, text_col, width, percent)
-    labels = components(links.union(more))
     discard(buckets)
-    named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    discard(labels)
+    labels = components(links.union(more))
+    named = nodes.select("node", "digest", "least").join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
     named = materialise(named, "named")
+    for used in (links, more, labels, nodes):
+        discard(used)
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = materialise(skew_join(named, smallest, "label").select("node", "component_id"), "by_node")
-    out = skew_join(found, by_node, "node", "left")
+    by_node = materialise(skew_join(named, smallest, "label").select("digest", "component_id"), "by_node")
+    discard(named)
+    out = skew_join(found, by_node, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "row")
 
