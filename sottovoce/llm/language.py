@@ -143,6 +143,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # null ids are not held out
     model = train(documents.where(~held_out).select("lang", "text"))
     return predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -1,11 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models over letters, of toxic and of ordinary labelled texts, predict each byte from the five before it. Every order
-down to three bytes discounts its class's counts and backs off to the next; the last two orders are shared, with
-continuation counts of both classes, so a rare expression, known in part, counts as far as its parts are known, and what
-neither class has shown counts for neither. The log-likelihood difference of the two models is normalised by length over
-passages of PASSAGE bytes; a text is as toxic as its most toxic passage, so that one expression shows in a long text too.
-A logistic curve, fitted on labelled rows that the counts leave out, makes the evidence a score.
+Two models over letters, of toxic and of ordinary labelled texts, predict each byte from the five before it. Beneath both
+lies one Kneser-Ney model of all labelled texts, from the counts they share: each order discounts its counts and backs
+off to the next, the lowest by continuation counts. A class departs from it only as far as its own counts go: at every
+order its ratio to the shared probability is drawn, as by PRIOR bytes, to the ratio one order lower. So a rare expression,
+known in part, counts as far as its parts are known, and what neither class has shown counts for neither.
+
+The log-likelihood difference of the two models is taken over all passages of PASSAGE bytes of a text, and compared four
+ways: the most toxic passage (one expression shows in a long text too), and three normalised by the text's length (how
+many passages are strongly toxic, by how much passages exceed a limit, and the mean likelihood ratio of passages). A
+logistic curve, fitted on labelled rows that the counts leave out, weighs the four and makes them a score.
 
 Counts cover every labelled text, whole; they are gathered by key. Scoring backs off as learning does: a byte counts by
 the longest gram that was seen, plus, for each longer context that was seen without it, the difference of the two models'
@@ -13,7 +17,7 @@ back-off weights there; so the finished tables hold every gram and every context
 BROADCAST_ENTRIES they are broadcast; larger ones go as sorted files to the disk of each node, where the tasks map them
 into memory, so that they may grow with the labelled texts. Ids, languages and sources are no inputs.
 
-Defined cases: null and empty texts have no evidence and get the score of none; labels that are null teach nothing; with
+Defined cases: null and empty texts have no passages and get the score of none; rows of a null id are not held out; labels that are null teach nothing; with
 labels of one class only, every score is 0 (or 1, if all are toxic); rows that repeat get equal scores; an empty table
 gives an empty result; further columns pass through untouched."""
 
@@ -39,10 +43,13 @@ ORDER = 6
 DISCOUNT = 0.75
 #: Orders up to this one are shared by the classes.
 SHARED = 2
-#: Counts that the lower order adds to each class's context.
-PRIOR = 5.0
+#: Bytes of a context that a class must show before its own counts outweigh the lower order's ratio.
+PRIOR = 600.0
 #: Bytes of a passage over which the log-likelihoods are compared.
 PASSAGE = 12
+#: Log-likelihood ratio of a passage from which it exceeds, and from which it is strongly toxic; length (in bytes) that
+#: every text is taken to have besides its own, in the mean ratio and in the other two.
+EXCEEDS, STRONG, BESIDE_RATIO, BESIDE = 1.0, 3.0, 50, 200
 #: Entries of all tables, up to which they are broadcast: about 100 MB a task, slots included.
 BROADCAST_ENTRIES = 1 << 21
 #: Entries that travel to the driver in one row, on the way to a file.
@@ -113,26 +120,23 @@ def _shared(counts: DataFrame) -> DataFrame:
 def log_ratios(counts: DataFrame) -> DataFrame:
     """Rows (size, escape, g, ratio) of the orders above SHARED: ln P_toxic - ln P_ordinary of each gram of `size` bytes
     (context and byte), and, with escape, of the weights that each context (size - 1 bytes) gives to the next order."""
-    lower = _shared(counts).select("g", F.col("p").alias("p_o"), F.col("p").alias("p_t"))
+    lower = _shared(counts).select("g", "p", F.lit(1.0).alias("r_o"), F.lit(1.0).alias("r_t"))
     tables = []
     for size in range(SHARED + 1, ORDER + 1):
         grams = counts if size == ORDER else counts.groupBy(_last(size).alias("g")).agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
         grams = grams.withColumn("h", F.shiftright("g", 8)).withColumn("s", _last(size - 1))
-        context = grams.groupBy("h").agg(
-            F.sum("o").alias("all_o"), F.sum("t").alias("all_t"), F.count(F.when(F.col("o") > 0, 1)).alias("types_o"), F.count(F.when(F.col("t") > 0, 1)).alias("types_t"))
-
-        def rest(c: str) -> F.Column:
-            return (F.least(DISCOUNT * F.col(f"types_{c}"), F.col(f"all_{c}").cast("double")) + PRIOR) / (F.col(f"all_{c}") + PRIOR)
-
-        context = materialise(context.select("h", "all_o", "all_t", rest("o").alias("rest_o"), rest("t").alias("rest_t")), "contexts")
-        joined = grams.join(context, "h").join(lower.select(F.col("g").alias("s"), F.col("p_o").alias("q_o"), F.col("p_t").alias("q_t")), "s")
-
-        def p(c: str) -> F.Column:
-            return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / (F.col(f"all_{c}") + PRIOR) + F.col(f"rest_{c}") * F.col(f"q_{c}")
-
-        lower = materialise(joined.select("g", p("o").alias("p_o"), p("t").alias("p_t")), "order")
-        tables.append(lower.select(F.lit(size).alias("size"), F.lit(False).alias("escape"), "g", F.ln(F.col("p_t") / F.col("p_o")).alias("ratio")))
-        tables.append(context.select(F.lit(size).alias("size"), F.lit(True).alias("escape"), F.col("h").alias("g"), F.ln(F.col("rest_t") / F.col("rest_o")).alias("ratio")))
+        context = materialise(grams.groupBy("h").agg(F.sum("o").alias("all_o"), F.sum("t").alias("all_t"), F.count(F.lit(1)).alias("types")), "contexts")
+        joined = grams.join(context, "h").join(lower.select(F.col("g").alias("s"), F.col("p").alias("q"), F.col("r_o").alias("q_o"), F.col("r_t").alias("q_t")), "s")
+        n = F.col("o") + F.col("t")
+        joined = joined.withColumn("p", (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("q")) / (F.col("all_o") + F.col("all_t")))
+
+        def ratio(c: str) -> F.Column:
+            return (F.col(c) / F.col("p") + PRIOR * F.col(f"q_{c}")) / (F.col(f"all_{c}") + PRIOR)
+
+        lower = materialise(joined.select("g", "p", ratio("o").alias("r_o"), ratio("t").alias("r_t")), "order")
+        tables.append(lower.select(F.lit(size).alias("size"), F.lit(False).alias("escape"), "g", F.ln(F.col("r_t") / F.col("r_o")).alias("ratio")))
+        rest = F.ln((F.col("all_o") + PRIOR) / (F.col("all_t") + PRIOR))
+        tables.append(context.select(F.lit(size).alias("size"), F.lit(True).alias("escape"), F.col("h").alias("g"), rest.alias("ratio")))
     return reduce(DataFrame.union, tables)
 
 
@@ -162,12 +166,13 @@ class Files:
 
 
 class Model:
-    """For each (size, escape): grams or contexts and their log-ratios; and the curve (slope, middle) from evidence to score."""
+    """For each (size, escape): grams or contexts and their log-ratios; the weights of the four comparisons; and the curve (slope, middle) from the evidence, their weighted sum, to the score."""
 
     def __init__(self, tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] | Files, slope: float = 1.0, middle: float = 0.0, constant: float | None = None) -> None:
         self.files = tables if isinstance(tables, Files) else None
         self.tables = {} if self.files else {k: (grams.astype(np.uint64), ratios.astype(np.float32)) for k, (grams, ratios) in tables.items()}
         self.slope, self.middle, self.constant = slope, middle, constant
+        self.weights = np.array([1.0, 0.0, 0.0, 0.0])
         self.places: dict[tuple[int, bool], vectext.Places | Sorted] | None = None
 
     def __getstate__(self) -> dict:
@@ -189,18 +194,26 @@ class Model:
                     left = left if escape else left[~known]
         return out
 
-    def evidence(self, column: pa.Array) -> np.ndarray:
-        """The largest log-likelihood ratio a byte of a passage; 0 for empty texts."""
-        out = []
+    def comparisons(self, column: pa.Array) -> np.ndarray:
+        """A row per text: its largest log-likelihood ratio of a passage; the logarithms of its excess and of its share of
+        strong passages; the logarithm of its mean likelihood ratio of passages."""
+        out = [np.zeros((0, 4))]
         for _, data, starts in vectext.blocks(*vectext.text_bytes(column)):
             ratios = self.ratios(vectext.grams(vectext.letters(data), starts, ORDER))
             total = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
             ends = np.minimum(np.arange(len(data)) + PASSAGE, np.repeat(starts[1:], np.diff(starts)))
-            most, full = np.zeros(len(starts) - 1), np.flatnonzero(np.diff(starts))
+            passages = total[ends] - total[:-1]
+            n, most, full = np.diff(starts), np.zeros(len(starts) - 1), np.flatnonzero(np.diff(starts))
             if len(full):
-                most[full] = np.maximum.reduceat(total[ends] - total[:-1], starts[full])
-            out.append(most / PASSAGE)
-        return np.concatenate(out) if out else np.zeros(0)
+                most[full] = np.maximum.reduceat(passages, starts[full])
+            excess = vectext.row_sums(np.maximum(passages - EXCEEDS, 0), starts) / (n + BESIDE)
+            strong = vectext.row_sums(passages > STRONG, starts) / (n + BESIDE)
+            mean = (vectext.row_sums(np.exp(np.minimum(passages, 50)), starts) + BESIDE_RATIO) / (n + BESIDE_RATIO)
+            out.append(np.stack([most, np.log(excess + 1e-3), np.log(strong + 1e-3), np.log(mean)], axis=1))
+        return np.concatenate(out)
+
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        return self.comparisons(column) @ self.weights
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -211,24 +224,52 @@ class Model:
 def _evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns `keep` of docs and the evidence of its column text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sent.value.evidence(batch.column("text")))], [*keep, "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sent.value.evidence(batch.columns[len(keep)]))], [*keep, "evidence"])
 
     return kept.mapInArrow(run, ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keep) + ", evidence double")
 
 
+def _compared(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The four comparisons and the labels of rows (text, toxic), of which there are few."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            four = sent.value.comparisons(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, four.T)], ["toxic", "a", "b", "c", "d"])
+
+    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, a double, b double, c double, d double").toArrow()
+    return np.stack([got[c].to_numpy() for c in "abcd"], axis=1), got["toxic"].to_numpy()
+
+
+def fit_weights(compared: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression with a slight ridge on standardised comparisons, by Newton's steps."""
+    spread = compared.std(0) + 1e-9
+    x = np.c_[(compared - compared.mean(0)) / spread, np.ones(len(compared))]
+    ridge, w = np.diag([0.1] * compared.shape[1] + [1e-6]), np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ w)
+    return w[:-1] / spread
+
+
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """(slope, middle): the middle divides the classes with the fewest errors, midway in its gap; the slope follows the classes' distance."""
+    """(slope, middle): the middle lies in the gap that divides the classes with the fewest errors, there as near as may be
+    to where both classes' means are equally many deviations away; the slope follows the classes' distance."""
     order = np.argsort(evidence, kind="stable")
     x, y = evidence[order], toxic[order].astype(float)
     missed, wrong = np.concatenate([[0], np.cumsum(y)]), (1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)])
     errors = missed + wrong  # if all rows from the cut on count as toxic
     best = np.flatnonzero(errors == errors.min())
     cut = int(best[len(best) // 2])
-    middle = (x[max(cut - 1, 0)] + x[min(cut, len(x) - 1)]) / 2
+    below, above = x[max(cut - 1, 0)], x[min(cut, len(x) - 1)]
+    spread = [x[y == c].std() + 1e-9 for c in (0, 1)]
+    even = (x[y == 0].mean() * spread[1] + x[y == 1].mean() * spread[0]) / sum(spread)
+    middle = np.clip(even, below + 0.1 * (above - below), above - 0.1 * (above - below))
     apart = max(x[y == 1].mean() - x[y == 0].mean(), 1e-6)
     return 8 / apart, float(middle)
 
@@ -293,9 +334,10 @@ def train(labelled: DataFrame, in_curve: F.Column) -> Model:
     spared = rows.where("inside") if all(sizes.get((True, t)) for t in (0, 1)) and any(inside for inside, _ in sizes) else rows
     share = min(1.0, CURVE_ROWS / max(sum(sizes.values()), 1) * 4)
     picked = spared.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen_rows = _evidence(picked, model, ["toxic"]).toArrow()
-    if len(set(seen_rows["toxic"].to_pylist())) == 2:
-        model.slope, model.middle = fit_curve(seen_rows["evidence"].to_numpy(), seen_rows["toxic"].to_numpy())
+    compared, toxic = _compared(picked, model)
+    if len(set(toxic.tolist())) == 2:
+        model.weights = fit_weights(compared, toxic)
+        model.slope, model.middle = fit_curve(compared @ model.weights, toxic)
     return model
 
 
@@ -303,7 +345,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Of each row: id, score (0 to 1), predicted (score >= 0.5), and further columns `keep`."""
     prepare(docs.sparkSession)
     names = [id_col, *(keep or [])]
-    scored = _evidence(docs.withColumn("text", F.col(text_col)), model, names)
+    scored = _evidence(docs if text_col == "text" else docs.select(*names, F.col(text_col).alias("text")), model, names)
     if model.constant is not None:
         value = F.lit(model.constant)
     else:
@@ -343,4 +385,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = learned(documents, table(spark, sf_dir, "labels"))
     scored = score(documents, model)
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")

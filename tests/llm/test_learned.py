@@ -89,31 +89,55 @@ def test_toxicity(spark):
 
 
 def test_toxicity_backs_off_as_it_learned(spark):
-    """Log-ratios against Kneser-Ney worked out gram by gram, also for grams that no labelled text has."""
+    """Log-ratios against the models worked out gram by gram, also for grams that no labelled text has."""
     taught = [("you zumpf there", 1), ("the zumpf", 1), ("you there", 0), ("the other one there", 0)]
-    model = toxicity.train(spark.createDataFrame(taught * 20, "text string, toxic int"), F.lit(False))
+    model = toxicity.train(spark.createDataFrame(taught * 200, "text string, toxic int"), F.lit(False))
     shared = {r["g"]: r["p"] for r in toxicity._shared(toxicity.gram_counts(spark.createDataFrame(taught, "text string, toxic int"))).collect()}
     n = [{}, {}]
-    for t, c in taught * 20:
+    for t, c in taught * 200:
         padded = " " * 5 + t
         for i in range(5, len(padded)):
             for size in range(3, 7):
                 of = n[c].setdefault(padded[i - size + 1 : i], {})
                 of[padded[i]] = of.get(padded[i], 0) + 1
 
-    def p(c, gram):
+    def both(gram):
+        """Kneser-Ney of both classes together."""
         if len(gram) == toxicity.SHARED:
             return shared.get(int.from_bytes(gram.encode(), "big"), 1e-9)
+        of = {k: sum(m.get(gram[:-1], {}).get(k, 0) for m in n) for m in n for k in m.get(gram[:-1], {})}
+        if not of:
+            return both(gram[1:])
+        return (max(of.get(gram[-1], 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(of) * both(gram[1:])) / sum(of.values())
+
+    def ratio(c, gram):
+        if len(gram) == toxicity.SHARED:
+            return 1.0
         of = n[c].get(gram[:-1], {})
-        rest = min(toxicity.DISCOUNT * len(of), sum(of.values())) + toxicity.PRIOR
-        return (max(of.get(gram[-1], 0) - toxicity.DISCOUNT, 0) + rest * p(c, gram[1:])) / (sum(of.values()) + toxicity.PRIOR)
+        own = of.get(gram[-1], 0)
+        return ((own / both(gram) if own else 0) + toxicity.PRIOR * ratio(c, gram[1:])) / (sum(of.values()) + toxicity.PRIOR)
 
     for t in ("my oldzumpfer", "qq zum", "you zumpf there"):
         padded, data = " " * 5 + t, np.frombuffer(t.encode(), np.uint8)
         grams = [padded[i : i + 6] for i in range(len(t))]
-        want = [np.log(p(1, g) / p(0, g)) for g in grams]
+        want = [np.log(ratio(1, g) / ratio(0, g)) for g in grams]
         assert model.ratios(vectext.grams(data, np.array([0, len(t)]), toxicity.ORDER)) == pytest.approx(want, abs=1e-4)
-    assert model.evidence(pa.array(["qqzumpf"]))[0] > 0.1  # no 6-gram of it was seen
+    known, new = model.comparisons(pa.array(["qqzumpf", "qqqqqqq"]))
+    assert known[0] > new[0]  # no 6-gram of either was seen
+
+
+def test_toxicity_weighs_passages_by_length():
+    """One strong passage in a short and in a long text, and none; against passages summed one by one."""
+    key = int.from_bytes(b"zumpf ", "big")
+    model = toxicity.Model({(6, False): (np.array([key]), np.array([4.0]))})
+    short, long, none, empty = model.comparisons(pa.array(["a zumpf b", "a zumpf b" + " c" * 500, "a b", None]))
+    assert short[0] == long[0] == 4 and none[0] == empty[0] == 0
+    ratios = [0.0] * 7 + [4.0, 0.0]
+    passages = [sum(ratios[i : i + toxicity.PASSAGE]) for i in range(9)]
+    assert short[1] == pytest.approx(np.log(sum(max(x - 1, 0) for x in passages) / (9 + toxicity.BESIDE) + 1e-3))
+    assert short[2] == pytest.approx(np.log(sum(x > 3 for x in passages) / (9 + toxicity.BESIDE) + 1e-3))
+    assert short[3] == pytest.approx(np.log((sum(map(np.exp, passages)) + toxicity.BESIDE_RATIO) / (9 + toxicity.BESIDE_RATIO)))
+    assert (short[1:] > long[1:]).all() and empty[3] == 0
 
 
 def test_toxicity_tables_beyond_a_broadcast_stay_whole(spark, monkeypatch):
