@@ -86,6 +86,23 @@ def test_exact_dedup(spark, options):
     assert exact_dedup.groups(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_with_repeated_and_null_ids(spark):
+    rows = [(None, "alpha", 1), (None, "beta", 1), (7, "one", 1), (7, "two", 1), (8, "three", 1), (8, "Three", 2), (8, "THREE", 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, sha int")
+    out = exact_dedup.dedup(df)
+    got = out.collect()
+    assert out.columns == df.columns and sorted(r["text"].lower() for r in got) == ["alpha", "beta", "one", "three", "two"]
+    assert {(r["doc_id"], r["text"].lower()) for r in got} == {(i, t.lower()) for i, t, _ in rows}
+
+
+@pytest.mark.parametrize("kind", ["words", "letters"])
+def test_chunks_realign_without_sentence_ends(spark, kind):
+    rng = random.Random(8)
+    body = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60_000)) if kind == "letters" else " ".join("".join(rng.choice("aeioutrns") for _ in range(5)) for _ in range(10_000))
+    a, b = (r["c"] for r in spark.createDataFrame([(body,), ("of some length" + body,)], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).collect())
+    assert "".join(a) == body and len(set(a) & set(b)) > len(a) * 0.5
+
+
 def test_chunks_join_to_the_text_and_meet_again(spark):
     rng = random.Random(1)
     body = " ".join(rng.choice(("one", "two.", "three\n", "four")) for _ in range(5000))
