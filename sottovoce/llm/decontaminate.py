@@ -3,21 +3,29 @@
 A word is a run of characters other than ASCII delimiters; A-Z are lower-cased. An item's windows are its runs of
 `window` consecutive words; an item with fewer words, but not none, is one window.
 
+The windows' hashes are the set. Every training window of as many words is hashed by position and looked up; what is
+found is compared word by word. Up to BROADCAST_BYTES the set is broadcast. A larger one is joined by shuffle: a bitmap
+of fixed size over its hashes picks the training windows that move, each with its own words only, and hot hashes are
+dealt over several tasks.
+
 Defined cases: null and empty texts have no words, hit nothing and are kept; null item texts have no windows; rows that
-repeat a document give equal rows; an empty benchmark contaminates nothing; further columns pass through untouched."""
+repeat a document give equal rows; an empty benchmark contaminates nothing; further columns pass through untouched,
+whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sottovoce.llm.common import ascii_lower, materialise, skew_join, table
+from sottovoce.llm.common import ascii_lower, materialise, maybe_in, skew_join, table
 
 _ASCII_DELIMITERS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: A window table of at most so many rows (each an anchor, at most `window` words and its item ids) is broadcast; a larger one is shuffled.
-BROADCAST_WINDOWS = 200_000
+#: The window table is broadcast up to so many bytes of words, item ids and WINDOW_BYTES a window.
+BROADCAST_BYTES, WINDOW_BYTES = 64 << 20, 200
+#: Words of 64 bits in the bitmap that picks the training windows to move: 8 MB however large the benchmark.
+BITMAP_WORDS = 1 << 20
 
 
 def word_array(text: Column) -> Column:
@@ -27,47 +35,51 @@ def word_array(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """A row per distinct window: its words, the items that hold it, and its anchor: the longest word (of equals the first), by hash and offset."""
+    """A row per distinct window: its hash h, its words, and the items that hold it."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), word_array(F.col(text_col)).alias("w")).where("size(w) > 0")
     last = F.greatest(F.size("w") - F.lit(window - 1), F.lit(1))
     starts = items.select("item", "w", F.explode_outer(F.sequence(F.lit(1), last)).alias("at"))
     cut = starts.select("item", F.slice("w", F.col("at"), F.lit(window)).alias("words"))
     found = cut.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    longest = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"))))
-    offset = found.select("words", "items", (-longest["i"]).alias("off"))
-    return offset.select(F.xxhash64(F.element_at("words", F.col("off") + 1)).alias("h"), "off", "words", "items")
+    return found.select(F.xxhash64(F.transform("words", lambda x: F.xxhash64(x))).alias("h"), "words", "items")
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, key: list[str], text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+          item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per distinct key: the key, n_words, copies (rows with that key), spans (array of the hit word ranges
     (first, words), in order; ranges may overlap) and items (sorted ids of the items with occurring windows).
 
-    One pass over the texts: every word probes the broadcast set of windows by their anchor words, and the window around
-    a word that is an anchor is compared word by word. The empty word that is put before each document's words matches a
-    marker row, so documents without hits stay."""
+    One pass over the texts: the words are hashed once, and at every place the hashes of the windows that begin there,
+    one for each length that occurs in the benchmark, are looked up. The place 0 of a document stands for itself, so that
+    documents without hits stay."""
     found = materialise(item_windows(benchmark, window, item_col, item_text_col), "windows")
-    words = docs.select(*key, F.concat(F.array(F.lit("")), word_array(F.col(text_col))).alias("w"))
-    # outer, though no array is empty: else a filter on its size is inferred, pushed below and evaluated there once more
-    each = words.select(*key, "w", F.posexplode_outer("w").alias("pos", "word")).withColumn("h", F.xxhash64("word"))
-    first = F.col("pos") - F.col("off")  # the window's first word, counted from 1; w holds it at one more
-    fits = (first >= 1) & (first + F.size("words") < F.size("w") + 1) & (F.slice("w", first + 1, F.size("words")) == F.col("words"))
-    if found.count() <= broadcast_windows:
-        none = found.sparkSession.range(1).select(
-            F.xxhash64(F.lit("")).alias("h"), F.lit(0).alias("off"), F.array(F.lit("")).alias("words"), F.array().cast("array<string>").alias("items"))
-        is_marker = F.col("pos") == 0
-        hit = each.join(F.broadcast(found.unionByName(none)), "h").where((is_marker & (F.size("items") == 0)) | (~is_marker & fits))
-        return _gather(hit.select(*key, (F.size("w") - 1).alias("n_words"), (~is_marker).alias("is_hit"), "items", first.alias("at"), F.size("words").alias("len")), key)
-    # too many windows to broadcast: places of words go to the anchors, and what they meet comes back to the document's words
-    anchors = found.groupBy("h").agg(F.collect_list(F.struct("off", "words", "items")).alias("known"))
-    places = materialise(each.where("pos > 0").select(*key, "pos", "h"), "places")
-    met = skew_join(places, anchors, "h").select(*key, "pos", F.explode("known").alias("k")).select(*key, "pos", "k.*")
-    own = words.dropDuplicates(key)
-    same = [F.col(f"_own_{k}").eqNullSafe(F.col(k)) for k in key]
-    hit = met.join(own.select(*[F.col(k).alias(f"_own_{k}") for k in key], "w"), same).where(fits)
-    empty = F.array().cast("array<string>")
-    markers = words.select(*key, (F.size("w") - 1).alias("n_words"), F.lit(False).alias("is_hit"), empty.alias("items"), F.lit(0).alias("at"), F.lit(0).alias("len"))
-    return _gather(hit.select(*key, (F.size("w") - 1).alias("n_words"), F.lit(True).alias("is_hit"), "items", first.alias("at"), F.size("words").alias("len")).unionByName(markers), key)
+    size = F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)) + F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)) + WINDOW_BYTES)
+    lengths, n_bytes = found.agg(F.sort_array(F.collect_set(F.size("words"))), F.coalesce(size, F.lit(0))).head()  # at most `window` lengths
+    words = docs.select(*key, word_array(F.col(text_col)).alias("w")).withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
+    each = words.select(*key, F.size("w").alias("n_words"), "w", "hashes", F.explode_outer(F.sequence(F.lit(0), F.size("w"))).alias("at"))
+    if len(lengths) == 1:
+        each = each.withColumn("len", F.lit(lengths[0]))
+    elif lengths:
+        each = each.withColumn("len", F.explode_outer(F.when(F.col("at") == 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, lengths)))))
+    else:
+        each = each.where("at = 0").withColumn("len", F.lit(0))
+    is_marker = F.col("at") == 0
+    # a place without a full window has no hash; the marker has that of no window
+    none = F.xxhash64(F.lit("no window"))
+    hashed = F.when(is_marker, none).when(F.col("at") + F.col("len") - 1 <= F.col("n_words"), F.xxhash64(F.slice("hashes", F.greatest("at", F.lit(1)), F.col("len"))))
+    own = F.slice("w", F.greatest("at", F.lit(1)), F.col("len"))
+    same = (F.size("words") == F.col("len")) & (own == F.col("words"))
+    hashes = each.withColumn("h", hashed)
+    if n_bytes <= broadcast_bytes:
+        marker = found.sparkSession.range(1).select(none.alias("h"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items"))
+        hit = hashes.join(F.broadcast(found.unionByName(marker)), "h").where((is_marker & (F.size("items") == 0)) | (~is_marker & same))
+        return _gather(hit.select(*key, "n_words", (~is_marker).alias("is_hit"), "items", "at", "len"), key)
+    likely = maybe_in(hashes.where(~is_marker & F.col("h").isNotNull()), "h", found.select("h"), BITMAP_WORDS)
+    likely = materialise(likely.select(*key, "n_words", "at", "len", "h", own.alias("own")), "likely")
+    # distinct windows may share a hash: then each of them meets what has it
+    hit = skew_join(likely, found, "h").where(F.col("own") == F.col("words")).select(*key, "n_words", F.lit(True).alias("is_hit"), "items", "at", "len")
+    markers = words.select(*key, F.size("w").alias("n_words"), F.lit(False).alias("is_hit"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("at"), F.lit(0).alias("len"))
+    return _gather(hit.unionByName(markers), key)
 
 
 def _gather(hit: DataFrame, key: list[str]) -> DataFrame:
@@ -105,27 +117,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The documents without what the benchmark shares with them, all columns kept.
 
     remove="documents" drops contaminated documents; remove="spans" cuts the hit words out of every text and keeps all rows."""
-    found = materialise(verdicts(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").dropDuplicates([id_col, "digest"]), "verdicts")
-    same = found[id_col].eqNullSafe(docs[id_col]) & (found["digest"] == F.xxhash64(docs[text_col]))
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove is 'documents' or 'spans'")
+    found = verdicts(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("id"), "digest", "spans", "contaminated")
+    found = materialise(found.dropDuplicates(["id", "digest"]), "verdicts")
+    same = found["id"].eqNullSafe(docs[id_col]) & (found["digest"] == F.xxhash64(docs[text_col]))
     if remove == "documents":
         return docs.join(found.where("contaminated"), same, "left_anti")
-    if remove != "spans":
-        raise ValueError("remove is 'documents' or 'spans'")
-    joined = docs.join(found.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")),
-                       F.col("_id").eqNullSafe(docs[id_col]) & (F.col("_digest") == F.xxhash64(docs[text_col])), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col)))).select(*docs.columns)
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[id_col].alias("of"), F.xxhash64(docs[text_col]).alias("has"))
+    joined = whole.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("has")), "left")
+    text = F.when(F.col("spans").isNull(), F.col("doc")[text_col]).otherwise(_cut(F.col("doc")[text_col], F.col("spans")))
+    return joined.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
-def _cut(text: Column) -> Column:
-    """The text without the words of _spans; each word goes with the delimiters after it."""
+def _cut(text: Column, hit: Column) -> Column:
+    """The text without the words of the hit ranges; each word goes with the delimiters after it."""
     pieces = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+|^)[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), F.lit(0))
     lead = text.rlike(r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]").cast("int")  # a first piece without a word
+    # what stays is between one hit range and the next: ranges come in order, so one walk tells (first word, words) of each
+    start = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<at:int,len:int>>").alias("gaps"))
 
-    def keep(_: Column, i: Column) -> Column:
-        word = i + 1 - lead
-        return ~F.exists("_spans", lambda s: (word >= s["at"]) & (word < s["at"] + s["len"]))
-
-    return F.array_join(F.filter(pieces, keep), "")
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.struct(acc["from"].alias("at"), (s["at"] - acc["from"]).alias("len"))
+        gaps = F.when(s["at"] > acc["from"], F.concat(acc["gaps"], F.array(gap))).otherwise(acc["gaps"])
+        return F.struct(F.greatest(acc["from"], s["at"] + s["len"]).alias("from"), gaps.alias("gaps"))
+
+    end = F.struct((F.lit(1 << 30)).alias("at"), F.lit(0).alias("len"))
+    gaps = F.aggregate(F.concat(hit, F.array(end)), start, step, lambda acc: acc["gaps"])
+    stay = F.flatten(F.transform(gaps, lambda g: F.slice(pieces, g["at"] + lead, g["len"])))
+    return F.concat(F.when(lead == 1, F.element_at(pieces, 1)).otherwise(F.lit("")), F.array_join(stay, ""))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

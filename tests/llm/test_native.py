@@ -48,12 +48,12 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])  # broadcast, and the way without
+@pytest.mark.parametrize("limit", [1 << 20, 0])  # broadcast, and the way without
 def test_decontamination(spark, limit):
     docs, items = cases()
     d = spark.createDataFrame([(i, t, "n") for i, t in docs], "doc_id bigint, text string, word string")
     b = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items"]) for r in decontaminate.verdicts(d, b, broadcast_windows=limit).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items"]) for r in decontaminate.verdicts(d, b, broadcast_bytes=limit).collect()}
     assert got == brute(docs, items)
 
 
@@ -70,6 +70,15 @@ def test_decontamination_removes(spark):
     assert decontaminate.verdicts(d.limit(0), b).count() == 0
 
 
+def test_decontamination_with_clashing_names(spark):
+    item = " ".join(f"b{i}" for i in range(13))
+    d = spark.createDataFrame([(1, f"Start, {item} end. {item}", 1, 2, 3, 4), (2, "clean", 1, 2, 3, 4)], "doc_id bigint, text string, _id int, digest int, spans int, `a.b` int")
+    b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    cut = decontaminate.decontaminate(d, b, remove="spans")
+    assert cut.columns == d.columns and sorted(r["text"] for r in cut.collect()) == ["Start, end. ", "clean"]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(d, b).collect()] == [2]
+
+
 def _collide(c):
     return F.pmod(F.crc32(c.cast("binary")), F.lit(5))
 
