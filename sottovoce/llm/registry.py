@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.op1_sql(), "op7_exact_dedup": exact_dedup.op7_sql()}
+    return {"op1_decontamination": decontaminate.op1_sql(), "op4_warc": warc.op4_sql(), "op7_exact_dedup": exact_dedup.op7_sql()}

@@ -2,7 +2,8 @@
 
 write() puts one record per page into WARC files that are gzip streams as a whole (so a reader has to inflate them from
 the start). normalise() inflates such a stream once, front to back, writes every record anew as a gzip member of its own
-and beside each archive an index of where each member lies. read() fetches records by that index, a member at a time.
+and beside each archive a sidecar index of where each member lies. index() reads the sidecars of a folder, and read()
+fetches records by them, a member at a time.
 Files go to a folder that all executors reach, by a URI; each has a name of its own and appears whole (written under a
 passing name, then renamed), so a task that is tried again replaces what it wrote before.
 
@@ -31,6 +32,8 @@ from sottovoce.llm.common import materialise, prepare, shared_path, skew_join, t
 #: A new archive is begun once one holds so many bytes before compression.
 ARCHIVE_BYTES = 64 << 20
 _CHUNK = 1 << 20
+#: Archives are dealt over so many tasks, at most.
+MOST_TASKS = 20_000
 
 
 def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
@@ -174,7 +177,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     each archive X the index X.idx (a JSON line per record: offset, length, type, id). Returns the index: a row per record (uri, offset, length)."""
     prepare(archives.sparkSession)
     _make(folder)
-    spread = archives.select("uri").repartition(max(archives.count(), 1), "uri")
+    spread = archives.select("uri").repartition(min(max(archives.count(), 1), MOST_TASKS))  # dealt in turn, so evenly
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, attempt = _attempt()
@@ -198,14 +201,21 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
             _put(to, attempt, fill)
             lines = "".join(json.dumps(dict(zip(("offset", "length", "type", "id"), x, strict=True))) + "\n" for x in index)
             _put(f"{to}.idx", attempt, lambda out, lines=lines: out.write(lines.encode()))
-            yield pa.RecordBatch.from_arrays([pa.array([to] * len(index), pa.string()), pa.array([x[0] for x in index], pa.int64()), pa.array([x[1] for x in index], pa.int64())], ["uri", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array([to]), pa.array([len(index)], pa.int64())], ["uri", "records"])
 
-    return materialise(spread.mapInArrow(run, "uri string, offset long, length long"), "index")
+    return materialise(spread.mapInArrow(run, "uri string, records long"), "normalised")
 
 
-def read(index: DataFrame) -> DataFrame:
-    """The records that an index (rows of uri, offset, length) names: headers parsed, payload as stored (null for revisits)."""
-    prepare(index.sparkSession)
+def index(spark: SparkSession, folder: str) -> DataFrame:
+    """What the sidecars of a folder say: a row per record (uri of its archive, offset, length, type, id)."""
+    lines = spark.read.schema("offset long, length long, type string, id string").option("pathGlobFilter", "*.warc.gz.idx").json(folder)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.idx$", 1)
+    return lines.select(F.concat(F.lit(f"{folder}/"), name).alias("uri"), "offset", "length", "type", "id")
+
+
+def read(places: DataFrame) -> DataFrame:
+    """The records at places (rows of uri, offset, length, as index() gives them): headers parsed, payload as stored (null for revisits)."""
+    prepare(places.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "url", "record_type", "digest", "size", "refers_to", "payload"]
@@ -226,17 +236,28 @@ def read(index: DataFrame) -> DataFrame:
             kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return index.mapInArrow(run, "record_id string, url string, record_type string, digest string, size long, refers_to string, payload binary")
+    return places.select("uri", "offset", "length").mapInArrow(run, "record_id string, url string, record_type string, digest string, size long, refers_to string, payload binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     pages = table(spark, sf_dir, "pages")
-    index = normalise(write(pages, f"{folder}/whole"), f"{folder}/members")
-    records = read(index)
+    normalise(write(pages, f"{folder}/whole"), f"{folder}/members")
+    records = read(index(spark, f"{folder}/members"))
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
     stored = F.when(F.col("record_type") == "response", F.length("payload").cast("long")).otherwise(F.col("size"))
     kind = dict(pages.dtypes)["page_id"]
     return records.select(
         F.when(page("record_id") != "null", page("record_id")).cast(kind).alias("page_id"), stored.alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast(kind).alias("refers_to"))
+
+
+def op4_sql() -> str:
+    return """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t) AS n, sha1(t) AS x, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(i // 4 AS INTEGER) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
