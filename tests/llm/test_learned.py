@@ -51,8 +51,15 @@ def test_warc_round_trip(spark, tmp_path):
     rows, df = pages(spark)
     folder = f"file://{tmp_path}"
     archives = warc.write(df, f"{folder}/whole", archive_bytes=1000)
-    index = warc.normalise(archives, f"{folder}/members")
-    got = {int(r["record_id"][10:-1]): r for r in warc.read(index).collect()}
+    done = warc.normalise(archives, f"{folder}/members")
+    places = warc.index(spark, f"{folder}/members")
+    assert done.agg(F.sum("records")).head()[0] == places.count() == len(rows)
+    got = {int(r["record_id"][10:-1]): r for r in warc.read(places).collect()}
+    for r in places.collect():  # what the sidecar says is what lies there
+        with open(r["uri"].removeprefix("file://"), "rb") as f:
+            f.seek(r["offset"])
+            head = gzip.decompress(f.read(r["length"])).decode()
+        assert f"WARC-Type: {r['type']}\r\n" in head and f"WARC-Record-ID: {r['id']}\r\n" in head
     first = {}
     for i, _, h in sorted(rows, key=lambda r: r[0]):
         first.setdefault(h or "", i)
@@ -68,7 +75,8 @@ def test_warc_round_trip(spark, tmp_path):
     for n in names:  # the members joined are the archive that was whole
         if n.endswith(".gz"):
             assert gzip.open(tmp_path / "members" / n).read() == gzip.open(tmp_path / "whole" / n).read()
-    assert warc.read(warc.normalise(warc.write(df.limit(0), f"{folder}/none"), f"{folder}/none2")).count() == 0
+    warc.normalise(warc.write(df.limit(0), f"{folder}/none"), f"{folder}/none2")
+    assert warc.read(warc.index(spark, f"{folder}/none2")).count() == 0
     assert warc.with_revisits(df, "page_id", "html", min_bytes=3).where("revisit").count() == 1
 
 
@@ -232,6 +240,33 @@ def test_quality(spark):
     assert quality.classify(df.limit(0)).count() == 0
 
 
+def test_label_model_equals_brute_force():
+    """One round of expectation-maximisation, text by text; and accuracies found again from votes drawn with known ones."""
+    rng = np.random.default_rng(3)
+    patterns = np.array([[1, -1, 0], [0, 0, -1], [1, 1, 1], [-1, 0, 0]])
+    counts = np.array([3.0, 2.0, 5.0, 1.0])
+    model = quality.LabelModel(patterns, counts, rounds=1)
+    start = quality.LabelModel(patterns, counts, rounds=0)
+    texts = [p for p, n in zip(patterns, counts, strict=True) for _ in range(int(n))]
+    weight = []
+    for p in texts:
+        good, bad = start.share, 1 - start.share
+        for k, v in enumerate(p):
+            good *= start.rates["good"][k][v + 1]
+            bad *= start.rates["bad"][k][v + 1]
+        weight.append(good / (good + bad))
+    assert model.share == pytest.approx(sum(weight) / len(texts))
+    for k in range(3):
+        for v in (-1, 0, 1):
+            seen = sum(w for p, w in zip(texts, weight, strict=True) if p[k] == v)
+            assert model.rates["good"][k][v + 1] == pytest.approx((seen + 0.1) / (sum(weight) + 0.3))
+    truth = rng.random(4000) < 0.7
+    right = [0.9, 0.8, 0.7, 0.85]
+    votes = np.stack([np.where(rng.random(4000) < a, truth, ~truth) for a in right], axis=1).astype(int)
+    found, n = np.unique(votes, axis=0, return_counts=True)
+    assert quality.LabelModel(found, n.astype(float)).accuracy() == pytest.approx(right, abs=0.05)
+
+
 def test_places_finds_every_key():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 50_000, dtype=np.uint64))
     places = vectext.Places(keys)
