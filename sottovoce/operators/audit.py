@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
+#: Rows of a key's chain that one task checks.
+SLICE = 100_000
 
 
 def canonical(cols: list[str], schema: DataFrame) -> Column:
@@ -27,52 +29,58 @@ def row_hash(prev: Column, kind: Column, ref: Column, ts: Column, payload: Colum
     return F.sha2(F.concat_ws("|", prev, kind, ref.cast("string"), ts.cast("string"), payload, F.coalesce(detail, F.lit(""))), 256)
 
 
-def append(chain: DataFrame | None, entries: DataFrame) -> DataFrame:
+def append(chain: DataFrame | None, entries: DataFrame, key: list[str] | None = None) -> DataFrame:
     """A2: new chain rows for entries (kind, ref_id, ts, payload_hash, detail, ord), after the chain's head.
 
-    A hash chain is serial: an append folds one micro-batch of entries in order, seeded with the stored head. Only the
-    entries' digests take part, and a batch is as large as its trigger."""
-    head = chain.agg(F.max(F.struct("seq", "row_hash")).alias("h")).head()["h"] if chain is not None else None
-    seq, prev = (head["seq"], head["row_hash"]) if head else (0, GENESIS)
+    A hash chain is serial: an append folds the entries of one micro-batch in order, seeded with the stored head. With
+    `key` (columns of both: endpoints, say) each key has a chain of its own and all are folded at once; only digests
+    take part. A key's entries of one batch meet in one row, so a batch should be as small as its trigger makes it."""
+    key = key or []
     e = F.struct("ord", "kind", "ref_id", F.unix_micros("ts").alias("us"), "payload_hash", F.coalesce("detail", F.lit("")).alias("detail"))
-    listed = entries.agg(F.array_sort(F.collect_list(e)).alias("es"))
+    listed = entries.groupBy(*key).agg(F.array_sort(F.collect_list(e)).alias("es"))
+    if chain is None:
+        listed = listed.withColumn("head", F.lit(None).cast("struct<seq:bigint,row_hash:string>"))
+    else:
+        heads = chain.groupBy(*key).agg(F.max(F.struct(F.col("seq").cast("bigint").alias("seq"), "row_hash")).alias("head"))
+        listed = listed.join(heads, key, "left") if key else listed.crossJoin(heads)  # without keys both have one row
     kind = "struct<seq:bigint,kind:string,ref_id:bigint,us:bigint,payload_hash:string,detail:string,prev_hash:string,row_hash:string>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("rows"), F.lit(prev).alias("prev"), F.lit(seq).cast("bigint").alias("seq"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("rows"), F.coalesce("head.row_hash", F.lit(GENESIS)).alias("prev"), F.coalesce("head.seq", F.lit(0).cast("bigint")).alias("seq"))
 
     def step(acc: Column, x: Column) -> Column:
         h = row_hash(acc["prev"], x["kind"], x["ref_id"], x["us"], x["payload_hash"], x["detail"])
         row = F.struct((acc["seq"] + 1).alias("seq"), x["kind"].alias("kind"), x["ref_id"].cast("bigint").alias("ref_id"), x["us"].alias("us"), x["payload_hash"].alias("payload_hash"), x["detail"].alias("detail"), acc["prev"].alias("prev_hash"), h.alias("row_hash"))
         return F.struct(F.array_append(acc["rows"], row.cast(kind)).alias("rows"), h.alias("prev"), (acc["seq"] + 1).alias("seq"))
 
-    rows = listed.select(F.explode(F.aggregate("es", start, step, lambda a: a["rows"])).alias("r")).select("r.*")
+    rows = listed.select(*key, F.explode(F.aggregate("es", start, step, lambda a: a["rows"])).alias("r")).select(*key, "r.*")
     return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
-def verify(chain: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], slices: int = 64) -> DataFrame:
-    """A3, A4: problems (seq, problem) of a chain. tables: kind -> (rows with id, hashed columns).
+def verify(chain: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], slices: int = 64, key: list[str] | None = None) -> DataFrame:
+    """A3, A4: problems (key, seq, problem) of a chain, or of the chains of all keys. tables: kind -> (rows with id, hashed columns).
 
     Each slice of seq is checked on its own, and the first row of a slice against the last one of those before, so no
     task holds the chain."""
-    size = F.greatest(F.ceil(F.lit(chain.agg(F.max("seq")).head()[0] or 0) / slices), F.lit(1)).cast("bigint")
+    key = key or []
+    size = F.greatest(F.ceil(F.lit(chain.agg(F.max("seq")).head()[0] or 0) / slices), F.lit(1)).cast("bigint") if not key else F.lit(SLICE)
     c = chain.withColumn("slice", F.floor((F.col("seq") - 1) / size))
-    ends = c.groupBy("slice").agg(F.max(F.struct("seq", "row_hash")).alias("e"))  # a row per slice
-    before = ends.select("slice", F.lag("e").over(W.orderBy("slice")).alias("b"))
-    w = W.partitionBy("slice").orderBy("seq")
-    linked = c.join(F.broadcast(before), "slice").select(
+    ends = c.groupBy(*key, "slice").agg(F.max(F.struct("seq", "row_hash")).alias("e"))  # a row per slice
+    before = ends.select(*key, "slice", F.lag("e").over(W.partitionBy(*key).orderBy("slice")).alias("b"))
+    w = W.partitionBy(*key, "slice").orderBy("seq")
+    linked = c.join(before if key else F.broadcast(before), [*key, "slice"]).select(
         c["*"], F.coalesce(F.lag("row_hash").over(w), F.col("b.row_hash"), F.lit(GENESIS)).alias("want_prev"), F.coalesce(F.lag("seq").over(w), F.col("b.seq"), F.lit(0)).alias("last_seq"))
     want = row_hash(F.col("prev_hash"), F.col("kind"), F.col("ref_id"), F.unix_micros("ts"), F.col("payload_hash"), F.col("detail"))
     checks = F.array_compact(F.array(
         F.when(F.col("seq") != F.col("last_seq") + 1, "missing entry"), F.when(F.col("prev_hash") != F.col("want_prev"), "broken link"), F.when(F.col("row_hash") != want, "rewritten entry")))
-    problems = linked.select("seq", F.explode(checks).alias("problem"))
+    problems = linked.select(*key, "seq", F.explode(checks).alias("problem"))
     erased = chain.where("kind = 'erase'")
     until = erased.agg(F.max(F.get_json_object("detail", "$.all_until").cast("bigint")).alias("until"))
     ids = erased.select(F.explode(F.from_json(F.get_json_object("detail", "$.ids"), "array<bigint>")).alias("id")).distinct()
     for kind, (rows, cols) in tables.items():
         now = rows.select(F.col("id").alias("ref_id"), payload_hash(rows, cols).alias("now"))
-        met = chain.where(F.col("kind") == kind).select("seq", "ref_id", "payload_hash").join(now, "ref_id", "left")
-        problems = problems.union(met.where("now is not null and now <> payload_hash").select("seq", F.lit("edited row").alias("problem")))
+        met = chain.where(F.col("kind") == kind).select(*key, "seq", "ref_id", "payload_hash").join(now, "ref_id", "left")
+        problems = problems.union(met.where("now is not null and now <> payload_hash").select(*key, "seq", F.lit("edited row").alias("problem")))
         gone = met.where("now is null").join(ids.withColumnRenamed("id", "ref_id"), "ref_id", "left_anti").join(F.broadcast(until), F.col("ref_id") <= F.coalesce("until", F.lit(-1)), "left_anti")
-        problems = problems.union(gone.select("seq", F.lit("missing row").alias("problem")))
+        problems = problems.union(gone.select(*key, "seq", F.lit("missing row").alias("problem")))
     return problems
 
 

@@ -36,15 +36,17 @@ def noisy_or(keyword: Column, semantic: Column, pattern: Column, policy: Policy)
     return quantised(F.least(F.greatest(fused, F.lit(0.0)), F.lit(1.0)))
 
 
-def _texts(df: DataFrame, id_col: str, cols: list[str], policy: Policy, latin: bool, with_fuzzy: bool) -> DataFrame:
+def _texts(df: DataFrame, cols: list[str], policy: Policy, latin: bool, with_fuzzy: bool) -> DataFrame:
     """df with, for each text column c: c_hits (ranked keyword matches) and c_numbers (pattern matches)."""
     fold = text.casefold_latin if latin else text.casefold
     out = df
     for c in cols:
         out = out.withColumn(f"{c}_folded", fold(F.col(c)))
         normal = text.fold_marks(F.col(f"{c}_folded"))
-        hits = keywords.exact_array(out.select(id_col, normal.alias("normal")), policy, id_col, "normal").select(F.col(id_col).alias("_id"), F.col("hits").alias(f"{c}_raw"))
-        out = out.join(hits, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        # what is found depends on the text alone, so it comes back by the text's digest: ids may repeat or be null
+        out = out.withColumn(f"{c}_digest", F.sha2(normal, 256))
+        hits = keywords.exact_array(out.select(F.col(f"{c}_digest").alias("_of"), normal.alias("normal")), policy, "_of", "normal").select("_of", F.col("hits").alias(f"{c}_raw"))
+        out = out.join(hits, F.col(f"{c}_digest") == F.col("_of"), "left").drop("_of")
         raw = F.coalesce(F.col(f"{c}_raw"), F.array().cast(f"array<{keywords._ENTRY}>"))
         if with_fuzzy:
             out = out.withColumn(f"{c}_fuzzy", keywords.fuzzy(normal, F.transform(raw, lambda h: h["phrase"]), policy))
@@ -58,14 +60,15 @@ def _texts(df: DataFrame, id_col: str, cols: list[str], policy: Policy, latin: b
 
 def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation_col: str | None = None, language_col: str | None = None, semantic_col: str | None = None,
           duration_col: str | None = None, extras_col: str | None = None, latin: bool = False, with_fuzzy: bool = False) -> DataFrame:
-    """df with a verdict struct (15 fields) for each row; id_col is a key.
+    """df with a verdict struct (15 fields) for each row; ids may repeat or be null.
 
     semantic_col: struct<score, reference> of a scorer (0 without one, V8). extras_col: array of matches confirmed by
     spotting (F3). latin=True promises Latin text and keeps everything in the JVM."""
-    base = df.withColumn("_native", F.trim(F.coalesce(text_col, F.lit(""))))
-    base = base.withColumn("_translated", F.trim(F.coalesce(translation_col, F.lit(""))) if translation_col else F.lit(""))
+    stripped = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    base = df.withColumn("_native", stripped(text_col))
+    base = base.withColumn("_translated", stripped(translation_col) if translation_col else F.lit(""))
     cols = ["_native"] + (["_translated"] if translation_col else [])
-    wide = _texts(base, id_col, cols, policy, latin, with_fuzzy)
+    wide = _texts(base, cols, policy, latin, with_fuzzy)
     kind = f"array<struct<{numbers.MATCH}>>"
     none = F.array().cast(kind)
     extras = F.coalesce(F.col(extras_col).cast(kind), none) if extras_col else none
@@ -90,7 +93,7 @@ def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation
         F.when(has(lambda m: m["match"] == "fuzzy"), "phonetic"),
         F.when(F.col("_pat") > 0, "pattern"),
         F.when(F.col("_sem") >= SEMANTIC_SOURCE, "semantic"),
-        F.when((F.size("_translated_hits") > 0) & (F.size("_native_hits") == 0), "translation") if translation_col else F.lit(None).cast("string"))
+        F.when(F.size("_translated_hits") > 0, "translation") if translation_col else F.lit(None).cast("string"))
     factors = F.when((F.coalesce(F.col(duration_col), F.lit(0.0)) >= 8.0) & (rank(F.col("_sev")) >= 2), F.lit("sustained speech")) if duration_col else F.lit(None).cast("string")
     blank = (F.col("_native") == "") & (F.col("_translated") == "")
     verdict = F.struct(

@@ -38,9 +38,9 @@ def exact_hits(docs: DataFrame, policy: Policy, id_col: str, normal_col: str) ->
 
 
 def exact_array(docs: DataFrame, policy: Policy, id_col: str, normal_col: str) -> DataFrame:
-    """A row per id with exact hits: id, hits."""
+    """A row per id with exact hits: id, hits (each once, though rows repeat)."""
     entry = F.struct("category", "phrase", "weight", "lang", F.lit("exact").alias("match"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("int").alias("windows"), "ord", "at", "key")
-    return exact_hits(docs, policy, id_col, normal_col).groupBy(id_col).agg(F.collect_list(entry.cast(_ENTRY)).alias("hits"))
+    return exact_hits(docs, policy, id_col, normal_col).groupBy(id_col).agg(F.collect_set(entry.cast(_ENTRY)).alias("hits"))
 
 
 def fuzzy(normal: Column, exact: Column, policy: Policy) -> Column:
@@ -53,7 +53,7 @@ def fuzzy(normal: Column, exact: Column, policy: Policy) -> Column:
             out = []
             for text, skip in zip(texts, known, strict=True):
                 hits = []
-                for category, phrase, weight, lang, ord_, key, sound in listed if text else ():
+                for category, phrase, weight, lang, ord_, key, sound in listed if text and len(text) >= FUZZY_MIN else ():
                     if skip is not None and phrase in set(skip):
                         continue
                     value = partial_ratio(sound, text, 86.0 if len(sound) >= 10 else 90.0)

@@ -112,7 +112,8 @@ def raised(levels: DataFrame, key: list[str], order: str, level: str, window: in
 
 
 def noise_floor(levels: DataFrame, key: list[str], order: str, level: str, rate: float = 0.01) -> DataFrame:
-    """The floor after the last row of each key: the first level, then a moving average."""
+    """The floor of E4 over levels of quiet (filter speech, segments and loud sounds before): after the last row of each
+    key, the first level, then a moving average. A key's levels are folded in one task; keys are sessions."""
     seq = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).cast("double").alias("v")))), lambda x: x["v"])
     folded = levels.groupBy(*key).agg(seq.alias("_levels"))
     return folded.select(*key, F.aggregate(F.slice("_levels", 2, 1 << 30), F.get("_levels", F.lit(0)), lambda f, v: f + rate * (v - f)).alias("floor"))
@@ -165,7 +166,7 @@ class Environment:
             return out
         if self.spike:
             left, was = self.spike
-            if speech:
+            if speech or in_segment:
                 self.spike = None
             elif left <= 1:
                 self.spike = None
@@ -173,7 +174,7 @@ class Environment:
             else:
                 self.spike = (left - 1, was)
         loud = not speech and level - self.floor >= 18 and level >= -30
-        if loud and self.spike is None:
+        if loud and not in_segment and self.spike is None and self.t - self.last.get("sudden_sound", -1e9) >= 5.0:
             self.spike = (8, shown)
         if not speech and not in_segment and not loud:
             self.floor += 0.01 * (level - self.floor)
@@ -193,11 +194,14 @@ class Environment:
 
 
 def environment(chunks: DataFrame, key: str = "session_id") -> DataFrame:
-    """Environment events of rows (key, chunk_idx, level_db, speech_prob)."""
+    """Environment events of rows (key, chunk_idx, level_db, speech_prob, and in_segment, if given: whether a segment is
+    open there, in which the floor rests and no spike begins or stays)."""
+    cols = [key, "chunk_idx", "level_db", "speech_prob"]
+    chunks = chunks.select(*cols, F.coalesce("in_segment", F.lit(False)).alias("in_segment") if "in_segment" in chunks.columns else F.lit(False).alias("in_segment"))
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         env, out = Environment(), []
         for r in frame.sort_values("chunk_idx").itertuples():
-            out += [(getattr(r, key), int(r.chunk_idx), e["kind"], e["level_db"], e["baseline_db"], e["delta_db"]) for e in env.feed(r.level_db, r.speech_prob >= 0.5)]
+            out += [(getattr(r, key), int(r.chunk_idx), e["kind"], e["level_db"], e["baseline_db"], e["delta_db"]) for e in env.feed(r.level_db, r.speech_prob >= 0.5, bool(r.in_segment))]
         return pd.DataFrame(out, columns=[key, "chunk_idx", "kind", "level_db", "baseline_db", "delta_db"])
 
     kind = dict(chunks.dtypes)[key]

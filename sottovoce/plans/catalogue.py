@@ -16,7 +16,6 @@ from sottovoce.operators.fusion import quantised
 from sottovoce.sources.policy import SUFFIXES, Policy
 
 AS_OF = "2024-02-01 00:00:00"
-_IBAN_ROWS = [(1, "wire to de89370400440532013000 today"), (2, "gb29 nwbk 6016 1331 9268 19 is the account"), (3, "nothing here"), (4, "fr14 2004 1010 0505 0001 3m02 606")]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +65,9 @@ def ipv4_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iban_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_IBAN_ROWS, "id int, t string")
-    return rows.select("id", F.explode(numbers.ibans(F.col("t"))).alias("iban")).select("id", "iban", numbers.mask(F.upper("iban")).alias("masked"))
+    found = numbers.ibans(text.casefold_latin(F.col("text")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("iban"))
+    return rows.select("doc_id", "iban", numbers.mask(F.upper("iban")).alias("masked"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,25 +183,25 @@ def spectral_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of audit rows: the orders of the first customers."""
-    o = read(spark, sf_dir, "orders").where("o_custkey <= 20")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    """Audit rows: the orders, of which each customer has a chain."""
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("endpoint"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
 
 
 def _chain(rows: DataFrame) -> DataFrame:
-    entries = rows.select(F.lit("alert").alias("kind"), F.col("id").alias("ref_id"), "ts", audit.payload_hash(rows, ["id", "status", "priority"]).alias("payload_hash"), F.lit("").alias("detail"), F.col("id").alias("ord"))
-    return audit.append(None, entries)
+    entries = rows.select("endpoint", F.lit("alert").alias("kind"), F.col("id").alias("ref_id"), "ts", audit.payload_hash(rows, ["id", "status", "priority"]).alias("payload_hash"), F.lit("").alias("detail"), F.col("id").alias("ord"))
+    return audit.append(None, entries, ["endpoint"])
 
 
 def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chain(_audit_rows(spark, sf_dir)).select("seq", "ref_id", "row_hash")
+    return _chain(_audit_rows(spark, sf_dir)).select("endpoint", "seq", "ref_id", "row_hash")
 
 
 def chain_tamper_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of key divisible by 8 are edited and by 12 deleted after the fact."""
     rows = _audit_rows(spark, sf_dir)
     edited = rows.where("id % 12 <> 0").withColumn("status", F.when(F.col("id") % 8 == 0, F.lit("X")).otherwise(F.col("status")))
-    return audit.verify(_chain(rows), {"alert": (edited, ["id", "status", "priority"])})
+    return audit.verify(_chain(rows), {"alert": (edited, ["id", "status", "priority"])}, key=["endpoint"])
 
 
 def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:

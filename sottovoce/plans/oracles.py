@@ -55,11 +55,10 @@ def _runs(texts: str) -> str:
     """CTEs after one named t(id, folded): runs(id, run) of three digits at least."""
     octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
     ipv4 = rf"\b{octet}(?:\.{octet}){{3}}\b"
-    iban = r"\b[a-z]{2}\d{2}(?:\s?[a-z0-9]{4}){2,7}(?:\s?[a-z0-9]{1,4})?\b"
     digits = ", ".join(f"({_text(w)}, {_text(d)})" for w, d in DIGIT_WORDS.items())
     repeaters = ", ".join(f"({_text(w)}, {n})" for w, n in REPEATERS.items())
     listed = lambda ws: ", ".join(_text(w) for w in ws)
-    residual = f"replace(regexp_replace(regexp_replace(folded, '{ipv4}', ' ', 'g'), '{iban}', ' ', 'g'), '.', ' dot ')"
+    residual = f"replace(regexp_replace(regexp_replace(folded, '{ipv4}', ' ', 'g'), '{_IBAN}', ' ', 'g'), '.', ' dot ')"
     return f"""{texts},
 digit_words(w, d) AS (VALUES {digits}), repeaters(w, times) AS (VALUES {repeaters}),
 toks AS (SELECT id, string_split({_marks(residual)}, ' ') AS ws FROM t),
@@ -87,6 +86,7 @@ def _mask(x: str) -> str:
     return f"CASE WHEN length({x}) <= 6 THEN repeat('*', length({x})) ELSE left({x}, 3) || repeat('*', length({x}) - 6) || right({x}, 3) END"
 
 
+_IBAN = r"\b[a-z]{2}\d{2}(?:\s?[a-z0-9]{4}){2,7}(?:\s?[a-z0-9]{1,4})?\b"
 _IPV4 = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b"
 
 
@@ -130,7 +130,7 @@ def sql() -> dict[str, str]:
         "phrase_hits_exact": f"WITH {_hits(_NORMAL)} SELECT id AS doc_id, category, phrase, weight, lang FROM hits",
         "phrase_hits_ranked": f"WITH {_hits(_NORMAL)}, {_kept()} SELECT id AS doc_id, count(*) AS n_matches, max(weight) AS score, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM kept GROUP BY id",
         "ipv4_hits": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all({_folded('text')}, '{_IPV4}'))) AS ip FROM documents",
-        "iban_hits": "SELECT * FROM (VALUES (1, 'de89370400440532013000', 'DE8****************000'), (2, 'gb29nwbk60161331926819', 'GB2****************819'), (4, 'fr1420041010050500013m02606', 'FR1*********************606')) v(id, iban, masked)",
+        "iban_hits": f"SELECT doc_id, iban, {_mask('upper(iban)')} AS masked FROM (SELECT DISTINCT doc_id, replace(v, ' ', '') AS iban FROM (SELECT doc_id, unnest(regexp_extract_all({_folded('text')}, '{_IBAN}')) AS v FROM documents)) WHERE length(iban) BETWEEN 15 AND 34 AND length(regexp_replace(iban, '[^0-9]', '', 'g')) >= 10",
         "digit_runs_classified": f"WITH {_runs(_FOLDED)}, {_numbered()} SELECT id AS doc_id, run, kind, luhn_ok FROM kinds",
         "masked_values": f"WITH {_runs(_FOLDED)} SELECT id AS doc_id, {_mask('run')} AS masked, CAST(length(run) AS BIGINT) AS n FROM (SELECT DISTINCT id, run FROM runs)",
         "verdict_fused": f"{_verdict()} SELECT doc_id, keyword_score, pattern_score, threat_score, severity, is_violation, n_matches, categories, sources FROM v",
@@ -157,13 +157,13 @@ SELECT user_id, min(event_id) AS "first", max(event_id) AS "last", count(*) AS n
         "raised_level": """SELECT event_id, floor(10.0::DOUBLE * log10(avg(power(10.0::DOUBLE, -(value % 60.0::DOUBLE) / 10.0::DOUBLE)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) * 100 + 0.5) / 100 AS mean_db FROM events""",
         "level_db": f"""WITH raw AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT vec_id, sum(x * x) / count(*) AS p, max(abs(x)) AS peak FROM raw GROUP BY vec_id)
 SELECT vec_id, {_q('greatest(20.0::DOUBLE * log10(sqrt(p) + 1e-12::DOUBLE), -90.0::DOUBLE)')} AS db, {_q('peak')} AS peak FROM s""",
-        "chain_build": """WITH RECURSIVE o AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) AS us, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders WHERE o_custkey <= 20),
-h AS (SELECT seq, id, us, sha256(length(CAST(id AS VARCHAR)) || ':' || id || ',' || length(p) || ':' || p || ',' || length(s) || ':' || s) AS payload FROM o),
-c(seq, ref_id, row_hash) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), repeat('0', 64) UNION ALL
-  SELECT h.seq, h.id, sha256(c.row_hash || '|alert|' || h.id || '|' || h.us || '|' || h.payload || '|') FROM c JOIN h ON h.seq = c.seq + 1)
-SELECT seq, ref_id, row_hash FROM c WHERE seq > 0""",
-        "chain_tamper_detect": """WITH o AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders WHERE o_custkey <= 20)
-SELECT seq, CASE WHEN id % 12 = 0 THEN 'missing row' ELSE 'edited row' END AS problem FROM o WHERE id % 12 = 0 OR id % 8 = 0""",
+        "chain_build": """WITH RECURSIVE o AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) AS us, o_orderstatus AS s, o_orderpriority AS p, o_custkey AS endpoint, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders),
+h AS (SELECT endpoint, seq, id, us, sha256(length(CAST(id AS VARCHAR)) || ':' || id || ',' || length(p) || ':' || p || ',' || length(s) || ':' || s) AS payload FROM o),
+c(endpoint, seq, ref_id, row_hash) AS (SELECT DISTINCT endpoint, CAST(0 AS BIGINT), CAST(0 AS BIGINT), repeat('0', 64) FROM h UNION ALL
+  SELECT h.endpoint, h.seq, h.id, sha256(c.row_hash || '|alert|' || h.id || '|' || h.us || '|' || h.payload || '|') FROM c JOIN h ON h.endpoint = c.endpoint AND h.seq = c.seq + 1)
+SELECT endpoint, seq, ref_id, row_hash FROM c WHERE seq > 0""",
+        "chain_tamper_detect": """WITH o AS (SELECT o_orderkey AS id, o_custkey AS endpoint, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders)
+SELECT endpoint, seq, CASE WHEN id % 12 = 0 THEN 'missing row' ELSE 'edited row' END AS problem FROM o WHERE id % 12 = 0 OR id % 8 = 0""",
         "retention_purge": f"WITH {_ALERTS} SELECT category, count(*) AS n, CASE WHEN ts >= {_AS_OF} - INTERVAL 20 DAY THEN 'kept' ELSE 'expired' END AS state FROM alerts GROUP BY category, state",
         "transcript_minimised": "SELECT conv_id, turn, substr(sha256(coalesce(text, '')), 1, 16) AS transcript_hash, CAST(NULL AS VARCHAR) AS text FROM conversations",
         "outbox_due": f"WITH {_OUTBOX} SELECT id, CAST(attempts AS BIGINT) AS attempts FROM state WHERE NOT delivered AND next_attempt <= {_AS_OF} ORDER BY id LIMIT 20",

@@ -14,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sottovoce.operators.state import Environment, segment
 
+#: A key without input for so long leaves the state.
+FORGET_MS = 3_600_000
+
 
 class ConsentError(PermissionError):
     """Monitoring needs a recorded consent."""
@@ -39,23 +42,31 @@ def segments(chunks: DataFrame, key: str = "session_id", idle_ms: int = 60_000)
 
 
 def environment(chunks: DataFrame, key: str = "session_id") -> DataFrame:
-    """E4-E9 on a stream of (key, chunk_idx, level_db, speech_prob)."""
+    """E4-E9 on a stream of (key, chunk_idx, level_db, speech_prob, and in_segment, if given). A session that is silent for FORGET_MS leaves the state."""
+    chunks = chunks if "in_segment" in chunks.columns else chunks.withColumn("in_segment", F.lit(False))
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         env = pickle.loads(state.get[0]) if state.exists else Environment()
         out = []
         for r in pd.concat(list(frames)).sort_values("chunk_idx").itertuples():
-            out += [(k[0], int(r.chunk_idx), e["kind"], e["level_db"], e["baseline_db"], e["delta_db"]) for e in env.feed(r.level_db, r.speech_prob >= 0.5)]
+            out += [(k[0], int(r.chunk_idx), e["kind"], e["level_db"], e["baseline_db"], e["delta_db"]) for e in env.feed(r.level_db, r.speech_prob >= 0.5, bool(r.in_segment))]
         state.update((pickle.dumps(env),))
+        state.setTimeoutDuration(FORGET_MS)
         yield pd.DataFrame(out, columns=[key, "chunk_idx", "kind", "level_db", "baseline_db", "delta_db"])
 
     kind = dict(chunks.dtypes)[key]
     return chunks.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, chunk_idx long, kind string, level_db double, baseline_db double, delta_db double", "s binary", "append", GroupStateTimeout.NoTimeout)
+        run, f"{key} {kind}, chunk_idx long, kind string, level_db double, baseline_db double, delta_db double", "s binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def confirm(windows: DataFrame, key: str = "segment_id", needed: int = 2) -> DataFrame:
     """R6 on a stream of (key, window_idx, phrases): each phrase once a segment, when it stands in `needed` windows in a row."""
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         streak, told = pickle.loads(state.get[0]) if state.exists else ({}, set())
         out = []
         for r in pd.concat(list(frames)).sort_values("window_idx").itertuples():
@@ -65,10 +76,11 @@ def confirm(windows: DataFrame, key: str = "segment_id", needed: int = 2) -> Dat
                     told.add(p)
                     out.append((k[0], p, int(r.window_idx), streak[p]))
         state.update((pickle.dumps((streak, told)),))
+        state.setTimeoutDuration(FORGET_MS)
         yield pd.DataFrame(out, columns=[key, "phrase", "confirmed_at", "windows"])
 
     kind = dict(windows.dtypes)[key]
-    return windows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, phrase string, confirmed_at long, windows int", "s binary", "append", GroupStateTimeout.NoTimeout)
+    return windows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, phrase string, confirmed_at long, windows int", "s binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def escalation(verdicts: DataFrame, endpoint: str = "endpoint_id", seconds: int = 600, needed: int = 2) -> DataFrame:
@@ -76,6 +88,9 @@ def escalation(verdicts: DataFrame, endpoint: str = "endpoint_id", seconds: int
     order = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         past: list[tuple[float, str]] = pickle.loads(state.get[0]) if state.exists else []
         out = []
         for r in pd.concat(list(frames)).sort_values("ts").itertuples():
@@ -87,11 +102,12 @@ def escalation(verdicts: DataFrame, endpoint: str = "endpoint_id", seconds: int
                 after = order[min(order.index(r.severity) + (repeats >= needed), 4)]
             out.append((k[0], r.ts, r.severity, repeats, after))
         state.update((pickle.dumps(past),))
+        state.setTimeoutDuration(max(FORGET_MS, seconds * 1000))
         yield pd.DataFrame(out, columns=[endpoint, "ts", "severity", "repeats", "escalated"])
 
     kind = dict(verdicts.dtypes)[endpoint]
     return verdicts.select(endpoint, "ts", "severity", "categories").groupBy(endpoint).applyInPandasWithState(
-        run, f"{endpoint} {kind}, ts timestamp, severity string, repeats long, escalated string", "s binary", "append", GroupStateTimeout.NoTimeout)
+        run, f"{endpoint} {kind}, ts timestamp, severity string, repeats long, escalated string", "s binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:

@@ -55,6 +55,9 @@ def test_transcripts(spark):
     assert transcripts.collapse("go go go go home") == "go home"
     assert transcripts.collapse("a b a b a b c") == "a b c"
     assert transcripts.collapse("no no no") == "no no no"  # under four words
+    assert transcripts.collapse("a b a b c d") == "a b a b c d"  # two copies stay
+    assert transcripts.collapse("x a b a b a b a y") == "x a b a y"  # a further half copy stays
+    assert transcripts.collapse("go go go stop go go go stop go go go stop") == "go stop"
     df = spark.createDataFrame([("Thank you!", {"en": 0.4, "hi": 0.6})], "t string, p map<string,double>")
     r = df.select(transcripts.is_hallucination(F.col("t")).alias("h"), transcripts.remap(transcripts.detect_language(F.col("p"))).alias("l"), transcripts.language_name(F.lit("xx")).alias("n")).head()
     assert (r["h"], r["l"], r["n"]) == (True, "ur", "xx")

@@ -76,3 +76,16 @@ def test_reports(spark):
     s = reporting.stats(df, T + dt.timedelta(hours=26)).head()
     assert (s["total"], s["last_24h"], s["avg_latency_ms"], s["max_latency_ms"]) == (5, 3, 25, 40)
     assert reporting.newest(df, -1).count() == 0
+
+
+def test_a_chain_for_each_key(spark):
+    alerts = rows(spark, range(1, 13)).withColumn("endpoint", F.col("id") % 3)
+    each = entries(alerts).withColumn("endpoint", F.col("ref_id") % 3)
+    first = audit.append(None, each.where("ref_id <= 6"), ["endpoint"])
+    chain = first.unionByName(audit.append(first, each.where("ref_id > 6"), ["endpoint"])).cache()
+    alone = audit.append(None, entries(alerts.where("endpoint = 1")))
+    assert sorted(r["row_hash"] for r in chain.where("endpoint = 1").collect()) == sorted(r["row_hash"] for r in alone.collect())
+    check = lambda c, a: sorted((r["endpoint"], r["seq"], r["problem"]) for r in audit.verify(c, {"alert": (a, COLS)}, key=["endpoint"]).collect())
+    assert chain.count() == 12 and check(chain, alerts) == []
+    assert check(chain.where("endpoint <> 2 or seq <> 2"), alerts) == [(2, 3, "broken link"), (2, 3, "missing entry")]
+    assert check(chain, alerts.where("id <> 5")) == [(2, 2, "missing row")]

@@ -82,3 +82,22 @@ def test_second_opinion(spark):
     better = fusion.second_opinion(rows("a token"), rows("an api key"), "id").collect()
     assert better[0]["severity_before"] == "MEDIUM" and better[0]["verdict"]["severity"] == "CRITICAL" and better[0]["verdict"]["risk_factors"] == ["second opinion"]
     assert fusion.second_opinion(rows("a token"), rows("a token"), "id").count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_hits(spark):
+    df = spark.createDataFrame([(1, "an api key"), (1, "nothing"), (None, "an api key"), (1, "an api key"), (2, "nothing\n")], "id int, t string")
+    got = sorted(((r["id"] or 0), r["t"], r["verdict"]["severity"], len(r["verdict"]["matches"])) for r in fusion.score(df, Policy.example(), "id", "t").collect())
+    hit = fusion.score(df.limit(1), Policy.example(), "id", "t").head()["verdict"]
+    assert hit["severity"] != "NONE" and len(hit["matches"]) == 1
+    assert got == sorted([(1, "an api key", hit["severity"], 1), (1, "nothing", "NONE", 0), (0, "an api key", hit["severity"], 1), (1, "an api key", hit["severity"], 1), (2, "nothing\n", "NONE", 0)])
+
+
+def test_translation_is_named_whenever_it_has_hits(spark):
+    got = verdicts(spark, [("an api key", "an api key"), ("nothing", "an api key"), ("an api key", "nothing")])
+    assert ["translation" in got[i]["sources"] for i in range(3)] == [True, True, False]
+
+
+def test_short_texts_do_not_sound_like_a_phrase(spark):
+    df = spark.createDataFrame([(1, "to"), (2, "acess tokenn please")], "id int, t string")
+    got = {r["id"]: [m["phrase"] for m in r["verdict"]["matches"]] for r in fusion.score(df, Policy.example(), "id", "t", with_fuzzy=True).collect()}
+    assert got[1] == [] and "access token" in got[2]

@@ -98,3 +98,22 @@ def test_monitoring_needs_consent(spark):
 def test_escalate(spark):
     rows = spark.createDataFrame(pd.DataFrame({"s": ["LOW", "MEDIUM", "HIGH", "CRITICAL", "MEDIUM"], "r": [5, 2, 2, 9, 1]}))
     assert [r["x"] for r in rows.select(state.escalate(F.col("s"), F.col("r")).alias("x")).collect()] == ["LOW", "HIGH", "CRITICAL", "CRITICAL", "MEDIUM"]
+
+
+def test_spikes_and_floor_rest_inside_segments():
+    def events(chunks):
+        env = state.Environment()
+        return [e["kind"] for c in chunks for e in env.feed(*c)], env
+
+    quiet, loud = (-50, False, False), (-20, False, False)
+    assert events([quiet] * 5 + [loud] + [quiet] * 20)[0] == ["sudden_sound"]
+    assert events([quiet] * 5 + [loud, (-50, False, True)] + [quiet] * 20)[0] == []  # a segment cancels what is pending
+    assert events([quiet] * 5 + [(-20, False, True)] + [quiet] * 20)[0] == []  # and none begins in one
+    assert events([quiet] * 5 + [loud] * 9 + [quiet] * 20 + [loud] + [quiet] * 20)[0] == ["sudden_sound"]  # nor while it cools down
+    assert events([quiet] * 5 + [(-40, False, True)] * 100)[1].floor == -50
+
+
+def test_environment_takes_segments_from_a_column(spark):
+    rows = [("s", i, -20.0 if i == 5 else -50.0, 0.0, i == 6) for i in range(30)]
+    df = spark.createDataFrame(rows, "session_id string, chunk_idx long, level_db double, speech_prob double, in_segment boolean")
+    assert state.environment(df).count() == 0 and state.environment(df.drop("in_segment")).count() == 1
