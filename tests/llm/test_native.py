@@ -156,6 +156,12 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_tell_creative_commons_apart(spark):
+    said = {"a": "Licensed under CC BY-NC 4.0.", "b": "Licensed under CC BY 4.0.", "c": "Licensed under CC BY-SA 4.0.", "d": "Licensed under CC BY-NC-ND 4.0."}
+    got = {r["path"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(list(said.items()), "path string, text string")).collect()}
+    assert got == {"a": "CC-BY-NC-4.0", "b": "CC-BY-4.0", "c": "CC-BY-SA-4.0", "d": "CC-BY-NC-ND-4.0"}
+
+
 def test_cosines_equal_brute_force(spark):
     known = licenses.Templates(licenses.TEMPLATES)
     lines = ["Released under the MIT License.", "licensed under the gnu general public license version 2", "all rights reserved by the license", "MIT license MIT license"]
