@@ -162,6 +162,27 @@ def test_licenses_tell_creative_commons_apart(spark):
     assert got == {"a": "CC-BY-NC-4.0", "b": "CC-BY-4.0", "c": "CC-BY-SA-4.0", "d": "CC-BY-NC-ND-4.0"}
 
 
+def test_licenses_of_whole_texts(spark):
+    mit, (bsd2,), (bsd3,) = licenses.TEXTS["MIT"][0], licenses.TEXTS["BSD-2-Clause"], licenses.TEXTS["BSD-3-Clause"]
+    rows = [
+        ("m/LICENSE", "Copyright 2020 Foo. All rights reserved.\n\n" + mit.replace(". ", ".\n")), ("m/x.c", "int x;"), ("b/two", bsd2.upper()), ("b2/three", "Copyright 2021 Bar\n" + bsd3.replace(", ", ",\n")),
+        ("p/LICENSE", "All rights reserved."), ("q/novel", "Permission is hereby granted, said the king. " + "And so they went on and on through the woods. " * 50),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: (r["own_license"], r["license"]) for r in licenses.scan(files).collect()}
+    assert got == {"m/LICENSE": ("MIT",) * 2, "m/x.c": (None, "MIT"), "b/two": ("BSD-2-Clause",) * 2, "b2/three": ("BSD-3-Clause",) * 2, "p/LICENSE": ("proprietary",) * 2, "q/novel": (None, None)}
+    assert all(r["license"] is None for r in licenses.scan(files, templates={}, texts={}).collect())
+
+
+def test_licenses_keep_clashing_names(spark):
+    clashing = ["row", "share", "license", "path", "cosine", "body", "whole", "text", "a.b"]
+    files = spark.createDataFrame([("d/f", "Released under the MIT License.", *[f"v{k}" for k in range(7)])], "`path` string, `text` string, `row` string, share string, license string, cosine string, body string, whole string, `a.b` string")
+    out = licenses.scan(files, keep=clashing)
+    assert out.columns == ["row", "share", "kept_license", "kept_path", "kept_cosine", "body", "whole", "text", "a.b", "path", "own_license", "cosine", "license", "inherited_from"]
+    (r,) = out.collect()
+    assert (r["row"], r["share"], r["kept_license"], r["kept_path"], r["kept_cosine"], r["a.b"], r["license"], r["path"]) == ("v0", "v1", "v2", "d/f", "v3", "v6", "MIT", "d/f")
+
+
 def test_cosines_equal_brute_force(spark):
     known = licenses.Templates(licenses.TEMPLATES)
     lines = ["Released under the MIT License.", "licensed under the gnu general public license version 2", "all rights reserved by the license", "MIT license MIT license"]
