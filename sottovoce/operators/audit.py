@@ -90,6 +90,19 @@ def erase_entry(spark: SparkSession, operator: str, reason: str, ts, all_until:
     return spark.range(1).select(F.lit("erase").alias("kind"), F.lit(0).cast("bigint").alias("ref_id"), F.lit(ts).cast("timestamp").alias("ts"), F.sha2(detail, 256).alias("payload_hash"), detail.alias("detail"), F.lit(0).alias("ord"))
 
 
+def erase_all(alerts: DataFrame, operator: str, reason: str, ts) -> tuple[DataFrame, DataFrame]:
+    """A5: (what is left of the alerts: nothing, the chain entry with the largest id that was erased)."""
+    last = alerts.agg(F.max("id")).head()[0]
+    return alerts.where(F.lit(False)), erase_entry(alerts.sparkSession, operator, reason, ts, all_until=last)
+
+
+def purge_entries(expired: DataFrame, days: int, ts, block: int = 10_000) -> DataFrame:
+    """Chain entries that list the ids of expired alerts, a block of ids each, so that no entry grows with the table."""
+    listed = expired.groupBy(F.floor(F.col("id") / block).alias("ord")).agg(F.sort_array(F.collect_set(F.col("id").cast("bigint"))).alias("ids"))
+    detail = F.to_json(F.struct(F.lit(f"retention_{days}d").alias("reason"), F.col("ids")))
+    return listed.select(F.lit("erase").alias("kind"), F.lit(0).cast("bigint").alias("ref_id"), F.lit(ts).cast("timestamp").alias("ts"), F.sha2(detail, 256).alias("payload_hash"), detail.alias("detail"), "ord")
+
+
 def purge(rows: DataFrame, as_of, days: int) -> tuple[DataFrame, DataFrame]:
     """(rows kept, rows expired); each table is purged by its own ages."""
     limit = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))

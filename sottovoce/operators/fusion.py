@@ -112,13 +112,22 @@ def analyze(df: DataFrame, policy: Policy, id_col: str, text_col: str, translati
     return score(fits, policy, id_col, text_col, translation_col, language_col)
 
 
+def candidates(first: DataFrame) -> DataFrame:
+    """Verdicts that a second opinion may raise."""
+    v = F.col("verdict")
+    return first.where((v["severity"] != "CRITICAL") & ((v["threat_score"] >= 0.2) | (F.size(v["matches"]) > 0)))
+
+
+def upgraded(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows (key, before, after: verdicts), those whose second verdict ranks higher and is a violation, with a factor more."""
+    better = (rank(F.col("after.severity")) > rank(F.col("before.severity"))) & F.col("after.is_violation")
+    factor = F.array_append(F.col("after.risk_factors"), F.lit("second opinion"))
+    return rows.where(better).select(key, F.col("before.severity").alias("severity_before"), F.col("after").withField("risk_factors", factor).alias("verdict"))
+
+
 def second_opinion(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Candidates among the first verdicts whose second verdict ranks higher and is a violation, upgraded.
 
     first, second: rows (key, verdict)."""
-    v = F.col("verdict")
-    candidates = first.where((v["severity"] != "CRITICAL") & ((v["threat_score"] >= 0.2) | (F.size(v["matches"]) > 0)))
-    joined = candidates.select(key, v.alias("before")).join(second.select(key, v.alias("after")), key)
-    better = (rank(F.col("after.severity")) > rank(F.col("before.severity"))) & F.col("after.is_violation")
-    factor = F.array_append(F.col("after.risk_factors"), F.lit("second opinion"))
-    return joined.where(better).select(key, F.col("before.severity").alias("severity_before"), F.col("after").withField("risk_factors", factor).alias("verdict"))
+    joined = candidates(first).select(key, F.col("verdict").alias("before")).join(second.select(key, F.col("verdict").alias("after")), key)
+    return upgraded(joined, key)

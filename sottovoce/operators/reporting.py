@@ -33,7 +33,8 @@ def by_language(alerts: DataFrame) -> DataFrame:
 
 
 def by_category(alerts: DataFrame) -> DataFrame:
-    return alerts.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """Q7: most frequent first, then by name."""
+    return alerts.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category")
 
 
 def stats(alerts: DataFrame, as_of) -> DataFrame:

@@ -113,10 +113,12 @@ def raised(levels: DataFrame, key: list[str], order: str, level: str, window: in
 
 def noise_floor(levels: DataFrame, key: list[str], order: str, level: str, rate: float = 0.01) -> DataFrame:
     """The floor of E4 over levels of quiet (filter speech, segments and loud sounds before): after the last row of each
-    key, the first level, then a moving average. A key's levels are folded in one task; keys are sessions."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).cast("double").alias("v")))), lambda x: x["v"])
-    folded = levels.groupBy(*key).agg(seq.alias("_levels"))
-    return folded.select(*key, F.aggregate(F.slice("_levels", 2, 1 << 30), F.get("_levels", F.lit(0)), lambda f, v: f + rate * (v - f)).alias("floor"))
+    key, the first level, then a moving average. In closed form: each level weighs (1 - rate) to the number of later ones,
+    times the rate but for the first."""
+    back = W.partitionBy(*key).orderBy(F.desc(order))
+    later, first = F.row_number().over(back) - 1, F.lead(F.lit(1)).over(back).isNull()
+    weighed = levels.withColumn("_w", F.pow(F.lit(1 - rate), later) * F.when(first, 1.0).otherwise(rate))
+    return weighed.groupBy(*key).agg(F.sum(F.col("_w") * F.col(level)).alias("floor"))
 
 
 def cooled(times: list[float], gap: float) -> list[bool]:

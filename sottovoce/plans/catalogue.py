@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sottovoce.functions import audio, numbers, text
-from sottovoce.operators import audit, fusion, keywords, outbox, reporting, semantic, state
+from sottovoce.operators import audit, fusion, keywords, live, outbox, reporting, semantic, state
 from sottovoce.operators.fusion import quantised
 from sottovoce.sources.policy import SUFFIXES, Policy
 
@@ -253,6 +253,53 @@ def second_opinion_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "severity_before", F.col("verdict.severity").alias("severity_after"), F.col("verdict.threat_score").alias("threat_score"))
 
 
+def spotting_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as chunks, 375 to a segment; windows of 20 chunks, 5 apart."""
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    chunks = read(spark, sf_dir, "events").withColumn("n", n).select("user_id", F.floor(F.col("n") / 375).alias("segment"), (F.col("n") % 375 + 1).alias("at"), "value")
+    return live.spotting_windows(chunks, ["user_id", "segment"], "at", F.col("value") >= 20, 20, 5, 1).select("user_id", "segment", F.col("window_idx").cast("bigint").alias("window_idx"), "start", "stop")
+
+
+def early_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = keywords.exact_array(normal_documents(spark, sf_dir), Policy.example(), "doc_id", "normal")
+    listed = hits.select("doc_id", F.array_sort(F.transform("hits", lambda h: F.struct(h["phrase"].alias("phrase"), h["category"].alias("category"), h["weight"].alias("weight")))).alias("matches"))
+    return live.early_warnings(listed, Policy.example()).drop("matches")
+
+
+def session_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("p", (F.col("doc_id") % 10) / 10)
+    return live.session_language(docs, ["source"], "doc_id", "lang", "p")
+
+
+_TYPES = ["segment", "transcript", "discarded", "early_warning", "verified", "verify_skipped", "dropped", "overflow", "environment"]
+
+
+def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand for what a session tells; speech ended up to 5 s before."""
+    k = F.col("event_id")
+    kind = F.get(F.array(*[F.lit(t) for t in _TYPES]), (k % len(_TYPES)).cast("int"))
+    e = read(spark, sf_dir, "events").select("user_id", kind.alias("type"), F.col("ts").cast("timestamp").alias("ts"), F.when(k % 4 != 0, k).alias("alert_id"), (k % 2 == 0).alias("upgraded"), (k % 40 / 4.0).alias("asr_seconds"))
+    e = e.withColumn("end", F.timestamp_micros(F.unix_micros("ts") - F.unix_micros("ts") % 5_000_000)).withColumn("latency_ms", F.when(F.col("type") == "transcript", live.latency_ms(F.col("ts"), F.col("end"))))
+    return e.groupBy("user_id").agg(*live.counters())
+
+
+def translated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document has a translation, which nobody asks for if the text alone is CRITICAL."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rendered = lambda c: F.when(c.isNotNull() & (F.col("doc_id") % 3 == 0), F.lit("an access token"))
+    v = live.translated(docs, Policy.example(), "doc_id", "text", rendered, latin=True)
+    return v.select("doc_id", F.col("verdict.severity").alias("severity"), F.array_contains("verdict.sources", "translation").alias("translated"))
+
+
+def level_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.told_levels(read(spark, sf_dir, "events"), ["user_id"], "event_id").select("user_id", "event_id")
+
+
+def noise_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet = read(spark, sf_dir, "events").where("value <= 50").select("user_id", "event_id", "value")
+    return live.noise_profile(quiet, ["user_id"], "event_id", "value").select("event_id", "profile_n", quantised(F.col("profile_power")).alias("profile_power"))
+
+
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.text_filter(read(spark, sf_dir, "documents"), "Apache License", ["text"]).select("doc_id")
 
@@ -271,6 +318,7 @@ _QUERIES = [
     severity_counts, language_counts, category_counts, alert_page, alert_stats, nearest_reference, semantic_margin, repeat_escalation, segments_sessionised, phrase_confirmation, muted_runs,
     noise_floor, raised_level, level_db, spectral_centroid, chain_build, chain_tamper_detect, retention_purge, transcript_minimised, outbox_due, outbox_stats, policy_summary, policy_report,
     detector_quality, second_opinion_upgrade, text_filter, csv_projection,
+    spotting_windows, early_warnings, session_language, session_metrics, translated_verdicts, level_telemetry, noise_profile,
 ]
 
 

@@ -171,6 +171,25 @@ SELECT endpoint, seq, CASE WHEN id % 12 = 0 THEN 'missing row' ELSE 'edited row'
         "policy_summary": f"WITH {_phrases()} SELECT count(*) AS phrases, count(DISTINCT category) AS categories, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM policy",
         "policy_report": f"WITH {_phrases()} SELECT category, lang, count(*) AS phrases, max(weight) AS max_weight, string_agg(phrase, '|' ORDER BY phrase) AS texts FROM policy GROUP BY category, lang",
         "detector_quality": f"{_verdict()} SELECT l.toxic, contains(v.categories, 'safety_threats') AS hit, count(*) AS n FROM v JOIN labels l ON l.doc_id = v.doc_id GROUP BY 1, 2",
+        "noise_floor": f"""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, {_q("sum(value * power(0.99::DOUBLE, n - i) * CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END)")} AS "floor" FROM s GROUP BY user_id""",
+        "spotting_windows": """WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+c AS (SELECT user_id, n // 375 AS segment, n % 375 + 1 AS pos FROM r WHERE value >= 20),
+w(user_id, segment, window_idx, stop) AS (SELECT user_id, segment, CAST(0 AS BIGINT), min(pos) FROM c WHERE pos >= 20 GROUP BY user_id, segment
+  UNION ALL SELECT c.user_id, c.segment, max(w.window_idx) + 1, min(c.pos) FROM w JOIN c ON c.user_id = w.user_id AND c.segment = w.segment AND c.pos >= w.stop + 5 GROUP BY c.user_id, c.segment)
+SELECT user_id, CAST(segment AS BIGINT) AS segment, window_idx, CAST(stop - 20 AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM w""",
+        "early_warnings": f"""WITH {_hits(_NORMAL)}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, phrase, category) AS r FROM hits)
+SELECT id AS doc_id, category, phrase, {_severity("weight")} AS estimated_severity FROM k WHERE r = 1""",
+        "session_language": "SELECT source, arg_max(lang, CASE WHEN lang IS NOT NULL AND doc_id % 10 >= 6 THEN doc_id END) AS session_language FROM documents GROUP BY source",
+        "session_metrics": """WITH e AS (SELECT user_id, ts, event_id AS k, event_id % 9 AS t, CASE WHEN event_id % 9 = 1 THEN (epoch_us(ts) % 5000000) // 1000 END AS ms FROM events)
+SELECT user_id, count(*) FILTER (t = 0) AS segments, count(*) FILTER (t = 1) AS transcribed, count(*) FILTER (t = 2) AS discarded_segments, count(*) FILTER (t = 1 AND k % 4 <> 0) AS alerts, count(*) FILTER (t = 3) AS early_warnings,
+  count(*) FILTER (t = 4) AS verifications, count(*) FILTER (t = 4 AND k % 2 = 0) AS verify_upgrades, count(*) FILTER (t = 5) AS verify_skipped, count(*) FILTER (t = 6) AS dropped_chunks, count(*) FILTER (t = 7) AS input_overflows,
+  count(*) FILTER (t = 8) AS environment_events, round(sum(k % 40 / 4.0::DOUBLE), 2) AS asr_seconds_total, arg_max(ms, ts) FILTER (ms IS NOT NULL) AS last_latency_ms, max(ms) AS max_latency_ms FROM e GROUP BY user_id""",
+        "translated_verdicts": f"""{_verdict()}, a AS (SELECT v.doc_id, v.severity, v.severity <> 'CRITICAL' AND v.doc_id % 3 = 0 AND d.text IS NOT NULL AS translated FROM v JOIN documents d ON d.doc_id = v.doc_id)
+SELECT doc_id, CASE WHEN translated THEN 'CRITICAL' ELSE severity END AS severity, translated FROM a""",
+        "level_telemetry": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) WHERE n % 7 = 0",
+        "noise_profile": f"""SELECT event_id, count(*) OVER w AS profile_n, CASE WHEN count(*) OVER w >= 15 THEN {_q("sum(value) OVER w")} END AS profile_power FROM events WHERE value <= 50
+WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 45 PRECEDING AND CURRENT ROW)""",
         "text_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')",
         "csv_projection": f"{_verdict()} SELECT doc_id AS id, '2024-01-01T00:00:00' AS ts, 'upload' AS source, source AS endpoint_id, lang AS language, severity, threat_score, keyword_score, 0.0::DOUBLE AS semantic_score, pattern_score, categories, '' AS transcript, '' AS translation FROM v",
     }

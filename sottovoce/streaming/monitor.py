@@ -4,14 +4,18 @@ Every state machine is the same code as in sottovoce.operators.state; here it is
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sottovoce.operators import audit
 from sottovoce.operators.state import Environment, segment
 
 #: A key without input for so long leaves the state.
@@ -126,8 +130,65 @@ def start_monitoring(verdicts: DataFrame, sink: Callable[[DataFrame, int], None]
 
 
 def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A micro-batch becomes one folder named by its number, so a batch that is tried again replaces itself."""
+    """A micro-batch becomes one folder named by its number, so a batch that is tried again replaces itself."""
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def _chain_before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """The newest part of a chain that batches before `number` wrote; it holds the head."""
+    try:
+        chain = spark.read.parquet(path).where(F.col("batch") < number)
+    except AnalysisException:
+        return None  # nothing was written yet
+    last = chain.agg(F.max("batch")).head()[0]
+    return None if last is None else chain.where(F.col("batch") == last).drop("batch")
+
+
+def audited_sink(path: str, kind: str, store_texts: bool = False) -> Callable[[DataFrame, int], None]:
+    """Rows (id, ts, ...) of a micro-batch go to <path>/<kind>, without their texts unless those may be stored, and an
+    entry for each to the chain of that table, <path>/<kind>_chain. Both are folders by batch, and a batch builds on the
+    chain before it only, so one that is tried again replaces itself."""
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = audit.minimised(batch, store_texts, "transcript", "translation" if "translation" in batch.columns else None) if "transcript" in batch.columns else batch
+        rows.write.mode("overwrite").parquet(f"{path}/{kind}/batch={number}")
+        stored = spark.read.schema(rows.schema).parquet(f"{path}/{kind}/batch={number}")
+        entries = stored.select(F.lit(kind).alias("kind"), F.col("id").alias("ref_id"), "ts", audit.payload_hash(stored, stored.columns).alias("payload_hash"), F.lit("").alias("detail"), F.col("id").alias("ord"))
+        audit.append(_chain_before(spark, f"{path}/{kind}_chain", number), entries).write.mode("overwrite").parquet(f"{path}/{kind}_chain/batch={number}")
+
+    return write
+
+
+def environment_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Environment events with their levels to one place; that a session has no input is not stored."""
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.where("kind <> 'input_silent'").withColumns({c: F.round(c, 1) for c in ("level_db", "baseline_db", "delta_db")})
+        parquet_sink(path)(rows, number)
+
+    return write
+
+
+class Telemetry(StreamingQueryListener):
+    """Hands the progress of streaming queries (observed counters included) to callbacks; one that fails doesn't disturb the others."""
+
+    def __init__(self, *callbacks: Callable) -> None:
+        self.callbacks = callbacks
+
+    def _tell(self, told) -> None:
+        for callback in self.callbacks:
+            try:
+                callback(told)
+            except Exception:
+                logging.getLogger(__name__).exception("a telemetry callback failed")
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self._tell(event.progress)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
