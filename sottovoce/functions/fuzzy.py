@@ -22,18 +22,21 @@ def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
     """200 * LCS / (lengths) of the shorter with the best window of the longer: windows of the shorter's length, and
     shorter ones clipped at either end. 0 where nothing reaches the floor."""
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    n, best = len(short), 0.0
-    if not n:
+    if not short:
         return 0.0
-    letters = Counter(short)
-    windows = [(s, s + n) for s in range(len(long_) - n + 1)] + [(0, e) for e in range(1, n)] + [(len(long_) - e, len(long_)) for e in range(1, n)]
-    for start, end in windows:
-        window = long_[start:end]
-        goal = max(best, floor)
-        shared = sum((letters & Counter(window)).values())  # no subsequence is longer than the shared letters
-        if 200 * shared / (n + len(window)) < goal:
-            continue
-        best = max(best, 200 * lcs_length(short, window) / (n + len(window)))
-        if best == 100:
-            break
+    n, most, best, shared = len(short), len(long_), 0.0, 0
+    letters, held = Counter(short), Counter()
+    for end in range(1, most + n):
+        start = end - n
+        if end <= most:
+            shared += held[long_[end - 1]] < letters[long_[end - 1]]
+            held[long_[end - 1]] += 1
+        if start > 0:
+            held[long_[start - 1]] -= 1
+            shared -= held[long_[start - 1]] < letters[long_[start - 1]]
+        size = min(end, most) - max(start, 0)
+        if 200 * shared >= max(best, floor) * (n + size):  # no subsequence is longer than the shared letters
+            best = max(best, 200 * lcs_length(short, long_[max(start, 0) : end]) / (n + size))
+            if best == 100:
+                break
     return best if best >= floor else 0.0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sottovoce.functions import audio, numbers, text
 from sottovoce.operators import audit, fusion, keywords, live, outbox, reporting, semantic, state
 from sottovoce.operators.fusion import quantised
-from sottovoce.sources.policy import SUFFIXES, Policy
+from sottovoce.sources.policy import EXAMPLE, Policy
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -51,11 +51,15 @@ def phrase_hits_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", F.size("m").cast("bigint").alias("n_matches"), F.get("m", F.lit(0))["weight"].alias("score"), F.array_join(F.array_sort(F.transform("m", lambda m: m["phrase"])), "|").alias("phrases"))
 
 
+#: Phrases that sound like some of the made-up words of the turns.
+_SPOKEN = Policy(EXAMPLE | {"categories": {"spoken": {"weight": 0.5, "phrases": ["in thereon an", "there in the", "of the ration"]}}})
+
+
 def phrase_hits_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6-K9 on the turns of conversations."""
     turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.normalize(F.col("text"), latin=True).alias("normal"))
     none = F.array().cast("array<string>")
-    found = turns.select("id", keywords.fuzzy(F.col("normal"), none, Policy.example()).alias("hits"))
+    found = turns.select("id", keywords.fuzzy(F.col("normal"), none, _SPOKEN).alias("hits"))
     return found.select("id", F.explode(keywords.ranked(keywords.suppress(F.col("hits")))).alias("m")).select("id", "m.category", "m.phrase", "m.weight", "m.similarity")
 
 
