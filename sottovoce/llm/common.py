@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_of(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """df with each column whose name (in any case) is among `names` renamed to kept_<name>, so that results can take
+    those names and nothing is overwritten; and a function from an old name to its column."""
+    wanted = {n.lower() for n in names}
+    taken, now = wanted | {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        new = c
+        while c.lower() in wanted and new.lower() in taken:
+            new = f"kept_{new}"
+        taken.add(new.lower())
+        now[c] = new
+    renamed = {c: new for c, new in now.items() if c != new}
+    return df.withColumnsRenamed(renamed) if renamed else df, lambda c: F.col(f"`{now.get(c, c)}`")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back."""
     path = shared_path(df.sparkSession, name)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sottovoce.llm import bpe, decontaminate, exact_dedup, language, licenses, near_dedup, quality, sharding, toxicity, warc
+from sottovoce.llm import bpe, decontaminate, exact_dedup, fim, language, licenses, near_dedup, quality, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_quality": quality.op10_quality,
+        "op11_fim": fim.op11_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.op1_sql(), "op4_warc": warc.op4_sql(), "op7_exact_dedup": exact_dedup.op7_sql()}
+    return {"op1_decontamination": decontaminate.op1_sql(), "op4_warc": warc.op4_sql(), "op7_exact_dedup": exact_dedup.op7_sql(), "op11_fim": fim.op11_sql()}
