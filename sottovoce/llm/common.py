@@ -100,16 +100,36 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", co
     return dealt.join(copied, [on, "_salt"], how).drop("_salt")
 
 
-def maybe_in(df: DataFrame, key: str, needed: DataFrame, words: int) -> DataFrame:
-    """The rows of df whose bigint key is in needed (a table of one such column, any name), and some others: keys are
-    looked up by hash in a bitmap of words * 64 bits, which is all that is broadcast, however many keys are needed."""
-    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(words * 64))
-    bit = lambda c: F.expr(f"cast(pmod(xxhash64(cast(`{c}` as bigint)), 64) as int)")
+#: Bits in a bitmap for each key (see flagged), the fewest and the most of a bitmap, and in a row of it. The most is 256 MB.
+KEY_BITS, LEAST_BITS, MOST_BITS, ROW_BITS = 8, 1 << 20, 1 << 31, 4096
+
+
+def flagged(df: DataFrame, key: str, needed: DataFrame, flag: str = "_maybe", most: int = MOST_BITS) -> DataFrame:
+    """df with a column that is true where its bigint key is in needed (a table of one such column, any name, of distinct
+    keys or nearly so), and for some other rows.
+
+    Keys are looked up by hash in a bitmap that is broadcast. It has KEY_BITS bits for each needed key, so that about an
+    eighth of the others are flagged however many there are, up to `most` bits; it goes on filling up to half as many keys
+    as bits, and beyond that all rows are flagged: what is done to them is right for any, and only moves more."""
+    keys = needed.count()
+    bits = min(max(LEAST_BITS, 1 << (keys * KEY_BITS - 1).bit_length()), most)
+    if keys * 2 > bits:
+        return df.withColumn(flag, F.lit(True))
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
     (k,) = needed.columns
-    bits = needed.select(F.floor(spot(k) / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(k)).alias("_bits"))
-    bitmap = materialise(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")), "bitmap")
-    found = df.withColumn("_word", F.floor(spot(key) / 64).cast("int")).join(F.broadcast(bitmap), "_word")
-    return found.where(F.getbit("_bits", bit(key)) == 1).drop("_word", "_bits")
+    words = needed.select(F.floor(spot(k) / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{k}` as bigint)), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    listed = F.map_from_entries(F.collect_list(F.struct((F.col("w") % (ROW_BITS // 64)).cast("int"), "b")))
+    rows = words.groupBy(F.floor(F.col("w") * 64 / ROW_BITS).cast("int").alias("_row")).agg(listed.alias("m"))  # at most 64 words each
+    rows = rows.select("_row", F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("_words"))
+    found = df.withColumn("_row", F.floor(spot(key) / ROW_BITS).cast("int")).join(F.broadcast(materialise(rows, "bitmap")), "_row", "left")
+    word = F.get("_words", (F.floor(spot(key) / 64) % (ROW_BITS // 64)).cast("int"))
+    hit = F.getbit(word, F.expr(f"cast(pmod(xxhash64(cast(`{key}` as bigint)), 64) as int)")) == 1
+    return found.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_row", "_words")
+
+
+def maybe_in(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
+    """The rows of df whose bigint key is in needed, and some others (see flagged)."""
+    return flagged(df, key, needed, "_maybe").where("_maybe").drop("_maybe")
 
 
 _SHIPPED: set[str] = set()

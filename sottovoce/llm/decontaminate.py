@@ -24,8 +24,6 @@ DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: The window table is broadcast up to so many bytes of words, item ids and WINDOW_BYTES a window.
 BROADCAST_BYTES, WINDOW_BYTES = 64 << 20, 200
-#: Words of 64 bits in the bitmap that picks the training windows to move: 8 MB however large the benchmark.
-BITMAP_WORDS = 1 << 20
 
 
 def word_array(text: Column) -> Column:
@@ -74,7 +72,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, key: list[str], text_col: str =
         marker = found.sparkSession.range(1).select(none.alias("h"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items"))
         hit = hashes.join(F.broadcast(found.unionByName(marker)), "h").where((is_marker & (F.size("items") == 0)) | (~is_marker & same))
         return _gather(hit.select(*key, "n_words", (~is_marker).alias("is_hit"), "items", "at", "len"), key)
-    likely = maybe_in(hashes.where(~is_marker & F.col("h").isNotNull()), "h", found.select("h"), BITMAP_WORDS)
+    likely = maybe_in(hashes.where(~is_marker & F.col("h").isNotNull()), "h", found.select("h"))
     likely = materialise(likely.select(*key, "n_words", "at", "len", "h", own.alias("own")), "likely")
     # distinct windows may share a hash: then each of them meets what has it
     hit = skew_join(likely, found, "h").where(F.col("own") == F.col("words")).select(*key, "n_words", F.lit(True).alias("is_hit"), "items", "at", "len")

@@ -27,8 +27,6 @@ MIN_CHUNK, MAX_CHUNK = 512, 4096
 SENTENCE_END = r"(?:[\n\r]|[.!?;:。！？।]\s)"
 WORD_END = r"[aenrt]\s"
 PAIR = r"[a-fA-F0-4\x{4E00}-\x{5FFF}][g-zG-Z5-9\x{6000}-\x{9FFF}]"
-#: Words of 64 bits in the bitmap that picks chunks to move: 1 MB however large the corpus.
-BITMAP_WORDS = 1 << 17
 
 
 def chunks(text: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> Column:
@@ -52,7 +50,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     again = materialise(again, "again")
     # a digest that occurs once stands for one chunk; the others' chunks meet, copies within a task merged before
     cut = named.select(F.explode(chunks(F.col("text"), low, high)).alias("chunk")).withColumn("d", digest(F.col("chunk")).cast("long"))
-    distinct = maybe_in(cut, "d", again, BITMAP_WORDS).groupBy("d", "chunk").agg(F.lit(1).alias("one"))
+    distinct = maybe_in(cut, "d", again).groupBy("d", "chunk").agg(F.lit(1).alias("one"))
     clash = distinct.groupBy("d").agg(F.count("one").alias("n")).where("n > 1").select("d")
     clash = materialise(clash, "clash")
     plain = F.transform("ds", lambda d: F.struct(d.alias("d"), F.lit(0).alias("rank")))

@@ -36,8 +36,6 @@ BASE, RATE = 1.02, 20.0
 MARGIN = 0.13
 #: Nodes in a block of step 3.
 BLOCK = 256
-#: Words of 64 bits in the bitmap that picks texts to verify: 1 MB however large the corpus.
-BITMAP_WORDS = 1 << 17
 
 _WORD = vectext.spaced((0x20, 0x20), (0x09, 0x0D))
 _RNG = np.random.default_rng(977)
@@ -137,7 +135,7 @@ def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> Da
     """A row (row, text_id, text) for each needed row, and some more: documents are picked by a bitmap of fixed size over
     the hashes of the needed ones. Different documents may share a hash; the id tells them apart."""
     text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
-    picked = maybe_in(text, "row", needed, BITMAP_WORDS)
+    picked = maybe_in(text, "row", needed)
     return materialise(picked.dropDuplicates(["row", "text_id"]), "texts")
 
 
@@ -145,7 +143,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     """Of the node pairs (a, b), those whose full sets reach the threshold."""
     estimate = F.pandas_udf(_estimate, "double")
     named = pairs.select(F.col("a").alias("x")).union(pairs.select("b"))
-    about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", named, BITMAP_WORDS), "about")
+    about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", named), "about")
     side = {s: about.select(*[F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in about.columns]) for s in "ab"}
     # size alone rules a pair out at once; registers rule out most others
     sized = skew_join(skew_join(pairs, side["b"], "b"), side["a"], "a", counted=pairs).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -213,7 +211,7 @@ def _buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     wide = shared.where("c > 2")
     share = F.greatest(F.floor(F.lit((wide.agg(F.sum("c")).head()[0] or 0) / HOT_SLICES)), F.lit(MIN_HOT_ROWS))
     hot = wide.where(F.col("c") > share).select("key", F.ceil(F.col("c") / share).cast("int").alias("_n"))  # at most HOT_SLICES rows
-    members = skew_join(maybe_in(bands, "key", wide.select("key"), BITMAP_WORDS), wide.select("key", "pivot"), "key", hot=hot if hot.head(1) else None)
+    members = skew_join(maybe_in(bands, "key", wide.select("key")), wide.select("key", "pivot"), "key", hot=hot if hot.head(1) else None)
     buckets = materialise(members.select("key", "band", "node", "pivot"), "buckets")
     stars = buckets.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).union(shared.where("c = 2").select("pivot", "other"))
     pairs = materialise(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
@@ -236,7 +234,7 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
     stands = rows.select("node", "band", "key", "label", F.lit(0).alias("asks"), F.explode_outer(every("nq")).alias("q"), own("ns").alias("s"))
     asks = rows.where("label <> major").select("node", "band", "key", "label", F.lit(1).alias("asks"), own("nq").alias("q"), F.explode_outer(every("ns")).alias("s"))
     placed = materialise(stands.union(asks), "placed")
-    about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", placed.select("node"), BITMAP_WORDS), "about")
+    about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", placed.select("node")), "about")
     full = skew_join(placed, about, "node")
     kind = nodes.schema["id"].dataType.simpleString()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # blocks are few bytes but long to compare, so they are not packed by size

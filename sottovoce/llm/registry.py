@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sottovoce.llm import bpe, decontaminate, exact_dedup, fim, language, licenses, near_dedup, quality, sharding, toxicity, trie, warc
+from sottovoce.llm import bpe, decontaminate, exact_dedup, fim, language, licenses, near_dedup, quality, rules, sharding, toxicity, trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_quality": quality.op10_quality,
         "op11_fim": fim.op11_fim,
+        "op12_quality_rules": rules.op12_quality_rules,
         "op13_prefix_trie": trie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.op1_sql(), "op4_warc": warc.op4_sql(), "op7_exact_dedup": exact_dedup.op7_sql(), "op11_fim": fim.op11_sql(), "op13_prefix_trie": trie.op13_sql()}
+    return {"op1_decontamination": decontaminate.op1_sql(), "op4_warc": warc.op4_sql(), "op7_exact_dedup": exact_dedup.op7_sql(), "op11_fim": fim.op11_sql(), "op12_quality_rules": rules.op12_sql(), "op13_prefix_trie": trie.op13_sql()}

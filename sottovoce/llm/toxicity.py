@@ -56,8 +56,6 @@ BROADCAST_ENTRIES = 1 << 21
 PACKED = 1 << 16
 #: Labelled rows, at most about, on which the curve is fitted.
 CURVE_ROWS = 20_000
-#: Words of 64 bits of the bitmap that picks labelled documents: 8 MB however many there are.
-BITMAP_WORDS = 1 << 20
 #: A task's table of counts is merged when it has gathered this many entries, and handed on at half of that.
 GATHER = 4_000_000
 
@@ -375,7 +373,7 @@ def learned(documents: DataFrame, labels: DataFrame) -> Model:
     taught = fold(F.col("doc_id"), 5) != 0
     known = labels.where("toxic in (0, 1)").where(taught).select("doc_id", "toxic").dropDuplicates(["doc_id", "toxic"])
     # only texts that have labels move; both sides always do, so that the plan is the same at every size
-    texts = maybe_in(documents.select("doc_id", "text").where(taught), "doc_id", known.select("doc_id"), BITMAP_WORDS)
+    texts = maybe_in(documents.select("doc_id", "text").where(taught), "doc_id", known.select("doc_id"))
     rows = texts.join(known.hint("merge"), "doc_id")
     rows = materialise(rows, "labelled")
     return train(rows, fold(F.col("doc_id"), 5) == 4)

@@ -69,11 +69,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def words(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words (runs of bytes in `inside`, within one row): their 64-bit hashes in order, and how many words stand before each row starts (one more than rows)."""
+def runs(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes in `inside`, within one row, begin and where they end (their last byte)."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     is_in = inside[data]
     first = np.zeros(n + 1, dtype=bool)
     first[starts] = True
@@ -81,11 +79,24 @@ def words(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.
     begin[1:] &= ~is_in[:-1] | first[1:n]
     stop = is_in.copy()
     stop[:-1] &= ~is_in[1:] | first[1:n]
-    at, to = np.flatnonzero(begin), np.flatnonzero(stop)
+    return np.flatnonzero(begin), np.flatnonzero(stop)
+
+
+def run_hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The 64-bit hashes of runs that begin at `at` and whose last bytes are at `to`."""
+    n = len(data)
     up, down = _powers(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return mix((total[to + 1] - total[at]) * down[at] + (to - at).astype(np.uint64)), np.searchsorted(at, starts)
+    return mix((total[to + 1] - total[at]) * down[at] + (to - at).astype(np.uint64))
+
+
+def words(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words (runs of bytes in `inside`, within one row): their 64-bit hashes in order, and how many words stand before each row starts (one more than rows)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+    at, to = runs(data, starts, inside)
+    return run_hashes(data, at, to), np.searchsorted(at, starts)
 
 
 _LETTERS = np.full(256, 0x20, dtype=np.uint8)

@@ -18,7 +18,7 @@ def test_stages_keep_columns_and_clean_documents(spark):
 def test_registered_queries_run(spark):
     from sottovoce.llm import registry
 
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in (*range(1, 12), 13)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
     n = corpus_pipeline.table(spark, SF, "documents").count()
     for name, query in registry.queries().items():
         assert name == "op13_prefix_trie" or query(spark, SF).count() == (50 if name == "op4_warc" else n), name
