@@ -7,8 +7,11 @@ How no link between different sets gets lost, while no bucket is expanded into a
 1. documents with equal sets collapse to one node, so exact copies cost one row; nodes are numbered, in 8 bytes;
 2. one pass over the band values counts every bucket and finds its first and last node: of two nodes that is the pair.
    Only nodes of larger buckets move once more; each is compared to one pivot of its bucket (a star);
-3. two rounds of labelling along the links found so far give (parts of) components; where a bucket still holds several,
-   the nodes outside its largest are compared, in blocks spread over tasks, with all the bucket's nodes outside their own.
+3. rounds of labelling along the links found so far give (parts of) components. The nodes of buckets that still hold
+   several show their rarest shingles, as many as two sets that link must have one of in common; a family of texts that
+   share a frame, but too little to link, thereby does not meet in the frame. Where nodes of several components meet in a
+   shingle, those outside its largest component are compared with the others, in blocks spread over tasks: by size, by
+   how many shingles are left behind the common one, by their registers' estimate, and at last on full sets.
 Pairs that share no band are lost: with 32 bands of 5 registers that is 1 pair in 300,000 at similarity 0.8, fewer above.
 
 Defined cases: null and empty texts have empty sets, stay alone and are kept; a component's id is its smallest id; rows
@@ -36,6 +39,8 @@ BASE, RATE = 1.02, 20.0
 MARGIN = 0.13
 #: Nodes in a block of step 3.
 BLOCK = 256
+#: Binary logarithms of the fewest and the most cells that shingles are counted in to tell which are rare.
+LEAST_CELLS, MOST_CELLS = 16, 20
 
 _WORD = vectext.spaced((0x20, 0x20), (0x09, 0x0D))
 _RNG = np.random.default_rng(977)
@@ -219,22 +224,85 @@ def _buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, buckets
 
 
+def prefixes(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its rarest shingles a set must show so that each set which it links to meets one of them: towards sets that are no larger, and towards those that are no smaller.
+
+    Two sets that link share at least percent / (100 + percent) of their summed sizes. So of two sets whose first common
+    shingle (in one order for all) stands behind these places in either, too few are left."""
+    return sizes - -(-sizes * percent // 100) + 1, sizes - -(-2 * sizes * percent // (100 + percent)) + 1
+
+
+def _rarest(docs: DataFrame, opened: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """A row (node, label, n, index, token, place) for each of the rarest shingles of the opened nodes (node, label, row, id, n), by
+    which they may link: `index` of them towards nodes that are no smaller.
+
+    Rarity is a count by hash, in a table of bounded size, so that the order is the same everywhere. Texts don't move."""
+    text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    picked = maybe_in(text, "row", opened.select("row"))
+    total = opened.agg(F.sum("n")).head()[0]
+    cells = 1 << min(max(int(total).bit_length(), LEAST_CELLS), MOST_CELLS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(cells, np.int64)
+        for batch in batches:
+            for sets in shingle_sets(batch.column("text"), width):
+                held += np.bincount((np.concatenate(sets) % np.uint64(cells)).astype(np.int64), minlength=cells)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["cell", "n"])
+
+    counted = picked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 1 << MOST_CELLS rows
+    often = np.zeros(cells, np.int64)
+    often[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, index = [], []
+            for sets in shingle_sets(batch.column("text"), width):
+                for s in sets:
+                    towards_smaller, towards_larger = prefixes(np.array([len(s)]), percent)
+                    order = np.lexsort((s, shared.value[(s % np.uint64(cells)).astype(np.int64)]))[: towards_smaller[0]]
+                    tokens.append(s[order].view(np.int64))
+                    index.append(int(towards_larger[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text_id"), pa.array(tokens, pa.list_(pa.int64())), pa.array(index, pa.int32())], ["row", "text_id", "tokens", "index"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    met = opened.join(picked.mapInArrow(show, f"row long, text_id {kind}, tokens array<long>, index int"), "row").where(F.col("id").eqNullSafe(F.col("text_id"))).dropDuplicates(["node"])
+    return met.select("node", "label", "n", "index", F.posexplode_outer("tokens").alias("place", "token"))
+
+
 def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links between different components within a bucket (step 3). A node that links to a component once is not compared to the rest of it in that block."""
     spark = docs.sparkSession
-    labelled = skew_join(buckets.select("key", "band", "node"), labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialise(labelled.select("node", "band", "key", "label"), "labelled")
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    state = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("major")).where("all > 2 and all > major.n")
-    state = state.select("key", F.col("major.label").alias("major"), F.ceil((F.col("all") - F.col("major.n")) / BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ns"))
+    labelled = skew_join(buckets.select("key", "node"), labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    labelled = materialise(labelled, "labelled")
+    still = materialise(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "still")
+    if not still.head(1):
+        discard(labelled)
+        return spark.createDataFrame([], "a long, b long")
+    of_open = skew_join(labelled, still, "key").groupBy("node").agg(F.first("label").alias("label"))
+    opened = materialise(of_open.join(nodes.select("node", "row", "id", "n"), "node"), "opened")
+    discard(labelled)
+    tokens = materialise(_rarest(docs, opened, id_col, text_col, width, percent), "tokens")
+    met_in = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("place") < F.col("index")).alias("indexed")).where("lo <> hi and indexed").select("token")
+    met_in = materialise(met_in, "met")
+    if not met_in.head(1):
+        return spark.createDataFrame([], "a long, b long")
+    shown = skew_join(maybe_in(tokens, "token", met_in), met_in, "token").select(F.col("token").alias("key"), "node", "label", "n", "place", "index")
+    shown = materialise(shown, "shown")
+    discard(tokens)
+    sizes = shown.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    state = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("major"))
+    state = state.select("key", F.col("major.label").alias("major"), F.ceil((F.col("all") - F.col("major.c")) / BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ns"))
     state = materialise(state, "open")
-    rows = skew_join(labelled, state, "key")
-    own = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    stands = rows.select("node", "band", "key", "label", F.lit(0).alias("asks"), F.explode_outer(every("nq")).alias("q"), own("ns").alias("s"))
-    asks = rows.where("label <> major").select("node", "band", "key", "label", F.lit(1).alias("asks"), own("nq").alias("q"), F.explode_outer(every("ns")).alias("s"))
+    rows = skew_join(shown, state, "key")
+    own = lambda c: F.pmod(F.xxhash64("node", F.lit(3)), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cols = ["node", "key", "label", "n", "place", "index"]
+    stands = rows.select(*cols, F.lit(0).alias("asks"), F.explode_outer(every("nq")).alias("q"), own("ns").alias("s"))
+    asks = rows.where("label <> major").select(*cols, F.lit(1).alias("asks"), own("nq").alias("q"), F.explode_outer(every("ns")).alias("s"))
     placed = materialise(stands.union(asks), "placed")
-    about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", placed.select("node")), "about")
+    about = materialise(maybe_in(nodes.select("node", "registers", "row", "id"), "node", shown.select("node").distinct()), "about")
     full = skew_join(placed, about, "node")
     kind = nodes.schema["id"].dataType.simpleString()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # blocks are few bytes but long to compare, so they are not packed by size
@@ -243,26 +311,24 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
 
     def likely(frame: pd.DataFrame) -> pd.DataFrame:
         """Askers with the places of those that they may link to, most alike first, and all that are asked."""
-        band, asks_, label, n = int(frame["band"].iloc[0]), frame["asks"].to_numpy(), frame["label"].to_numpy(), frame["n"].to_numpy(float)
+        asks_, label, n, place, index = (frame[c].to_numpy() for c in ("asks", "label", "n", "place", "index"))
         ask, stand = np.flatnonzero(asks_ == 1), np.flatnonzero(asks_ == 0)
         partners: dict[int, list[int]] = {}
-        if len(ask) and len(stand):
-            registers = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS)
-            for i in ask:
-                fit = stand[(label[stand] != label[i]) & (100 * np.minimum(n[i], n[stand]) >= percent * np.maximum(n[i], n[stand]))]
-                if not len(fit):
-                    continue
-                x, y = registers[i], registers[fit]
-                equal = y == x
-                near = equal.sum(1) >= REGISTERS * (percent / 100 - 2 * MARGIN)
-                near[near] = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band  # a pair is taken in its first common band
-                fit, y = fit[near], y[near]
-                if not len(fit):
-                    continue
-                guess = jaccard((x > y).sum(1), (x < y).sum(1), np.full(len(fit), n[i]), n[fit])
-                fit = fit[np.argsort(-guess, kind="stable")][: int((guess >= percent / 100 - MARGIN).sum())]
-                if len(fit):
-                    partners[int(i)] = fit.tolist()
+        registers = None
+        for i in ask if len(stand) else ():
+            a, b = n[i], n[stand]
+            left = np.minimum(a - place[i], b - place[stand])  # this shingle and those behind it: where it is the first in common, the two share no more
+            fit = (label[stand] != label[i]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * left >= percent * (a + b))
+            fit = stand[fit & (((a <= b) & (place[i] < index[i])) | ((b <= a) & (place[stand] < index[stand])))]
+            if not len(fit):
+                continue
+            if registers is None:
+                registers = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS)
+            x, y = registers[i], registers[fit]
+            guess = jaccard((x > y).sum(1), (x < y).sum(1), np.full(len(fit), float(a)), n[fit].astype(float))
+            fit = fit[np.argsort(-guess, kind="stable")][: int((guess >= percent / 100 - MARGIN).sum())]
+            if len(fit):
+                partners[int(i)] = fit.tolist()
         wanted = sorted({j for js in partners.values() for j in js})
         if not wanted:
             return pd.DataFrame(columns=names)
@@ -290,13 +356,13 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
 
     whole = skew_join(met, texts, "row").where(F.col("id").eqNullSafe(F.col("text_id"))).drop("id", "text_id").repartition(tasks, "key", "q", "s")
     links = materialise(whole.groupBy("key", "q", "s").applyInPandas(confirmed, "a long, b long"), "links")
-    for used in (labelled, state, placed, met, texts):
+    for used in (opened, met_in, shown, state, placed, met, texts):
         discard(used)
     return links
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """A row per document: id, n_shingles, component_id, kept (id = component_id), row (hash of id and text)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
+    """A row per document: id, n (set size), row (hash of id and text), grp (a number of its group; null for empty sets) and component_id."""
     prepare(docs.sparkSession)
     percent = round(threshold * 100)
     sketched = materialise(features(docs, id_col, text_col, width), "features")
@@ -308,29 +374,48 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     pairs, buckets = _buckets(nodes)
     links = verified(pairs, nodes, docs, id_col, text_col, width, percent)
     discard(pairs)
-    labels = components(links, rounds=2)
+    labels = components(links, rounds=4)
     more = _crossing(buckets, labels, nodes, docs, id_col, text_col, width, percent)
     discard(buckets)
     discard(labels)
     labels = components(links.union(more))
-    named = nodes.select("node", "digest", "least").join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
+    named = nodes.select("node", "digest", "least").join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("grp"))
     named = materialise(named, "named")
     for used in (links, more, labels, nodes):
         discard(used)
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = materialise(skew_join(named, smallest, "label").select("digest", "component_id"), "by_node")
+    smallest = named.groupBy("grp").agg(F.min("least").alias("component_id"))
+    by_node = materialise(skew_join(named, smallest, "grp").select("digest", "grp", "component_id"), "by_node")
     discard(named)
     out = skew_join(found, by_node, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "row")
+    return out.select("id", "n", "row", "grp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """A row per document: id, n_shingles, component_id, kept (id = component_id)."""
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _grouped(docs, id_col, text_col, width, threshold).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each group, the one of the smallest id, all columns kept. Ids are taken to be a key."""
-    stay = groups(docs, id_col, text_col, width, threshold).where("kept").select(F.col("row").alias("_row"))
-    row: Column = F.xxhash64(docs[id_col], docs[text_col])
-    return docs.join(stay, row == F.col("_row"), "left_semi")
+    """One row of each group, all columns kept, whatever their names: one of its smallest id (of several such rows, one with
+    the smallest hash of its text, and any one of rows that repeat that). Rows without words belong to no group and all stay."""
+    found = _grouped(docs, id_col, text_col, width, threshold).where("grp is not null")
+    rows = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("grp", "row").agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("c"))
+    stay = materialise(rows.groupBy("grp").agg(F.min(F.struct("row", "id", "c")).alias("s")).select("s.*"), "stay")
+    id_, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.where(~wordless).join(some, (F.xxhash64(id_, text) == some["row"]) & id_.eqNullSafe(some["id"]), "left_semi")
+
+    kept = docs.where(wordless).unionByName(of(stay.where("c = 1")))
+    repeated = stay.where("c > 1")
+    if not repeated.head(1):
+        return kept
+    held = of(repeated)  # only rows that repeat are merged
+    one = held.select(F.struct(*[held[f"`{c}`"] for c in held.columns]).alias("doc"), F.xxhash64(held[f"`{id_col}`"], held[f"`{text_col}`"]).alias("row"), held[f"`{id_col}`"].alias("id"))
+    return kept.unionByName(one.dropDuplicates(["row", "id"]).select("doc.*"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"), width=2).drop("row")
+    return groups(table(spark, sf_dir, "documents"), width=2)
