@@ -6,8 +6,8 @@ are skipped when they come up. A pre-token of n bytes takes O(n log n) steps, ho
 are remembered, up to a bound.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to no bytes; text that looks like a special
-token is ordinary text; bytes without a rank raise an error, as then the ranks are no byte-level vocabulary; further
-columns pass through untouched."""
+token is ordinary text; bytes without a rank raise an error, as then the ranks are no byte-level vocabulary; columns that
+bear a result's name come back as kept_<name>, further columns untouched."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sottovoce.llm.common import prepare, table
+from sottovoce.llm.common import clear_of, prepare, table
 
 #: Remembered pre-tokens in a task's process (and as many of the time before), and the longest that is remembered (in characters).
 REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
@@ -186,13 +186,15 @@ class Tokenizer:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of each text (see Tokenizer.encode) and n_tokens."""
     tokenizer = Tokenizer(docs.sparkSession, ranks_path, pattern)
-    coded = docs.withColumn(ids_col, tokenizer.encode(F.col(text_col)))
+    clear, of = clear_of(docs, ids_col, "n_tokens")
+    coded = clear.withColumn(ids_col, tokenizer.encode(of(text_col)))
     return coded.withColumn("n_tokens", (F.octet_length(ids_col) / 4).cast("long"))
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """coded with the bytes of its ids; cast them to string for text."""
-    return coded.withColumn(bytes_col, Tokenizer(coded.sparkSession, ranks_path, pattern).decode(F.col(ids_col)))
+    clear, of = clear_of(coded, bytes_col)
+    return clear.withColumn(bytes_col, Tokenizer(coded.sparkSession, ranks_path, pattern).decode(of(ids_col)))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,8 +39,8 @@ BASE, RATE = 1.02, 20.0
 MARGIN = 0.13
 #: Nodes in a block of step 3.
 BLOCK = 256
-#: Binary logarithms of the fewest and the most cells that shingles are counted in to tell which are rare.
-LEAST_CELLS, MOST_CELLS = 16, 20
+#: Binary logarithms of the fewest and the most cells (a byte each, so at most 16 MB) in which shingles are counted to tell which are rare, and cells that are packed together.
+LEAST_CELLS, MOST_CELLS, CELL_CHUNK = 16, 24, 1 << 16
 
 _WORD = vectext.spaced((0x20, 0x20), (0x09, 0x0D))
 _RNG = np.random.default_rng(977)
@@ -240,19 +240,26 @@ def _rarest(docs: DataFrame, opened: DataFrame, id_col: str, text_col: str, widt
     text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
     picked = maybe_in(text, "row", opened.select("row"))
     total = opened.agg(F.sum("n")).head()[0]
-    cells = 1 << min(max(int(total).bit_length(), LEAST_CELLS), MOST_CELLS)
+    cells = 1 << min(max(int(total).bit_length() - 4, LEAST_CELLS), MOST_CELLS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(cells, np.int64)
+        held = np.zeros(cells, np.int32)
         for batch in batches:
             for sets in shingle_sets(batch.column("text"), width):
-                held += np.bincount((np.concatenate(sets) % np.uint64(cells)).astype(np.int64), minlength=cells)
+                held += np.bincount((np.concatenate(sets) % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.int32)
         at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["cell", "n"])
-
-    counted = picked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 1 << MOST_CELLS rows
-    often = np.zeros(cells, np.int64)
-    often[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["cell", "n"])
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        """A byte for each cell of a part: how often, as a logarithm of eight steps an octave."""
+        chunk, out = int(frame["chunk"].iloc[0]), np.zeros(CELL_CHUNK, np.uint8)
+        out[frame["cell"].to_numpy() % CELL_CHUNK] = np.minimum(8 * np.log2(frame["n"].to_numpy() + 1.0), 255).astype(np.uint8)
+        return pd.DataFrame({"chunk": [chunk], "counts": [out.tobytes()]})
+
+    counted = picked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("chunk", F.floor(F.col("cell") / CELL_CHUNK))
+    often = np.zeros(cells, np.uint8)
+    for r in counted.groupBy("chunk").applyInPandas(pack, "chunk long, counts binary").collect():  # a byte for each cell
+        often[r["chunk"] * CELL_CHUNK : (r["chunk"] + 1) * CELL_CHUNK] = np.frombuffer(r["counts"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
