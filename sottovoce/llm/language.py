@@ -11,7 +11,7 @@ more), taken by a hash of the text; each counts once, however often it is copied
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as are all texts if nothing was learned;
 null languages teach nothing; of equal costs the language that sorts first wins; rows that repeat get equal answers; an
-empty table gives an empty result; further columns pass through untouched."""
+empty table gives an empty result; predict() returns its own three columns only."""
 
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ How no link between different sets gets lost, while no bucket is expanded into a
    several show their rarest shingles, as many as two sets that link must have one of in common; a family of texts that
    share a frame, but too little to link, thereby does not meet in the frame. Where nodes of several components meet in a
    shingle, those outside its largest component are compared with the others, in blocks spread over tasks: by size, by
-   how many shingles are left behind the common one, by their registers' estimate, and at last on full sets.
+   how many shingles are left behind the common one, and by their registers' estimate; what is left, each pair once, on
+   full sets.
 Pairs that share no band are lost: with 32 bands of 5 registers that is 1 pair in 300,000 at similarity 0.8, fewer above.
 
 Defined cases: null and empty texts have empty sets, stay alone and are kept; a component's id is its smallest id; rows
@@ -25,7 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sottovoce.llm import vectext
@@ -37,10 +39,11 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.02, 20.0
 #: A pair whose estimate falls short of the threshold by more than this (four standard errors) is not verified.
 MARGIN = 0.13
-#: Nodes in a block of step 3.
-BLOCK = 256
-#: Binary logarithms of the fewest and the most cells (a byte each, so at most 16 MB) in which shingles are counted to tell which are rare, and cells that are packed together.
-LEAST_CELLS, MOST_CELLS, CELL_CHUNK = 16, 24, 1 << 16
+#: Nodes in a block of step 3, and pairs that are looked at together.
+BLOCK, PAIRS = 256, 1 << 20
+#: Binary logarithms of the fewest and the most cells (a byte each, so at most 16 MB) in which shingles are counted to tell which are rare;
+#: cells that are packed together, and parts in which a pack's counts are added up first.
+LEAST_CELLS, MOST_CELLS, CELL_CHUNK, CELL_SALTS = 16, 24, 1 << 16, 64
 
 _WORD = vectext.spaced((0x20, 0x20), (0x09, 0x0D))
 _RNG = np.random.default_rng(977)
@@ -247,20 +250,27 @@ def _rarest(docs: DataFrame, opened: DataFrame, id_col: str, text_col: str, widt
         for batch in batches:
             for sets in shingle_sets(batch.column("text"), width):
                 held += np.bincount((np.concatenate(sets) % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.int32)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["cell", "n"])
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        """A byte for each cell of a part: how often, as a logarithm of eight steps an octave."""
-        chunk, out = int(frame["chunk"].iloc[0]), np.zeros(CELL_CHUNK, np.uint8)
-        out[frame["cell"].to_numpy() % CELL_CHUNK] = np.minimum(8 * np.log2(frame["n"].to_numpy() + 1.0), 255).astype(np.uint8)
-        return pd.DataFrame({"chunk": [chunk], "counts": [out.tobytes()]})
-
-    counted = picked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("chunk", F.floor(F.col("cell") / CELL_CHUNK))
-    often = np.zeros(cells, np.uint8)
-    for r in counted.groupBy("chunk").applyInPandas(pack, "chunk long, counts binary").collect():  # a byte for each cell
-        often[r["chunk"] * CELL_CHUNK : (r["chunk"] + 1) * CELL_CHUNK] = np.frombuffer(r["counts"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+        salt = TaskContext.get().partitionId() % CELL_SALTS
+        for chunk in range(0, cells, CELL_CHUNK):
+            part = held[chunk : chunk + CELL_CHUNK]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk // CELL_CHUNK]), pa.array([salt]), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].astype(np.int64).tobytes()], pa.binary())], ["chunk", "salt", "cells", "counts"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        """The counts of a chunk from several tasks, added up."""
+        total = np.zeros(CELL_CHUNK, np.int64)
+        for at, counts in zip(frame["cells"], frame["counts"], strict=True):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.int64)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "salt": frame["salt"].iloc[:1], "cells": [at.astype(np.uint16).tobytes()], "counts": [total[at].tobytes()]})
+
+    kind = "chunk long, salt long, cells binary, counts binary"
+    counted = picked.mapInArrow(count, kind).groupBy("chunk", "salt").applyInPandas(add, kind).withColumn("salt", F.lit(0).cast("long")).groupBy("chunk", "salt").applyInPandas(add, kind)
+    logged = np.zeros(cells, np.uint8)  # a byte for each cell: how often, as a logarithm of eight steps an octave
+    for r in counted.toLocalIterator():
+        logged[r["chunk"] * CELL_CHUNK + np.frombuffer(r["cells"], np.uint16).astype(np.int64)] = np.minimum(8 * np.log2(np.frombuffer(r["counts"], np.int64) + 1.0), 255)
+    shared = docs.sparkSession.sparkContext.broadcast(logged)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +289,7 @@ def _rarest(docs: DataFrame, opened: DataFrame, id_col: str, text_col: str, widt
 
 
 def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Links between different components within a bucket (step 3). A node that links to a component once is not compared to the rest of it in that block."""
+    """Links between nodes of different components in the open buckets (step 3)."""
     spark = docs.sparkSession
     labelled = skew_join(buckets.select("key", "node"), labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     labelled = materialise(labelled, "labelled")
@@ -309,65 +319,76 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
     stands = rows.select(*cols, F.lit(0).alias("asks"), F.explode_outer(every("nq")).alias("q"), own("ns").alias("s"))
     asks = rows.where("label <> major").select(*cols, F.lit(1).alias("asks"), own("nq").alias("q"), F.explode_outer(every("ns")).alias("s"))
     placed = materialise(stands.union(asks), "placed")
-    about = materialise(maybe_in(nodes.select("node", "registers", "row", "id"), "node", shown.select("node").distinct()), "about")
-    full = skew_join(placed, about, "node")
-    kind = nodes.schema["id"].dataType.simpleString()
+    about = materialise(maybe_in(nodes.select("node", "registers"), "node", opened.select("node")), "about")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # blocks are few bytes but long to compare, so they are not packed by size
+    block = skew_join(placed, about, "node").select("key", "q", "s", "asks", "node", "label", "n", "place", "index", "registers")
+    dealt = block.repartition(tasks, "key", "q", "s").sortWithinPartitions("key", "q", "s", "asks")
 
-    names = ["key", "q", "s", "node", "label", "row", "id", "place", "partners"]
-
-    def likely(frame: pd.DataFrame) -> pd.DataFrame:
-        """Askers with the places of those that they may link to, most alike first, and all that are asked."""
-        asks_, label, n, place, index = (frame[c].to_numpy() for c in ("asks", "label", "n", "place", "index"))
-        ask, stand = np.flatnonzero(asks_ == 1), np.flatnonzero(asks_ == 0)
-        partners: dict[int, list[int]] = {}
-        registers = None
-        for i in ask if len(stand) else ():
-            a, b = n[i], n[stand]
-            left = np.minimum(a - place[i], b - place[stand])  # this shingle and those behind it: where it is the first in common, the two share no more
-            fit = (label[stand] != label[i]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * left >= percent * (a + b))
-            fit = stand[fit & (((a <= b) & (place[i] < index[i])) | ((b <= a) & (place[stand] < index[stand])))]
-            if not len(fit):
-                continue
-            if registers is None:
-                registers = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS)
-            x, y = registers[i], registers[fit]
-            guess = jaccard((x > y).sum(1), (x < y).sum(1), np.full(len(fit), float(a)), n[fit].astype(float))
-            fit = fit[np.argsort(-guess, kind="stable")][: int((guess >= percent / 100 - MARGIN).sum())]
-            if len(fit):
-                partners[int(i)] = fit.tolist()
-        wanted = sorted({j for js in partners.values() for j in js})
-        if not wanted:
-            return pd.DataFrame(columns=names)
-        out = frame.iloc[wanted + list(partners)][["key", "q", "s", "node", "label", "row", "id"]]
-        return out.assign(place=wanted + [-1] * len(partners), partners=[[]] * len(wanted) + list(partners.values()))
-
-    met = materialise(full.repartition(tasks, "key", "q", "s").groupBy("key", "q", "s").applyInPandas(likely, f"key long, q int, s int, node long, label long, row long, id {kind}, place int, partners array<int>"), "met")
-    discard(about)
-    texts = _texts(docs, met.select("row"), id_col, text_col)
-
-    def confirmed(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [x for some in shingle_sets(pa.array(frame["text"], pa.large_string()), width) for x in some]
-        at = {p: i for i, p in enumerate(frame["place"]) if p >= 0}
-        node, label, out = frame["node"].tolist(), frame["label"].tolist(), []
-        for i, partners in enumerate(frame["partners"]):
-            linked: set[int] = set()
-            for j in (at[p] for p in partners):
-                if label[j] in linked:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    linked.add(label[j])
-                    out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    whole = skew_join(met, texts, "row").where(F.col("id").eqNullSafe(F.col("text_id"))).drop("id", "text_id").repartition(tasks, "key", "q", "s")
-    links = materialise(whole.groupBy("key", "q", "s").applyInPandas(confirmed, "a long, b long"), "links")
-    for used in (opened, met_in, shown, state, placed, met, texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["key", "q", "s"]):
+            yield from likely_pairs(rows, percent)
+
+    pairs = materialise(dealt.mapInArrow(run, "a long, b long").distinct(), "pairs")
+    links = verified(pairs, nodes, docs, id_col, text_col, width, percent)
+    for used in (opened, met_in, shown, state, placed, about, pairs):
         discard(used)
     return links
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows in pieces that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if held and batch.num_rows and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in by):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(new[-1]))])
+            held = [batch.slice(int(new[-1]))]
+        elif batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def likely_pairs(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of an asking and an asked node of one block (rows by key, q, s; the asked first) that may link, in pieces."""
+    key, q, s, asks, node, label, n, place, index = (rows.column(c).to_numpy() for c in ("key", "q", "s", "asks", "node", "label", "n", "place", "index"))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (q[1:] != q[:-1]) | (s[1:] != s[:-1])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    asked = np.bincount(group, weights=asks == 0).astype(np.int64)
+    ask = np.flatnonzero(asks == 1)
+    many = asked[group[ask]]
+    # as many askers at a time as keep their pairs within a bound; one asker has at most a block of partners
+    piece = np.cumsum(many) // PAIRS
+    registers = None
+    for k in np.unique(piece):
+        i = ask[piece == k]
+        m = many[piece == k]
+        x = np.repeat(i, m)
+        y = np.repeat(first[group[i]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        a, b = n[x], n[y]
+        left = np.minimum(a - place[x], b - place[y])  # this shingle and those behind it: where it is the first in common, the two share no more
+        fit = (label[x] != label[y]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * left >= percent * (a + b))
+        fit &= ((a <= b) & (place[x] < index[x])) | ((b <= a) & (place[y] < index[y]))
+        lo, hi = np.minimum(node[x[fit]], node[y[fit]]), np.maximum(node[x[fit]], node[y[fit]])
+        _, once = np.unique(np.stack([lo, hi], axis=1), axis=0, return_index=True)
+        x, y = x[fit][once], y[fit][once]
+        if not len(x):
+            continue
+        if registers is None:
+            registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        for at in range(0, len(x), PAIRS // REGISTERS):
+            u, v = x[at : at + PAIRS // REGISTERS], y[at : at + PAIRS // REGISTERS]
+            good = jaccard((registers[u] > registers[v]).sum(1), (registers[u] < registers[v]).sum(1), n[u].astype(float), n[v].astype(float)) >= percent / 100 - MARGIN
+            u, v = node[u[good]], node[v[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
     """A row per document: id, n (set size), row (hash of id and text), grp (a number of its group; null for empty sets) and component_id."""
     prepare(docs.sparkSession)

@@ -8,7 +8,8 @@ posteriors of a bounded sample (about FIT_DOCS texts and FIT_BYTES bytes, by a h
 that texts on which no labeller votes get a score too. label() gives the posteriors themselves.
 
 Defined cases: null and empty texts have no words and no vote but that for length; they get a score like any other;
-rows that repeat get equal scores; an empty table gives an empty result; further columns pass through untouched."""
+rows that repeat get equal scores; an empty table gives an empty result; classify()
+returns its own columns only."""
 
 from __future__ import annotations
 
