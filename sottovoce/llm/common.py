@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SLICES = 1000
 #: Groups below this many rows are never split.
 MIN_HOT_ROWS = 256
+#: Tables of so few rows are joined as they are: one task may hold all of them.
+SMALL_ROWS = 50_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -73,8 +75,11 @@ def discard(df: DataFrame) -> None:
 
 
 def hot_keys(counted: DataFrame, on: str) -> DataFrame | None:
-    """The keys with more than 1/HOT_SLICES of the rows, each with the parts (_n) to deal it over; None if there are none. At most HOT_SLICES rows."""
-    share = max(counted.count() // HOT_SLICES, MIN_HOT_ROWS)
+    """The keys with more than 1/HOT_SLICES of the rows, each with the parts (_n) to deal it over; None if there are none, or few rows. At most HOT_SLICES rows."""
+    rows = counted.count()
+    if rows <= SMALL_ROWS:
+        return None
+    share = max(rows // HOT_SLICES, MIN_HOT_ROWS)
     hot = counted.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
     hot = materialise(hot.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_n")), "hot")
     return hot if hot.head(1) else None

@@ -320,7 +320,7 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
     asks = rows.where("label <> major").select(*cols, F.lit(1).alias("asks"), own("nq").alias("q"), F.explode_outer(every("ns")).alias("s"))
     placed = materialise(stands.union(asks), "placed")
     about = materialise(maybe_in(nodes.select("node", "registers"), "node", opened.select("node")), "about")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2  # blocks are few bytes but long to compare, so they are not packed by size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # blocks are few bytes but long to compare, so they are not packed by size
     block = skew_join(placed, about, "node").select("key", "q", "s", "asks", "node", "label", "n", "place", "index", "registers")
     dealt = block.repartition(tasks, "key", "q", "s").sortWithinPartitions("key", "q", "s", "asks")
 
