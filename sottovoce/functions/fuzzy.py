@@ -1,9 +1,23 @@
-"""Approximate containment (K6): the best similarity of a text with any window of another, by longest common subsequence."""
+"""Approximate containment (K6): the best similarity of a text with any window of another, by longest common subsequence.
+
+`partial_ratio` says what is meant, for one pair. `PhraseIndex` finds the same for many phrases in a batch of texts:
+where a phrase is similar enough, so few letters are lost or put in that one of its disjoint pieces of three letters
+stands there untouched. So the pieces are kept in an inverted index, all texts' trigrams probe it at once, and only
+around the places that hit are subsequences measured: first, for all places together, in bits of one array, a window
+wide enough to hold every alignment, which bounds them all; then, for the few that are left, each alignment."""
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+
+#: Letters of a piece; slots of the index, by bits; places measured together; letters of texts in a block.
+PIECE, SLOT_BITS, TOGETHER, BLOCK = 3, 16, 1 << 16, 1 << 20
+#: Steps of a measurement after which places without hope are left out.
+CHECKED = 4
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits of a: one integer operation a character of b."""
@@ -40,3 +54,125 @@ def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
             if best == 100:
                 break
     return best if best >= floor else 0.0
+
+
+def allowed(n: int, floor: float) -> int:
+    """The most letters that may be lost or put in where a window of at most n letters reaches the floor against n letters."""
+    best = 0
+    for m in range(1, n + 1):
+        least = -(-floor * (n + m) // 200)
+        if least <= m:
+            best = max(best, int(n + m - 2 * least))
+    return best
+
+
+class PhraseIndex:
+    """Finds (text, phrase, similarity) for phrases given with the similarity that each must reach."""
+
+    def __init__(self, phrases: list[tuple[str, float]]) -> None:
+        self.phrases = phrases
+        letters = sorted({c for p, _ in phrases for c in p})
+        self.code = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)  # the last entry stands for all code points above; 0: no phrase has it
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        self.slack = np.array([allowed(len(p), f) for p, f in phrases], np.int64)
+        self.size = np.array([len(p) for p, _ in phrases], np.int64)
+        self.longest = int(self.size.max(initial=0))
+        pieces = []  # (trigram, phrase, its place there)
+        self.whole = []  # phrases of too few letters for pieces
+        self.bits = np.zeros((len(phrases), self.base), np.uint64)
+        for k, (p, _) in enumerate(phrases):
+            wanted = int(self.slack[k]) + 1
+            if wanted * PIECE > len(p) or len(p) > 64:
+                self.whole.append(k)
+                continue
+            codes = self.code[[ord(c) for c in p]]
+            for j, c in enumerate(codes.tolist()):
+                self.bits[k, c] |= np.uint64(1 << j)
+            step = len(p) // wanted
+            pieces += [(self._trigram(codes[at : at + PIECE])[0], k, at) for at in range(0, wanted * step, step)]
+        trigrams = np.array([t for t, _, _ in pieces], np.int64)
+        slots = self._slot(trigrams)
+        order = np.argsort(slots, kind="stable")
+        self.trigram, self.phrase, self.place = trigrams[order], *(np.array([x[j] for x in pieces], np.int64)[order] for j in (1, 2))
+        self.starts = np.searchsorted(slots[order], np.arange((1 << SLOT_BITS) + 1))
+
+    def _trigram(self, codes: np.ndarray) -> np.ndarray:
+        return (codes[:-2] * self.base + codes[1:-1]) * self.base + codes[2:]
+
+    @staticmethod
+    def _slot(trigrams: np.ndarray) -> np.ndarray:
+        return (trigrams.astype(np.uint64) * _SPREAD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
+        """For each text the (phrase's number, similarity) that reach the phrase's floor, by phrase."""
+        best: list[dict[int, float]] = [{} for _ in texts]
+        row = 0
+        while row < len(texts):
+            end, held = row, 0
+            while end < len(texts) and (end == row or held + len(texts[end] or "") < BLOCK):
+                held += len(texts[end] or "")
+                end += 1
+            self._block([t or "" for t in texts[row:end]], best[row:end])
+            row = end
+        return [sorted(b.items()) for b in best]
+
+    def _block(self, texts: list[str], best: list[dict[int, float]]) -> None:
+        for text, found in zip(texts, best, strict=True):
+            for k in range(len(self.phrases)) if text and len(text) < self.longest else self.whole:
+                if text and (k in self.whole or len(text) < self.size[k]):
+                    phrase, floor = self.phrases[k]
+                    if value := partial_ratio(phrase, text, floor):
+                        found[k] = value
+        joined = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32)
+        codes = self.code[np.minimum(joined, len(self.code) - 1)]
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        if len(codes) < PIECE or not len(self.trigram):
+            return
+        trigrams = self._trigram(codes)
+        slots = self._slot(trigrams)
+        many = np.diff(self.starts)[slots]
+        at = np.flatnonzero(many)
+        many = many[at]
+        entry = np.repeat(self.starts[slots[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at = np.repeat(at, many)
+        good = self.trigram[entry] == trigrams[at]
+        at, entry = at[good], entry[good]
+        phrase, anchor = self.phrase[entry], at - self.place[entry]
+        row = np.searchsorted(first, at, side="right") - 1
+        lo, hi = first[row], first[row + 1] - 1
+        fits = hi - lo >= self.size[phrase]  # shorter texts are compared above
+        keys, kept = np.unique(phrase[fits] * (len(codes) + 2 * self.longest) + anchor[fits] + self.longest, return_index=True)
+        phrase, anchor, row = phrase[fits][kept], anchor[fits][kept], row[fits][kept]
+        for some in np.array_split(np.argsort(self.size[phrase], kind="stable"), max(1, -(-len(keys) // TOGETHER))):
+            self._measure(texts, best, codes, first, phrase[some], anchor[some], row[some])
+
+    def _measure(self, texts: list[str], best: list[dict[int, float]], codes: np.ndarray, first: np.ndarray, phrase: np.ndarray, anchor: np.ndarray, row: np.ndarray) -> None:
+        lo, hi, n, slack = first[row], first[row + 1] - 1, self.size[phrase], self.slack[phrase]
+        floors = np.array([f for _, f in self.phrases])[phrase]
+        begin, end = np.maximum(anchor - slack, lo), np.minimum(anchor + n + slack, hi)
+        clipped = (anchor - slack < lo) | (anchor + n + slack > hi)
+        smallest = np.where(clipped, np.ceil(floors * n / (200 - floors)), n)  # a clipped window of fewer letters can't reach the floor
+        least = np.ceil(floors * (n + smallest) / 200).astype(np.int64)
+        mask = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
+        state, open_ = np.full(len(phrase), ~np.uint64(0)), np.arange(len(phrase))
+        which, place = phrase, begin.copy()
+        common = lambda: n[open_] - np.bitwise_count(state & mask[open_]).astype(np.int64)
+        for t in range(int((end - begin).max(initial=0))):
+            if t and t % CHECKED == 0:  # those that even all letters to come would not save are out
+                alive = common() + np.maximum(end[open_] - place, 0) >= least[open_]
+                state, open_, which, place = state[alive], open_[alive], which[alive], place[alive]
+            hit = state & self.bits[which, np.where(place < end[open_], codes[np.minimum(place, len(codes) - 1)], 0)]
+            state = (state + hit) | (state - hit)
+            place += 1
+        for c in open_[common() >= least[open_]]:
+            k, r, size = int(phrase[c]), int(row[c]), int(n[c])
+            word, floor = self.phrases[k]
+            text, most = texts[r], len(texts[r])
+            near = int(anchor[c] - lo[c])
+            for start in range(near - int(slack[c]), near + int(slack[c]) + 1):
+                window = text[max(start, 0) : min(start + size, most)] if start < most else ""
+                if window and 200 * min(size, len(window)) >= max(floor, best[r].get(k, 0.0)) * (size + len(window)):
+                    value = 200 * lcs_length(word, window) / (size + len(window))
+                    if value >= floor and value > best[r].get(k, 0.0):
+                        best[r][k] = value

@@ -42,16 +42,8 @@ def _texts(df: DataFrame, cols: list[str], policy: Policy, latin: bool, with_fuz
     out = df
     for c in cols:
         out = out.withColumn(f"{c}_folded", fold(F.col(c)))
-        normal = text.fold_marks(F.col(f"{c}_folded"))
-        # what is found depends on the text alone, so it comes back by the text's digest: ids may repeat or be null
-        out = out.withColumn(f"{c}_digest", F.sha2(normal, 256))
-        hits = keywords.exact_array(out.select(F.col(f"{c}_digest").alias("_of"), normal.alias("normal")), policy, "_of", "normal").select("_of", F.col("hits").alias(f"{c}_raw"))
-        out = out.join(hits, F.col(f"{c}_digest") == F.col("_of"), "left").drop("_of")
-        raw = F.coalesce(F.col(f"{c}_raw"), F.array().cast(f"array<{keywords._ENTRY}>"))
-        if with_fuzzy:
-            out = out.withColumn(f"{c}_fuzzy", keywords.fuzzy(normal, F.transform(raw, lambda h: h["phrase"]), policy))
-            raw = F.concat(raw, F.col(f"{c}_fuzzy"))
-        out = out.withColumn(f"{c}_all", raw).withColumn(f"{c}_hits", keywords.ranked(keywords.suppress(F.col(f"{c}_all"))))
+        out = out.withColumn(f"{c}_normal", text.fold_marks(F.col(f"{c}_folded")))
+        out = keywords.matched(out, policy, f"{c}_normal", f"{c}_all", with_fuzzy).withColumn(f"{c}_hits", keywords.ranked(keywords.suppress(F.col(f"{c}_all"))))
         folded = F.col(f"{c}_folded")
         out = out.withColumn(f"{c}_runs", numbers.long_runs(folded, text.fold_marks)).withColumn(f"{c}_quads", numbers.quads(folded, text.fold_marks))
         out = out.withColumn(f"{c}_numbers", numbers.scan(folded, F.col(f"{c}_runs"), F.col(f"{c}_quads"), policy.rules))
@@ -59,11 +51,12 @@ def _texts(df: DataFrame, cols: list[str], policy: Policy, latin: bool, with_fuz
 
 
 def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation_col: str | None = None, language_col: str | None = None, semantic_col: str | None = None,
-          duration_col: str | None = None, extras_col: str | None = None, latin: bool = False, with_fuzzy: bool = False) -> DataFrame:
+          duration_col: str | None = None, extras_col: str | None = None, latin: bool = False, with_fuzzy: bool = True) -> DataFrame:
     """df with a verdict struct (15 fields) for each row; ids may repeat or be null.
 
     semantic_col: struct<score, reference> of a scorer (0 without one, V8). extras_col: array of matches confirmed by
-    spotting (F3). latin=True promises Latin text and keeps everything in the JVM."""
+    spotting (F3). latin=True promises Latin text, which needs no Python to be folded. with_fuzzy=False leaves out phrases
+    that are only similar (K6), and with them the last of Python. Everything is found within the row."""
     stripped = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
     base = df.withColumn("_native", stripped(text_col))
     base = base.withColumn("_translated", stripped(translation_col) if translation_col else F.lit(""))

@@ -1,74 +1,102 @@
-"""Keyword detection (K3-K9): policy phrases in normalised text, exactly with inflection, or by sound."""
+"""Keyword detection (K3-K9): policy phrases in normalised text, exactly with inflection, or by sound.
+
+Phrases are found within the row: a policy is small, so its phrases travel as literals (exact) or with the function that
+looks for them (by sound), and no text is joined or shuffled."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sottovoce.functions.fuzzy import partial_ratio
+from sottovoce.functions.fuzzy import PhraseIndex
 from sottovoce.functions.numbers import MATCH
 from sottovoce.functions.text import skeleton
 from sottovoce.sources.policy import SUFFIXES, Policy
 
 FUZZY_MIN, FUZZY_DISCOUNT = 6, 0.9
+#: Letters from which on the lower of the two similarities is enough, and these.
+FUZZY_LONG, FUZZY_FLOOR, FUZZY_FLOOR_SHORT = 10, 86.0, 90.0
 _ENTRY = f"struct<{MATCH},ord:int,at:int,key:string>"
 
 
-def variants(policy: Policy, spark) -> DataFrame:
-    """A row per phrase and allowed ending of its last word (K4): the words to find, and the first of them. Inflection is
-    spelled out here, on the small side, so the texts are only ever joined by whole words."""
-    endings = F.explode(F.array(*[F.lit(s) for s in ["", *SUFFIXES]]))
-    spelled = policy.phrases(spark).withColumn("ending", endings).withColumn("words", F.split(F.concat("key", "ending"), " "))
-    return spelled.select(F.element_at("words", 1).alias("first"), "words", "category", F.col("text").alias("phrase"), "weight", "lang", "ord", "key")
+def _listed(policy: Policy, spark: SparkSession) -> list[dict]:
+    """The policy's phrases, in its order."""
+    return [r.asDict() for r in policy.phrases(spark).orderBy("ord").collect()]
 
 
-def exact_hits(docs: DataFrame, policy: Policy, id_col: str, normal_col: str) -> DataFrame:
-    """A row per id, category and phrase that occurs (K3-K5): weight, lang, ord, key, at (place of the first hit's end).
+def _book(phrases: list[dict]) -> dict[str, list[dict]]:
+    """By the first word: the words of each phrase and inflection (K4), and the phrase's number. Inflection is spelled out here, so that texts are only ever compared by whole words."""
+    book: dict[str, list[dict]] = {}
+    for n, p in enumerate(phrases):
+        for ending in ["", *SUFFIXES]:
+            words = (p["key"] + ending).split(" ")
+            book.setdefault(words[0], []).append({"words": words, "n": n})
+    return book
 
-    Every word probes the broadcast phrases by their first word; the rest is compared in place, so no text is shuffled."""
-    words = docs.select(F.col(id_col), F.split(normal_col, " ").alias("w"))
-    each = words.select(id_col, "w", F.posexplode_outer("w").alias("pos", "first"))
-    known = F.broadcast(variants(policy, docs.sparkSession))
-    found = each.join(known, "first").where(F.slice("w", F.col("pos") + 1, F.size("words")) == F.col("words"))
-    return found.groupBy(id_col, "category", "phrase").agg(
-        F.first("weight").alias("weight"), F.first("lang").alias("lang"), F.first("ord").alias("ord"), F.first("key").alias("key"), F.min(F.col("pos") + F.size("words")).cast("int").alias("at"))
 
+def _floor(sound: str) -> float:
+    return FUZZY_FLOOR if len(sound) >= FUZZY_LONG else FUZZY_FLOOR_SHORT
 
-def exact_array(docs: DataFrame, policy: Policy, id_col: str, normal_col: str) -> DataFrame:
-    """A row per id with exact hits: id, hits (each once, though rows repeat)."""
-    entry = F.struct("category", "phrase", "weight", "lang", F.lit("exact").alias("match"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("int").alias("windows"), "ord", "at", "key")
-    return exact_hits(docs, policy, id_col, normal_col).groupBy(id_col).agg(F.collect_set(entry.cast(_ENTRY)).alias("hits"))
 
+def similar(normal: Column, sounds: list[tuple[int, str]]) -> Column:
+    """Of (number, skeleton) phrases those that sound like a part of a text in normal form (K6): array of n and similarity."""
+    wanted = [(n, s) for n, s in sounds if len(s) >= FUZZY_MIN]
+
+    @F.pandas_udf("array<struct<n:int,similarity:double>>")
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = PhraseIndex([(s, _floor(s)) for _, s in wanted])
+        for texts in batches:
+            found = index.find([t if t and len(t) >= FUZZY_MIN else None for t in texts])
+            yield pd.Series([[{"n": wanted[k][0], "similarity": round(v, 1)} for k, v in hits] for hits in found], dtype=object)
+
+    return near(skeleton(normal))
 
-def fuzzy(normal: Column, exact: Column, policy: Policy) -> Column:
-    """Phrases that sound like a part of the text (K6), but for those in `exact` (array of phrases)."""
-    listed = [(r["category"], r["text"], r["weight"], r["lang"], r["ord"], r["key"], r["skeleton"]) for r in policy.phrases(_session()).collect() if len(r["skeleton"]) >= FUZZY_MIN]
 
-    @F.pandas_udf(f"array<{_ENTRY}>")
-    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, known in batches:
-            out = []
-            for text, skip in zip(texts, known, strict=True):
-                hits = []
-                for category, phrase, weight, lang, ord_, key, sound in listed if text and len(text) >= FUZZY_MIN else ():
-                    if skip is not None and phrase in set(skip):
-                        continue
-                    value = partial_ratio(sound, text, 86.0 if len(sound) >= 10 else 90.0)
-                    if value:
-                        hits.append({"category": category, "phrase": phrase, "weight": round(weight * FUZZY_DISCOUNT, 4), "lang": lang, "match": "fuzzy", "similarity": round(value, 1), "pattern": None, "windows": None, "ord": ord_, "at": 1 << 30, "key": key})
-                out.append(hits)
-            yield pd.Series(out)
+def matched(docs: DataFrame, policy: Policy, normal_col: str, out_col: str, with_fuzzy: bool = True) -> DataFrame:
+    """docs with out_col, the array of phrases (struct of a match, ord, at and key) that stand in the text in normal form:
+    exactly, up to inflection (K3-K5; at: where the first hit ends), or else by sound (K6). Each phrase once."""
+    phrases = _listed(policy, docs.sparkSession)
+    if not phrases:
+        return docs.withColumn(out_col, F.array().cast(f"array<{_ENTRY}>"))
+    book = _book(phrases)
+    # literals: a JSON text that is parsed once, when the plan is made
+    known = F.from_json(F.lit(json.dumps(book)), "map<string,array<struct<words:array<string>,n:int>>>")
+    shown = [{"category": p["category"], "phrase": p["text"], "weight": p["weight"], "faint": round(p["weight"] * FUZZY_DISCOUNT, 4), "lang": p["lang"], "ord": p["ord"], "key": p["key"]} for p in phrases]
+    table = F.from_json(F.lit(json.dumps(shown)), "array<struct<category:string,phrase:string,weight:double,faint:double,lang:string,ord:int,key:string>>")
+    wide = docs.withColumn("_w", F.split(F.coalesce(normal_col, F.lit("")), " "))
+    wide = wide.withColumn("_s", F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sorted(book))))
+    stands = lambda x: lambda v: F.slice("_w", x["i"] + 1, F.size(v["words"])) == v["words"]
+    spot = lambda x: F.transform(F.filter(F.element_at(known, x["w"]), stands(x)), lambda v: F.struct(v["n"].alias("n"), (x["i"] + F.size(v["words"])).alias("at")))
+    wide = wide.withColumn("_o", F.flatten(F.transform("_s", spot)))
+    wide = wide.withColumn("_n", F.array_distinct(F.transform("_o", lambda o: o["n"])))
 
-    return near(skeleton(normal), exact)
+    def entry(n: Column, weight: str, kind: str, similarity: Column, at: Column) -> Column:
+        p = F.get(table, n)
+        return F.struct(p["category"].alias("category"), p["phrase"].alias("phrase"), p[weight].alias("weight"), p["lang"].alias("lang"), F.lit(kind).alias("match"), similarity.alias("similarity"),
+                        F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("int").alias("windows"), p["ord"].alias("ord"), at.cast("int").alias("at"), p["key"].alias("key"))
 
+    first = lambda n: F.array_min(F.transform(F.filter("_o", lambda o: o["n"] == n), lambda o: o["at"]))
+    found = F.transform("_n", lambda n: entry(n, "weight", "exact", F.lit(None).cast("double"), first(n)))
+    if with_fuzzy:
+        wide = wide.withColumn("_f", similar(F.col(normal_col), [(n, p["skeleton"]) for n, p in enumerate(phrases)]))
+        others = F.filter("_f", lambda f: ~F.array_contains("_n", f["n"]))
+        found = F.concat(found, F.transform(F.coalesce(others, F.array().cast("array<struct<n:int,similarity:double>>")), lambda f: entry(f["n"], "faint", "fuzzy", f["similarity"], F.lit(1 << 30))))
+    return wide.withColumn(out_col, found).drop("_w", "_s", "_o", "_n", "_f")
 
-def _session():
-    from pyspark.sql import SparkSession
 
-    return SparkSession.getActiveSession()
+def exact_hits(docs: DataFrame, policy: Policy, id_col: str, normal_col: str) -> DataFrame:
+    """A row per row of docs, category and phrase that occurs (K3-K5): id, weight, lang, ord, key, at (place of the first hit's end)."""
+    found = matched(docs.select(id_col, normal_col), policy, normal_col, "_hits", with_fuzzy=False)
+    return found.select(id_col, F.explode("_hits").alias("h")).select(id_col, "h.category", "h.phrase", "h.weight", "h.lang", "h.ord", "h.key", "h.at")
+
+
+def exact_array(docs: DataFrame, policy: Policy, id_col: str, normal_col: str) -> DataFrame:
+    """A row per row of docs with exact hits: id, hits."""
+    return matched(docs.select(id_col, normal_col), policy, normal_col, "hits", with_fuzzy=False).select(id_col, "hits").where(F.size("hits") > 0)
 
 
 def suppress(hits: Column) -> Column:

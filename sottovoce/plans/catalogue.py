@@ -51,16 +51,18 @@ def phrase_hits_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", F.size("m").cast("bigint").alias("n_matches"), F.get("m", F.lit(0))["weight"].alias("score"), F.array_join(F.array_sort(F.transform("m", lambda m: m["phrase"])), "|").alias("phrases"))
 
 
-#: Phrases that sound like some of the made-up words of the turns.
-_SPOKEN = Policy(EXAMPLE | {"categories": {"spoken": {"weight": 0.5, "phrases": ["in thereon an", "there in the", "of the ration"]}}})
+#: Phrases that sound like some of the made-up words of the turns, beside words that stand in them.
+SPOKEN = Policy(EXAMPLE | {"categories": {
+    "spoken": {"weight": 0.5, "phrases": ["in thereon an", "there in the", {"text": "of the ration", "weight": 0.6}, {"text": "that", "weight": 0.5}, {"text": "in the", "weight": 0.3}]},
+    "other": {"weight": 0.4, "phrases": ["in the reason", "the other one", {"text": "the other one is", "weight": 0.9}]},
+}})
 
 
 def phrase_hits_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6-K9 on the turns of conversations."""
+    """K3-K9 on the turns of conversations, by words and by sound."""
     turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.normalize(F.col("text"), latin=True).alias("normal"))
-    none = F.array().cast("array<string>")
-    found = turns.select("id", keywords.fuzzy(F.col("normal"), none, _SPOKEN).alias("hits"))
-    return found.select("id", F.explode(keywords.ranked(keywords.suppress(F.col("hits")))).alias("m")).select("id", "m.category", "m.phrase", "m.weight", "m.similarity")
+    found = keywords.matched(turns, SPOKEN, "normal", "hits")
+    return found.select("id", F.explode(keywords.ranked(keywords.suppress(F.col("hits")))).alias("m")).select("id", "m.category", "m.phrase", "m.weight", "m.match", "m.similarity")
 
 
 def ipv4_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,4 +335,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from sottovoce.plans import oracles
 
-    return oracles.sql()
+    return oracles.sql(SPOKEN)

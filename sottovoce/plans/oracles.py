@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from sottovoce.functions import numbers
+from sottovoce.functions.fuzzy import allowed
 from sottovoce.functions.numbers import AMBIGUOUS, DIGIT_WORDS, JOINERS, REPEATERS
+from sottovoce.operators.keywords import FUZZY_DISCOUNT, FUZZY_MIN, _floor
 from sottovoce.sources.policy import SUFFIXES, Policy
 
 
@@ -29,16 +31,16 @@ def _severity(x: str) -> str:
     return f"CASE WHEN {x} >= {b['critical']}::DOUBLE THEN 'CRITICAL' WHEN {x} >= {b['high']}::DOUBLE THEN 'HIGH' WHEN {x} >= {b['medium']}::DOUBLE THEN 'MEDIUM' WHEN {x} >= {b['low']}::DOUBLE THEN 'LOW' ELSE 'NONE' END"
 
 
-def _phrases() -> str:
-    """Phrases of the example policy; their keys are their texts in lower case, all distinct."""
-    rows = ", ".join(f"({_text(c)}, {_text(lang)}, {_text(t)}, {w}::DOUBLE)" for c, lang, t, w, _ in Policy.example().entries())
+def _phrases(policy: Policy | None = None) -> str:
+    """Phrases of a policy in Latin letters; their keys are their texts in lower case, all distinct."""
+    rows = ", ".join(f"({_text(c)}, {_text(lang)}, {_text(t)}, {w}::DOUBLE)" for c, lang, t, w, _ in (policy or Policy.example()).entries())
     return f"policy(category, lang, phrase, weight) AS (VALUES {rows})"
 
 
-def _hits(texts: str) -> str:
+def _hits(texts: str, policy: Policy | None = None) -> str:
     """CTEs after one named t(id, normal): hits(id, category, phrase, weight, lang)."""
     endings = ", ".join(f"({_text(s)})" for s in ["", *SUFFIXES])
-    return f"""{_phrases()},
+    return f"""{_phrases(policy)},
 endings(e) AS (VALUES {endings}),
 spelled AS (SELECT *, ' ' || lower(phrase) || e || ' ' AS k FROM policy, endings),
 {texts},
@@ -51,6 +53,48 @@ def _kept() -> str:
   AND o.weight >= h.weight AND contains(' ' || lower(o.phrase) || ' ', ' ' || lower(h.phrase) || ' ')))"""
 
 
+def _common(read: str, width: str, skipped: str = "0") -> str:
+    """Length of the longest common subsequence of a text and `width` letters of a phrase, behind those that are skipped, in bits, letter by letter."""
+    ones = f"((1::BIGINT << {width}) - 1)"
+    return f"""({width} - bit_count(list_reduce(list_prepend({ones}, list_transform(string_split({read}, ''), lambda c: (coalesce(masks[unicode(c) + 1], 0) >> {skipped}) & {ones})), lambda v, b: ((v + (v & b)) | (v - (v & b))) & {ones})))"""
+
+
+def _similar(policy: Policy) -> str:
+    """After _hits: by_sound(id, category, phrase, weight, lang, similarity), phrases by sound that don't stand there exactly, and
+    words(id, category, phrase, weight, match, similarity), what is left of both.
+
+    A window that is similar enough holds one of the phrase's disjoint pieces untouched; where one stands, a window wide enough
+    for every alignment bounds them all, and those that may pass are measured one by one. Texts shorter than a phrase are held against every window of it."""
+    sounds, pieces = [], []
+    for c, lang, t, w, _ in policy.entries():
+        s = t.lower().replace(" ", "")
+        if len(s) < FUZZY_MIN:
+            continue
+        slack = allowed(len(s), _floor(s))
+        masks = ", ".join(str(sum(1 << i for i, y in enumerate(s) if ord(y) == x)) for x in range(128))
+        sounds.append(f"({_text(c)}, {_text(lang)}, {_text(t)}, {round(w * FUZZY_DISCOUNT, 4)}::DOUBLE, {_text(s)}, {len(s)}, {_floor(s)}::DOUBLE, {slack}, [{masks}]::BIGINT[])")
+        size = len(s) // (slack + 1)
+        pieces += [f"({_text(t)}, {_text(s[k * size : (k + 1) * size])}, {k * size}, {size})" for k in range(slack + 1)]
+    return f"""sounds(category, lang, phrase, weight, s, n, least, slack, masks) AS (VALUES {', '.join(sounds)}),
+pieces(phrase, piece, place, size) AS (VALUES {', '.join(pieces)}),
+spoken AS (SELECT id, replace(normal, ' ', '') AS x, length(replace(normal, ' ', '')) AS m FROM t),
+letters AS (SELECT id, unnest(string_split(x, '')) AS c, unnest(range(1, m + 1)) AS i FROM spoken WHERE m > 0),
+trios AS (SELECT id, i, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS three FROM letters WINDOW w AS (PARTITION BY id ORDER BY i)),
+near AS (SELECT DISTINCT id, phrase, i - place AS spot FROM trios JOIN pieces ON three = left(piece, 3)),
+wide AS (SELECT id, phrase, spot, greatest(spot - slack, 1) AS lo, least(spot + n - 1 + slack, m) AS hi, x, n, least, slack, masks, spot - slack < 1 OR spot + n - 1 + slack > m AS clipped FROM near JOIN spoken USING (id) JOIN sounds USING (phrase) WHERE m >= n),
+hopeful AS (SELECT id, phrase, spot FROM wide WHERE {_common('substr(x, lo, hi - lo + 1)', 'n')} >= ceil(least * (n + CASE WHEN clipped THEN ceil(least * n / (200 - least)) ELSE n END) / 200)),
+spans AS (SELECT DISTINCT id, phrase, spot + j AS f FROM hopeful JOIN sounds USING (phrase), range(-20, 21) z(j) WHERE j BETWEEN -slack AND slack),
+tried AS (SELECT id, phrase, n, substr(x, greatest(f, 1), least(f + n - 1, m) - greatest(f, 1) + 1) AS read, 0 AS skipped, n AS width FROM spans JOIN spoken USING (id) JOIN sounds USING (phrase) WHERE f <= m AND f + n - 1 >= 1
+  UNION ALL SELECT id, phrase, m, x, greatest(f, 1) - 1, least(f + m - 1, n) - greatest(f, 1) + 1 FROM spoken JOIN sounds ON m BETWEEN {FUZZY_MIN} AND n - 1, range(-60, 61) z(f) WHERE f BETWEEN 2 - m AND n),
+measured AS (SELECT id, phrase, 200 * {_common('read', 'width', 'skipped')} / (CASE WHEN tried.n < sounds.n THEN tried.n + width ELSE sounds.n + length(read) END)::DOUBLE AS ratio, least FROM tried JOIN sounds USING (phrase)),
+alike AS (SELECT id, phrase, max(ratio) AS ratio FROM measured WHERE ratio >= least GROUP BY id, phrase),
+by_sound AS (SELECT id, category, phrase, weight, lang, round(ratio, 1) AS similarity FROM alike JOIN sounds USING (phrase) WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.id = alike.id AND hits.phrase = alike.phrase)),
+both_ways AS (SELECT id, category, phrase, weight, 'exact' AS match, NULL::DOUBLE AS similarity FROM hits
+  UNION ALL SELECT id, category, phrase, weight, 'fuzzy', similarity FROM by_sound f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.id = f.id AND h.category = f.category AND h.weight >= f.weight)),
+words AS (SELECT * FROM both_ways h WHERE NOT EXISTS (SELECT 1 FROM both_ways o WHERE o.id = h.id AND o.category = h.category AND o.phrase <> h.phrase
+  AND o.weight >= h.weight AND contains(' ' || lower(o.phrase) || ' ', ' ' || lower(h.phrase) || ' ')))"""
+
+
 def _runs(texts: str) -> str:
     """CTEs after one named t(id, folded): runs(id, run) of three digits at least."""
     octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -95,19 +139,19 @@ def _verdict() -> str:
     rules = Policy.example().rules
     weights = ", ".join(f"({_text(k)}, {w}::DOUBLE, {_text(label)})" for k, (w, label) in rules.items())
     t = f"docs AS (SELECT doc_id AS id, {_folded('text')} AS folded FROM documents), t AS (SELECT id, folded, {_marks('folded')} AS normal FROM docs)"
-    return f"""WITH {_hits(t)}, {_kept()},
+    return f"""WITH {_hits(t)}, {_similar(Policy.example())},
 {_runs("u AS (SELECT 1)")}, {_numbered()},
 rules(kind, weight, label) AS (VALUES {weights}),
 quads AS (SELECT id, unnest(list_distinct(regexp_extract_all(folded, '{_IPV4}'))) AS v FROM t),
 found AS (SELECT id, kind, {_mask('run')} AS shown FROM kinds WHERE kind IS NOT NULL
   UNION ALL SELECT id, 'ipv4', regexp_replace(v, '\\.[0-9]+$', '.*') FROM quads),
 numbered AS (SELECT DISTINCT id, 'sensitive_pattern' AS category, label || ': ' || shown AS phrase, weight FROM found JOIN rules USING (kind)),
-ms AS (SELECT id, category, phrase, weight, FALSE AS is_pattern FROM kept UNION ALL SELECT id, category, phrase, weight, TRUE FROM numbered),
-sums AS (SELECT id, max(CASE WHEN NOT is_pattern THEN weight END) AS kw, max(CASE WHEN is_pattern THEN weight END) AS pat, count(*) AS n, string_agg(DISTINCT category, '|' ORDER BY category) AS cats FROM ms GROUP BY id),
-scored AS (SELECT d.doc_id, d.lang, d.source, coalesce(kw, 0.0)::DOUBLE AS kw, coalesce(pat, 0.0)::DOUBLE AS pat, coalesce(n, 0) AS n, coalesce(cats, '') AS cats FROM documents d LEFT JOIN sums ON sums.id = d.doc_id),
+ms AS (SELECT id, category, phrase, weight, match FROM words UNION ALL SELECT id, category, phrase, weight, 'pattern' FROM numbered),
+sums AS (SELECT id, max(weight) FILTER (match <> 'pattern') AS kw, max(weight) FILTER (match = 'pattern') AS pat, bool_or(match = 'exact') AS exact, bool_or(match = 'fuzzy') AS fuzzy, count(*) AS n, string_agg(DISTINCT category, '|' ORDER BY category) AS cats FROM ms GROUP BY id),
+scored AS (SELECT d.doc_id, d.lang, d.source, coalesce(kw, 0.0)::DOUBLE AS kw, coalesce(pat, 0.0)::DOUBLE AS pat, exact, fuzzy, coalesce(n, 0) AS n, coalesce(cats, '') AS cats FROM documents d LEFT JOIN sums ON sums.id = d.doc_id),
 fused AS (SELECT *, {_q('1.0::DOUBLE - (1.0::DOUBLE - kw) * (1.0::DOUBLE - 0.7::DOUBLE * 0.0::DOUBLE) * (1.0::DOUBLE - 1.0::DOUBLE * pat)')} AS score FROM scored),
 v AS (SELECT doc_id, lang, source, {_q('kw')} AS keyword_score, {_q('pat')} AS pattern_score, score AS threat_score, {_severity('score')} AS severity, {_severity('score')} IN ('HIGH', 'CRITICAL') AS is_violation, CAST(n AS BIGINT) AS n_matches, cats AS categories,
-  CASE WHEN kw > 0 AND pat > 0 THEN 'keyword|pattern' WHEN kw > 0 THEN 'keyword' WHEN pat > 0 THEN 'pattern' ELSE '' END AS sources FROM fused)"""
+  concat_ws('|', CASE WHEN exact THEN 'keyword' END, CASE WHEN fuzzy THEN 'phonetic' END, CASE WHEN pat > 0 THEN 'pattern' END) AS sources FROM fused)"""
 
 
 _NORMAL = f"docs AS (SELECT doc_id AS id, {_folded('text')} AS folded FROM documents), t AS (SELECT id, {_marks('folded')} AS normal FROM docs)"
@@ -123,12 +167,15 @@ state AS (SELECT id, CASE WHEN tried AND NOT ok THEN 1 ELSE 0 END AS attempts, C
   tried AND ok AS delivered, CASE WHEN tried AND NOT ok THEN 'failed ' || id END AS last_error FROM box)"""
 
 
-def sql() -> dict[str, str]:
+def sql(spoken: Policy) -> dict[str, str]:
+    """spoken: the policy of phrase_hits_fuzzy."""
     return {
         "norm_text": f"WITH {_NORMAL} SELECT id AS doc_id, sha256(normal) AS normal_sha256, CAST(length(normal) AS BIGINT) AS n_chars FROM t",
         "script_profile": r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{L}') THEN 'latin' ELSE 'none' END AS script, FALSE AS is_rtl FROM documents",
         "phrase_hits_exact": f"WITH {_hits(_NORMAL)} SELECT id AS doc_id, category, phrase, weight, lang FROM hits",
         "phrase_hits_ranked": f"WITH {_hits(_NORMAL)}, {_kept()} SELECT id AS doc_id, count(*) AS n_matches, max(weight) AS score, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM kept GROUP BY id",
+        "phrase_hits_fuzzy": f"""WITH {_hits(f"docs AS (SELECT conv_id || '-' || turn AS id, {_folded('text')} AS folded FROM conversations), t AS (SELECT id, {_marks('folded')} AS normal FROM docs)", spoken)}, {_similar(spoken)}
+SELECT id, category, phrase, weight, match, similarity FROM words""",
         "ipv4_hits": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all({_folded('text')}, '{_IPV4}'))) AS ip FROM documents",
         "iban_hits": f"SELECT doc_id, iban, {_mask('upper(iban)')} AS masked FROM (SELECT DISTINCT doc_id, replace(v, ' ', '') AS iban FROM (SELECT doc_id, unnest(regexp_extract_all({_folded('text')}, '{_IBAN}')) AS v FROM documents)) WHERE length(iban) BETWEEN 15 AND 34 AND length(regexp_replace(iban, '[^0-9]', '', 'g')) >= 10",
         "digit_runs_classified": f"WITH {_runs(_FOLDED)}, {_numbered()} SELECT id AS doc_id, run, kind, luhn_ok FROM kinds",

@@ -28,7 +28,7 @@ def test_a_second_hearing_keeps_what_the_first_pass_knew(spark):
     policy = Policy.example()
     kws = [("credentials", "private key", 0.45, "en", "kws", None, None, 2)]
     kind = "array<struct<category:string,phrase:string,weight:double,lang:string,match:string,similarity:double,pattern:string,windows:int>>"
-    df = spark.createDataFrame([(1, "a token", kws), (2, "a token", []), (3, "an api key", []), (4, "a token", [])], f"id int, text string, extras {kind}")
+    df = spark.createDataFrame([(1, "please send them a token", kws), (2, "please send them a token", []), (3, "an api key", []), (4, "please send them a token", [])], f"id int, text string, extras {kind}")
     first = fusion.score(df, policy, "id", "text", extras_col="extras", latin=True)
     second = spark.createDataFrame([(1, "an access token"), (2, "nothing"), (3, "an api key"), (4, " ")], "id int, text string")
     got = live.heard_again(first, second, policy, "id", latin=True).collect()

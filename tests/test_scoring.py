@@ -79,9 +79,9 @@ def test_second_opinion(spark):
     def rows(text):
         return fusion.score(spark.createDataFrame([(1, text)], "id int, t string"), Policy.example(), "id", "t", latin=True)
 
-    better = fusion.second_opinion(rows("a token"), rows("an api key"), "id").collect()
+    better = fusion.second_opinion(rows("please send them a token"), rows("an api key"), "id").collect()
     assert better[0]["severity_before"] == "MEDIUM" and better[0]["verdict"]["severity"] == "CRITICAL" and better[0]["verdict"]["risk_factors"] == ["second opinion"]
-    assert fusion.second_opinion(rows("a token"), rows("a token"), "id").count() == 0
+    assert fusion.second_opinion(rows("please send them a token"), rows("please send them a token"), "id").count() == 0
 
 
 def test_rows_that_share_an_id_keep_their_own_hits(spark):
