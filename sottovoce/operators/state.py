@@ -1,7 +1,8 @@
 """Stream state over finished tables (R3-R11, E3-E9): segments, confirmations, escalation, levels.
 
-Where a rule has a closed form it is a window; where each step depends on what the last decided, it is a fold over one
-session's rows, which applyInPandas runs session by session. Sessions are short by nature (a recording)."""
+Where a rule has a closed form it is a window; where each step depends on what the last decided, pointers are doubled
+(operators.jumps); only the environment's events are a fold over one session's rows, which applyInPandas runs session by
+session."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sottovoce.operators.jumps import forced_segments
+
 PRE_ROLL, HANG_OVER, MIN_SPEECH, MAX_CHUNKS, KEEP_TAIL = 6, 18, 8, 375, 6
 
 
@@ -53,16 +56,18 @@ def segment(speech: list[bool], closing: bool = True, pre: int = PRE_ROLL, hang:
     return out, (at, start, spoken, silent, free)
 
 
-def segments(chunks: DataFrame, key: str = "session_id", **limits) -> DataFrame:
-    """Segments of rows (key, chunk_idx, speech_prob): key, segment_id, first, stop, speech."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk_idx")
-        found, _ = segment((frame["speech_prob"] >= 0.5).tolist(), **limits)
-        base = int(frame["chunk_idx"].iloc[0])
-        return pd.DataFrame([(frame[key].iloc[0], i, base + a, base + b, n) for i, (a, b, n) in enumerate(found)], columns=[key, "segment_id", "first", "stop", "speech"])
+def filled(chunks: list[int], speech: list[bool], at: int) -> list[bool]:
+    """The speech flags from chunk `at` on, of chunks in order: one that is missing is silent; one that comes again, or too late, is left out."""
+    out: list[bool] = []
+    for i, is_speech in zip(chunks, speech, strict=True):
+        if i >= at + len(out):
+            out += [False] * (i - at - len(out)) + [is_speech]
+    return out
 
-    kind = dict(chunks.dtypes)[key]
-    return chunks.select(key, "chunk_idx", "speech_prob").groupBy(key).applyInPandas(run, f"{key} {kind}, segment_id long, first long, stop long, speech long")
+
+def segments(chunks: DataFrame, key: str = "session_id", pre: int = PRE_ROLL, hang: int = HANG_OVER, least: int = MIN_SPEECH, most: int = MAX_CHUNKS) -> DataFrame:
+    """Segments of rows (key, chunk_idx, speech_prob): key, segment_id, first, stop, speech, as segment() has them, without a fold over a session."""
+    return forced_segments(chunks.select(key, "chunk_idx", (F.col("speech_prob") >= 0.5).alias("speech")), key, pre, hang, least, most, KEEP_TAIL)
 
 
 def confirm(hits: DataFrame, key: list[str], window: str = "window_idx", needed: int = 2) -> DataFrame:
@@ -96,6 +101,20 @@ def lifted(score: Column, before: Column, after: Column, bands: dict[str, float]
     return F.when(before == after, score).otherwise(F.greatest(score, F.element_at(floor, after)))
 
 
+def escalated(rows: DataFrame, endpoint: str, ts: str, order: str, severity: str = "severity", categories: str = "categories", seconds: int = 600, needed: int = 2,
+              score: str | None = None, bands: dict[str, float] | None = None) -> DataFrame:
+    """Rows with `repeats`, the most earlier disclosures within `seconds` that any of their categories had at the
+    endpoint, and `escalated`, the severity after that; with a score and the bands also `lifted`, the score after it.
+
+    Only rows from MEDIUM on with a category disclose anything. `order` tells an endpoint's rows apart."""
+    discloses = F.col(severity).isin("MEDIUM", "HIGH", "CRITICAL") & (F.size(categories) > 0)
+    each = rows.where(discloses).select(endpoint, ts, order, F.explode(F.array_distinct(categories)).alias("_category"))
+    most = repeats(each, endpoint, "_category", ts, order, seconds).groupBy(endpoint, ts, order).agg(F.max("repeats").alias("repeats"))
+    out = rows.join(most, [endpoint, ts, order], "left").withColumn("repeats", F.coalesce("repeats", F.lit(0).cast("long")))
+    out = out.withColumn("escalated", F.when(discloses, escalate(F.col(severity), F.col("repeats"), needed)).otherwise(F.col(severity)))
+    return out.withColumn("lifted", lifted(F.col(score), F.col(severity), F.col("escalated"), bands)) if score else out
+
+
 def muted_runs(levels: DataFrame, key: list[str], order: str, level: str, limit: float = -80.0, chunks: int = 250) -> DataFrame:
     """E5: runs of at least `chunks` rows at or below the limit: key, first, last and length."""
     w = W.partitionBy(*key).orderBy(order)
