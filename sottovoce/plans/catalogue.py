@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sottovoce.functions import audio, numbers, text
-from sottovoce.operators import audit, fusion, keywords, live, outbox, reporting, semantic, state
+from sottovoce.operators import audit, fusion, jumps, keywords, live, outbox, reporting, semantic, state
 from sottovoce.operators.fusion import quantised
 from sottovoce.sources.policy import EXAMPLE, Policy
 
@@ -306,6 +306,27 @@ def noise_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.noise_profile(quiet, ["user_id"], "event_id", "value").select("event_id", "profile_n", quantised(F.col("profile_power")).alias("profile_power"))
 
 
+def event_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a user's events those that come six hours or more after the last that passed."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return jumps.spaced(e, ["user_id"], "ts", "event_id", 21_600).select("user_id", "event_id")
+
+
+def segments_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as chunks, of which some are missing; segments are short here, so that many are forced."""
+    e = read(spark, sf_dir, "events").select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("n"), "value")
+    chunks = e.select("user_id", (F.col("n") + F.floor(F.col("n") / 10) * 2).alias("chunk_idx"), F.when(F.col("value") >= 30, 0.9).otherwise(0.1).alias("speech_prob"))
+    return state.segments(chunks, "user_id", pre=3, hang=8, least=3, most=20)
+
+
+def joint_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of two categories each, escalated by whichever was disclosed most in a day."""
+    categories = F.array("category", F.concat(F.lit("group "), F.col("id") % 3))
+    alerts = _alerts(spark, sf_dir).withColumns({"categories": F.when(F.col("id") % 11 != 0, categories).otherwise(F.array().cast("array<string>")), "score": F.pmod(F.col("value"), F.lit(100.0)) / 100.0})
+    told = state.escalated(alerts, "endpoint_id", "ts", "id", seconds=86400, score="score", bands=Policy.example().bands)
+    return told.select("id", "repeats", F.col("escalated").alias("severity"), quantised(F.col("lifted")).alias("score"))
+
+
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.text_filter(read(spark, sf_dir, "documents"), "Apache License", ["text"]).select("doc_id")
 
@@ -324,7 +345,7 @@ _QUERIES = [
     severity_counts, language_counts, category_counts, alert_page, alert_stats, nearest_reference, semantic_margin, repeat_escalation, segments_sessionised, phrase_confirmation, muted_runs,
     noise_floor, raised_level, level_db, spectral_centroid, chain_build, chain_tamper_detect, retention_purge, transcript_minimised, outbox_due, outbox_stats, policy_summary, policy_report,
     detector_quality, second_opinion_upgrade, text_filter, csv_projection,
-    spotting_windows, early_warnings, session_language, session_metrics, translated_verdicts, level_telemetry, noise_profile,
+    spotting_windows, early_warnings, session_language, session_metrics, translated_verdicts, level_telemetry, noise_profile, event_cooldown, segments_forced, joint_escalation,
 ]
 
 

@@ -237,6 +237,25 @@ SELECT doc_id, CASE WHEN translated THEN 'CRITICAL' ELSE severity END AS severit
         "level_telemetry": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) WHERE n % 7 = 0",
         "noise_profile": f"""SELECT event_id, count(*) OVER w AS profile_n, CASE WHEN count(*) OVER w >= 15 THEN {_q("sum(value) OVER w")} END AS profile_power FROM events WHERE value <= 50
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 45 PRECEDING AND CURRENT ROW)""",
+        "event_cooldown": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+c(user_id, n, us) AS (SELECT user_id, n, us FROM e WHERE n = 1 UNION ALL SELECT e.user_id, min(e.n), min(e.us) FROM c JOIN e ON e.user_id = c.user_id AND e.us >= c.us + 21600000000 GROUP BY e.user_id)
+SELECT e.user_id, e.event_id FROM e JOIN c ON c.user_id = e.user_id AND c.n = e.n""",
+        "segments_forced": """WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, value >= 30 AS speech FROM events),
+k AS (SELECT user_id, n + n // 10 * 2 AS i, speech FROM r), b AS (SELECT user_id, min(i) AS begins, max(i) AS ends FROM k GROUP BY user_id),
+d AS (SELECT b.user_id, z.i, begins, ends, coalesce(k.speech, FALSE) AS speech FROM b, LATERAL (SELECT unnest(range(begins, ends + 1)) AS i) z LEFT JOIN k ON k.user_id = b.user_id AND k.i = z.i),
+f(user_id, i, start, spoken, silent, free, first, stop, speech) AS (SELECT user_id, begins - 1, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), begins, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM b UNION ALL
+  SELECT user_id, i, CASE WHEN closed THEN -1 ELSE st END, sp, si, CASE WHEN closed THEN i + 1 ELSE free END, CASE WHEN told THEN st END, CASE WHEN told THEN i + 1 - greatest(si - 6, 0) END, CASE WHEN told THEN sp END FROM (
+    SELECT *, st >= 0 AND (closed OR i = ends) AND sp >= 3 AS told FROM (SELECT *, st >= 0 AND (si >= 8 OR i + 1 - st >= 20) AS closed FROM (
+      SELECT f.user_id, d.i, d.ends, f.free, CASE WHEN f.start >= 0 THEN f.start WHEN d.speech THEN greatest(d.i - 3, f.free) ELSE -1 END AS st,
+        CASE WHEN f.start < 0 THEN CAST(d.speech AS BIGINT) ELSE f.spoken + CAST(d.speech AS BIGINT) END AS sp, CASE WHEN d.speech OR f.start < 0 THEN 0 ELSE f.silent + 1 END AS si
+      FROM f JOIN d ON d.user_id = f.user_id AND d.i = f.i + 1))))
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS BIGINT) AS segment_id, first, stop, speech FROM f WHERE first IS NOT NULL""",
+        "joint_escalation": f"""WITH {_ALERTS}, a AS (SELECT id, ts, endpoint_id, severity, (value % 100.0::DOUBLE) / 100.0::DOUBLE AS score, CASE WHEN id % 11 <> 0 THEN [category, 'group ' || (id % 3)] ELSE [] END AS cats FROM alerts),
+e AS (SELECT id, ts, endpoint_id, unnest(cats) AS c FROM a WHERE severity IN ('MEDIUM', 'HIGH', 'CRITICAL')),
+n AS (SELECT x.id, x.c, count(y.id) AS n FROM e x LEFT JOIN e y ON y.endpoint_id = x.endpoint_id AND y.c = x.c AND (y.ts < x.ts OR (y.ts = x.ts AND y.id < x.id)) AND epoch_us(x.ts) - epoch_us(y.ts) <= 86400000000 GROUP BY x.id, x.c),
+m AS (SELECT a.id, severity, score, coalesce(max(n), 0) AS repeats FROM a LEFT JOIN n ON n.id = a.id GROUP BY a.id, severity, score),
+u AS (SELECT *, CASE WHEN repeats < 2 THEN severity WHEN severity = 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END AS after FROM m)
+SELECT id, CAST(repeats AS BIGINT) AS repeats, after AS severity, {_q("CASE WHEN after = severity THEN score ELSE greatest(score, CASE after WHEN 'HIGH' THEN 0.65::DOUBLE ELSE 0.85::DOUBLE END) END")} AS score FROM u""",
         "text_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')",
         "csv_projection": f"{_verdict()} SELECT doc_id AS id, '2024-01-01T00:00:00' AS ts, 'upload' AS source, source AS endpoint_id, lang AS language, severity, threat_score, keyword_score, 0.0::DOUBLE AS semantic_score, pattern_score, categories, '' AS transcript, '' AS translation FROM v",
     }
