@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sottovoce.functions import audio, numbers, text
-from sottovoce.operators import audit, fusion, jumps, keywords, live, outbox, reporting, semantic, state
+from sottovoce.operators import audit, fusion, jumps, keywords, live, merkle, outbox, reporting, semantic, state
 from sottovoce.operators.fusion import quantised
 from sottovoce.sources.policy import EXAMPLE, Policy
 
@@ -327,6 +327,34 @@ def joint_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("id", "repeats", F.col("escalated").alias("severity"), quantised(F.col("lifted")).alias("score"))
 
 
+def _leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The orders as entries of one chain, a batch for each thousand order keys; and the orders."""
+    rows = _audit_rows(spark, sf_dir)
+    entries = rows.select(F.floor(F.col("id") / 1000).alias("batch"), F.lit("alert").alias("kind"), F.col("id").alias("ref_id"), "ts", audit.payload_hash(rows, ["id", "status", "priority"]).alias("payload_hash"), F.lit("").alias("detail"), F.col("id").alias("ord"))
+    return merkle.leaves(entries), rows
+
+
+def merkle_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 without a key: all orders under one chain of roots."""
+    return merkle.heads(merkle.forest(_leaves(spark, sf_dir)[0])).select("seq", "batch", "n", "root", "row_hash")
+
+
+def merkle_tamper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: orders of key divisible by 8 are edited and by 12 deleted after the fact."""
+    leaves, _ = _leaves(spark, sf_dir)
+    nodes = merkle.forest(leaves)
+    edited = leaves.where("ref_id % 12 <> 0").withColumn("payload_hash", F.when(F.col("ref_id") % 8 == 0, F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash")))
+    return merkle.verify(merkle.heads(nodes), nodes, edited).select("batch", "level", "pos", "problem")
+
+
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's proof, as the root it leads to and the digest of its siblings."""
+    leaves, _ = _leaves(spark, sf_dir)
+    found = merkle.proofs(merkle.forest(leaves), leaves)
+    flat = F.array_join(F.transform("proof", lambda level: F.array_join(level, ",", "-")), ";")
+    return found.select("batch", "pos", F.size("proof").cast("bigint").alias("steps"), merkle.proven_root(F.col("leaf"), F.col("proof")).alias("root"), F.sha2(flat, 256).alias("proof_sha256"))
+
+
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.text_filter(read(spark, sf_dir, "documents"), "Apache License", ["text"]).select("doc_id")
 
@@ -345,7 +373,7 @@ _QUERIES = [
     severity_counts, language_counts, category_counts, alert_page, alert_stats, nearest_reference, semantic_margin, repeat_escalation, segments_sessionised, phrase_confirmation, muted_runs,
     noise_floor, raised_level, level_db, spectral_centroid, chain_build, chain_tamper_detect, retention_purge, transcript_minimised, outbox_due, outbox_stats, policy_summary, policy_report,
     detector_quality, second_opinion_upgrade, text_filter, csv_projection,
-    spotting_windows, early_warnings, session_language, session_metrics, translated_verdicts, level_telemetry, noise_profile, event_cooldown, segments_forced, joint_escalation,
+    spotting_windows, early_warnings, session_language, session_metrics, translated_verdicts, level_telemetry, noise_profile, event_cooldown, segments_forced, joint_escalation, merkle_chain, merkle_tamper, merkle_proofs,
 ]
 
 

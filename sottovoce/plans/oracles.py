@@ -167,6 +167,13 @@ state AS (SELECT id, CASE WHEN tried AND NOT ok THEN 1 ELSE 0 END AS attempts, C
   tried AND ok AS delivered, CASE WHEN tried AND NOT ok THEN 'failed ' || id END AS last_error FROM box)"""
 
 
+_TREES = """RECURSIVE o AS (SELECT o_orderkey AS id, o_orderkey // 1000 AS batch, epoch_us(o_orderdate) AS us, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS pos FROM orders),
+leaf AS (SELECT batch, pos, sha256('leaf|alert|' || id || '|' || us || '|' || sha256(length(CAST(id AS VARCHAR)) || ':' || id || ',' || length(p) || ':' || p || ',' || length(s) || ':' || s) || '|') AS h, count(*) OVER (PARTITION BY batch) AS n FROM o),
+tree(batch, lev, pos, h, width) AS (SELECT batch, CAST(0 AS BIGINT), pos, h, n FROM leaf UNION ALL
+  SELECT batch, min(lev) + 1, pos // 16, sha256('node|' || string_agg(h, ',' ORDER BY pos)), (min(width) + 15) // 16 FROM tree WHERE width > 1 GROUP BY batch, pos // 16),
+roots AS (SELECT tree.batch, h AS root, l.n FROM tree JOIN (SELECT batch, count(*) AS n FROM leaf GROUP BY batch) l ON l.batch = tree.batch WHERE width = 1)"""
+
+
 def sql(spoken: Policy) -> dict[str, str]:
     """spoken: the policy of phrase_hits_fuzzy."""
     return {
@@ -237,6 +244,16 @@ SELECT doc_id, CASE WHEN translated THEN 'CRITICAL' ELSE severity END AS severit
         "level_telemetry": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) WHERE n % 7 = 0",
         "noise_profile": f"""SELECT event_id, count(*) OVER w AS profile_n, CASE WHEN count(*) OVER w >= 15 THEN {_q("sum(value) OVER w")} END AS profile_power FROM events WHERE value <= 50
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 45 PRECEDING AND CURRENT ROW)""",
+        "merkle_chain": f"""WITH {_TREES}, k AS (SELECT *, row_number() OVER (ORDER BY batch) AS seq FROM roots),
+c(seq, batch, n, root, row_hash) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', repeat('0', 64) UNION ALL
+  SELECT k.seq, k.batch, k.n, k.root, sha256(c.row_hash || '|batch|' || k.batch || '|' || k.n || '|' || k.root) FROM c JOIN k ON k.seq = c.seq + 1)
+SELECT seq, batch, n, root, row_hash FROM c WHERE seq > 0""",
+        "merkle_tamper": """SELECT batch, CAST(0 AS INT) AS "level", pos, CASE WHEN id % 12 = 0 THEN 'missing entry' ELSE 'edited entry' END AS problem
+FROM (SELECT o_orderkey AS id, o_orderkey // 1000 AS batch, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE id % 12 = 0 OR id % 8 = 0""",
+        "merkle_proofs": f"""WITH {_TREES}, up AS (SELECT l.batch, l.pos, t.lev, string_agg(CASE WHEN t.pos = l.pos // (16 ** t.lev)::BIGINT THEN '-' ELSE t.h END, ',' ORDER BY t.pos) AS x
+  FROM leaf l JOIN tree t ON t.batch = l.batch AND t.width > 1 AND t.pos // 16 = l.pos // (16 ** (t.lev + 1))::BIGINT GROUP BY l.batch, l.pos, t.lev),
+p AS (SELECT batch, pos, count(*) AS steps, string_agg(x, ';' ORDER BY lev) AS x FROM up GROUP BY batch, pos)
+SELECT l.batch, l.pos, CAST(coalesce(p.steps, 0) AS BIGINT) AS steps, r.root, sha256(coalesce(p.x, '')) AS proof_sha256 FROM leaf l JOIN roots r ON r.batch = l.batch LEFT JOIN p ON p.batch = l.batch AND p.pos = l.pos""",
         "event_cooldown": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 c(user_id, n, us) AS (SELECT user_id, n, us FROM e WHERE n = 1 UNION ALL SELECT e.user_id, min(e.n), min(e.us) FROM c JOIN e ON e.user_id = c.user_id AND e.us >= c.us + 21600000000 GROUP BY e.user_id)
 SELECT e.user_id, e.event_id FROM e JOIN c ON c.user_id = e.user_id AND c.n = e.n""",
