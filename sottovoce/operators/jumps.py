@@ -7,22 +7,32 @@ of n choices takes about log2(n) rounds of joins, each spread over all tasks, ho
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and written to the folder of spark.checkpoint.dir, which all executors share; on a local master, where none is set, to one of our own."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; on a local master, where none is set, one of our own."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local"):
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="sottovoce-"))
-    return df.checkpoint()
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sottovoce-"))
+        where = context.getCheckpointDir()
+    return where.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and written to the shared folder as a table. That cuts its lineage, and what is estimated of its size is
+    what it has: in rounds of joins, estimates upon estimates would grow without bound."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reached(nodes: DataFrame, key: list[str]) -> DataFrame:

@@ -1,18 +1,15 @@
 """Stream state over finished tables (R3-R11, E3-E9): segments, confirmations, escalation, levels.
 
 Where a rule has a closed form it is a window; where each step depends on what the last decided, pointers are doubled
-(operators.jumps); only the environment's events are a fold over one session's rows, which applyInPandas runs session by
-session."""
+(operators.jumps) or blocks of a session are run at once until they agree (operators.rounds)."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sottovoce.operators.environment import Environment as Environment
 from sottovoce.operators.jumps import forced_segments
 
 PRE_ROLL, HANG_OVER, MIN_SPEECH, MAX_CHUNKS, KEEP_TAIL = 6, 18, 8, 375, 6
@@ -149,81 +146,21 @@ def cooled(times: list[float], gap: float) -> list[bool]:
     return out
 
 
-class Environment:
-    """E4-E9 of one session, chunk by chunk; picklable, so a stream can keep it as state."""
-
-    CHUNK = 0.032
-
-    def __init__(self) -> None:
-        self.t = 0.0
-        self.floor: float | None = None
-        self.quiet, self.told_quiet = 0.0, False
-        self.spike: tuple[int, dict] | None = None
-        self.voice: list[float] = []
-        self.speaking, self.spoken = None, 0
-        self.history: list[tuple[float, float]] = []
-        self.last: dict[str, float] = {}
-
-    def _tell(self, out: list, kind: str, shown: dict) -> None:
-        if self.t - self.last.get(kind, -1e9) >= 5.0:
-            self.last[kind] = self.t
-            out.append({"kind": kind, **shown})
-
-    def feed(self, level: float, speech: bool, in_segment: bool = False) -> list[dict]:
-        """Events of one chunk: kind, t, level_db, baseline_db, delta_db."""
-        out: list[dict] = []
-        self.t += self.CHUNK
-        base = level if self.floor is None else self.floor
-        shown = {"t": round(self.t, 3), "level_db": round(level, 1), "baseline_db": round(base, 1), "delta_db": round(level - base, 1)}
-        if level <= -80:
-            self.quiet += self.CHUNK
-            if self.quiet >= 8 and not self.told_quiet:
-                self.told_quiet = True
-                out.append({"kind": "input_silent", **shown})
-            return out
-        self.quiet, self.told_quiet = 0.0, False
-        if self.floor is None:
-            self.floor = level
-            return out
-        if self.spike:
-            left, was = self.spike
-            if speech or in_segment:
-                self.spike = None
-            elif left <= 1:
-                self.spike = None
-                self._tell(out, "sudden_sound", was)
-            else:
-                self.spike = (left - 1, was)
-        loud = not speech and level - self.floor >= 18 and level >= -30
-        if loud and not in_segment and self.spike is None and self.t - self.last.get("sudden_sound", -1e9) >= 5.0:
-            self.spike = (8, shown)
-        if not speech and not in_segment and not loud:
-            self.floor += 0.01 * (level - self.floor)
-        if speech:
-            self.voice = [*self.voice, 10 ** (level / 10)][-10:]
-            mean = 10 * math.log10(sum(self.voice) / len(self.voice))
-            self.spoken += 1
-            if self.spoken > 60 and self.speaking is not None and mean >= self.speaking + 12 and level >= self.floor + 18:
-                self._tell(out, "raised_voice", shown)
-            self.speaking = level if self.speaking is None else self.speaking + 0.02 * (level - self.speaking)
-        if not self.history or self.t - self.history[-1][0] >= 0.5:
-            self.history = [*self.history, (self.t, self.floor)][-120:]
-            if len(self.history) == 120 and not out and abs(self.floor - self.history[0][1]) >= 10:
-                self._tell(out, "ambient_shift", shown)
-                self.history = []
-        return out
-
-
-def environment(chunks: DataFrame, key: str = "session_id") -> DataFrame:
+def environment(chunks: DataFrame, key: str = "session_id", block: int | None = None) -> DataFrame:
     """Environment events of rows (key, chunk_idx, level_db, speech_prob, and in_segment, if given: whether a segment is
-    open there, in which the floor rests and no spike begins or stays)."""
-    cols = [key, "chunk_idx", "level_db", "speech_prob"]
-    chunks = chunks.select(*cols, F.coalesce("in_segment", F.lit(False)).alias("in_segment") if "in_segment" in chunks.columns else F.lit(False).alias("in_segment"))
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        env, out = Environment(), []
-        for r in frame.sort_values("chunk_idx").itertuples():
-            out += [(getattr(r, key), int(r.chunk_idx), e["kind"], e["level_db"], e["baseline_db"], e["delta_db"]) for e in env.feed(r.level_db, r.speech_prob >= 0.5, bool(r.in_segment))]
-        return pd.DataFrame(out, columns=[key, "chunk_idx", "kind", "level_db", "baseline_db", "delta_db"])
-
-    kind = dict(chunks.dtypes)[key]
-    return chunks.groupBy(key).applyInPandas(run, f"{key} {kind}, chunk_idx long, kind string, level_db double, baseline_db double, delta_db double")
+    open there, in which the floor rests and no spike begins or stays). Sessions are cut into blocks that are run at once."""
+    from sottovoce.operators import machines, rounds
+
+    return rounds.run(_levels(chunks, key), machines.Levels(), key, "chunk_idx", ["level_db", "speech", "in_segment"], block or rounds.BLOCK)
+
+
+def baselines(chunks: DataFrame, key: str = "session_id", block: int | None = None) -> DataFrame:
+    """Noise floor and speaking level after each chunk, of rows as environment() takes them: key, chunk_idx, floor_db, speaking_db."""
+    from sottovoce.operators import machines, rounds
+
+    return rounds.run(_levels(chunks, key), machines.Baselines(), key, "chunk_idx", ["level_db", "speech", "in_segment"], block or rounds.BLOCK)
+
+
+def _levels(chunks: DataFrame, key: str) -> DataFrame:
+    told = F.coalesce("in_segment", F.lit(False)) if "in_segment" in chunks.columns else F.lit(False)
+    return chunks.select(key, F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("level_db").cast("double").alias("level_db"), F.coalesce(F.col("speech_prob") >= 0.5, F.lit(False)).alias("speech"), told.alias("in_segment"))

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sottovoce.operators import audit
-from sottovoce.operators.state import Environment, segment
+from sottovoce.operators.environment import Environment
+from sottovoce.operators.state import segment
 
 #: A key without input for so long leaves the state.
 FORGET_MS = 3_600_000
