@@ -327,6 +327,24 @@ def joint_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("id", "repeats", F.col("escalated").alias("severity"), quantised(F.col("lifted")).alias("score"))
 
 
+def _sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as chunks: levels, of which some are speech, and some lie in segments."""
+    e = read(spark, sf_dir, "events")
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    return e.select("user_id", n.alias("chunk_idx"), (-F.pmod("value", F.lit(90.0))).alias("level_db"), F.when(F.col("event_id") % 3 == 0, 0.9).otherwise(0.1).alias("speech_prob"), (F.col("event_id") % 7 == 0).alias("in_segment"))
+
+
+def chunk_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise floor and speaking level after every chunk, in blocks of 32 that are run at once."""
+    told = state.baselines(_sounds(spark, sf_dir), "user_id", block=32)
+    return told.select("user_id", "chunk_idx", quantised(F.col("floor_db")).alias("floor_db"), quantised(F.col("speaking_db")).alias("speaking_db"))
+
+
+def environment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chunks' levels tell."""
+    return state.environment(_sounds(spark, sf_dir), "user_id")
+
+
 def _leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The orders as entries of one chain, a batch for each thousand order keys; and the orders."""
     rows = _audit_rows(spark, sf_dir)
@@ -373,7 +391,7 @@ _QUERIES = [
     severity_counts, language_counts, category_counts, alert_page, alert_stats, nearest_reference, semantic_margin, repeat_escalation, segments_sessionised, phrase_confirmation, muted_runs,
     noise_floor, raised_level, level_db, spectral_centroid, chain_build, chain_tamper_detect, retention_purge, transcript_minimised, outbox_due, outbox_stats, policy_summary, policy_report,
     detector_quality, second_opinion_upgrade, text_filter, csv_projection,
-    spotting_windows, early_warnings, session_language, session_metrics, translated_verdicts, level_telemetry, noise_profile, event_cooldown, segments_forced, joint_escalation, merkle_chain, merkle_tamper, merkle_proofs,
+    spotting_windows, early_warnings, session_language, session_metrics, translated_verdicts, level_telemetry, noise_profile, event_cooldown, segments_forced, joint_escalation, merkle_chain, merkle_tamper, merkle_proofs, chunk_baselines, environment_events,
 ]
 
 

@@ -254,6 +254,11 @@ FROM (SELECT o_orderkey AS id, o_orderkey // 1000 AS batch, row_number() OVER (P
   FROM leaf l JOIN tree t ON t.batch = l.batch AND t.width > 1 AND t.pos // 16 = l.pos // (16 ** (t.lev + 1))::BIGINT GROUP BY l.batch, l.pos, t.lev),
 p AS (SELECT batch, pos, count(*) AS steps, string_agg(x, ';' ORDER BY lev) AS x FROM up GROUP BY batch, pos)
 SELECT l.batch, l.pos, CAST(coalesce(p.steps, 0) AS BIGINT) AS steps, r.root, sha256(coalesce(p.x, '')) AS proof_sha256 FROM leaf l JOIN roots r ON r.batch = l.batch LEFT JOIN p ON p.batch = l.batch AND p.pos = l.pos""",
+        "chunk_baselines": f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, -(value % 90.0::DOUBLE) AS x, event_id % 3 = 0 AS speech, event_id % 7 = 0 AS inside FROM events),
+f(user_id, n, fl, sp) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM e UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN x <= -80 THEN fl WHEN fl IS NULL THEN x WHEN speech OR inside OR (x - fl >= 18 AND x >= -30) THEN fl ELSE fl + 0.01::DOUBLE * (x - fl) END,
+    CASE WHEN x <= -80 OR fl IS NULL OR NOT speech THEN sp WHEN sp IS NULL THEN x ELSE sp + 0.02::DOUBLE * (x - sp) END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, n AS chunk_idx, {_q("fl")} AS floor_db, {_q("sp")} AS speaking_db FROM f WHERE n > 0""",
         "event_cooldown": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 c(user_id, n, us) AS (SELECT user_id, n, us FROM e WHERE n = 1 UNION ALL SELECT e.user_id, min(e.n), min(e.us) FROM c JOIN e ON e.user_id = c.user_id AND e.us >= c.us + 21600000000 GROUP BY e.user_id)
 SELECT e.user_id, e.event_id FROM e JOIN c ON c.user_id = e.user_id AND c.n = e.n""",
