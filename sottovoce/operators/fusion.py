@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sottovoce.functions import numbers, text
 from sottovoce.operators import keywords
+from sottovoce.operators.semantic import best_of
 from sottovoce.sources.policy import Policy
 
 SEVERITIES = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
@@ -51,10 +52,11 @@ def _texts(df: DataFrame, cols: list[str], policy: Policy, latin: bool, with_fuz
 
 
 def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation_col: str | None = None, language_col: str | None = None, semantic_col: str | None = None,
-          duration_col: str | None = None, extras_col: str | None = None, latin: bool = False, with_fuzzy: bool = True) -> DataFrame:
+          duration_col: str | None = None, extras_col: str | None = None, latin: bool = False, with_fuzzy: bool = True, translated_semantic_col: str | None = None) -> DataFrame:
     """df with a verdict struct (15 fields) for each row; ids may repeat or be null.
 
-    semantic_col: struct<score, reference> of a scorer (0 without one, V8). extras_col: array of matches confirmed by
+    semantic_col, translated_semantic_col: struct<score, reference> of a scorer for the text and its translation, of which the
+    better counts (V9; 0 without one, V8). extras_col: array of matches confirmed by
     spotting (F3). latin=True promises Latin text, which needs no Python to be folded. with_fuzzy=False leaves out phrases
     that are only similar (K6), and with them the last of Python. Everything is found within the row."""
     stripped = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -75,6 +77,9 @@ def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation
     new = F.filter(extras, lambda e: ~F.exists(words, lambda m: (m["category"] == e["category"]) & (m["phrase"] == e["phrase"])))
     keyword = F.greatest(top(words), top(new))
     pattern = F.greatest(*[top(F.col(f"{c}_numbers")) for c in cols], F.lit(0.0))
+    if semantic_col and translated_semantic_col:
+        wide = wide.withColumn("_best", best_of(F.col(semantic_col), F.col(translated_semantic_col)))
+        semantic_col = "_best"
     semantic = F.coalesce(F.col(semantic_col)["score"], F.lit(0.0)) if semantic_col else F.lit(0.0)
     wide = wide.withColumns({"_kw": keyword, "_pat": pattern, "_sem": semantic})
     wide = wide.withColumn("_fused", noisy_or(F.col("_kw"), F.col("_sem"), F.col("_pat"), policy)).withColumn("_sev", policy.severity(F.col("_fused")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,29 +34,77 @@ def calibrate(margin: Column, floor: float = FLOOR, ceiling: float = CEILING) ->
     return F.greatest(F.least((margin - floor) / (ceiling - floor), F.lit(1.0)), F.lit(0.0))
 
 
-def nearest(df: DataFrame, references: DataFrame, id_col: str, vector_col: str, limit: int = 10_000) -> DataFrame:
-    """V4: id, idx and similarity of the nearest reference (idx, embedding); the lowest idx wins ties.
-
-    References come with the policy: their number is checked against `limit`, then they travel as one array per task."""
-    n = references.count()
-    if n > limit:
-        raise ValueError(f"{n} references; nearest() takes at most {limit}")
-    unit = df.select(id_col, l2_normalise(F.col(vector_col)).alias("_v"))
-    listed = references.select("idx", l2_normalise(F.col("embedding")).alias("e")).agg(F.sort_array(F.collect_list(F.struct("idx", "e"))).alias("refs"))
-    refs = listed.first()["refs"] if n else []
-    table = F.array(*[F.struct(F.lit(r["idx"]).alias("idx"), F.array(*[F.lit(float(x)) for x in r["e"]]).alias("e")) for r in refs])
-    best = F.array_max(F.transform(table, lambda r: F.struct(dot(F.col("_v"), r["e"]).alias("sim"), (-r["idx"]).alias("back"))))
-    return unit.select(id_col, (-best["back"]).alias("idx"), best["sim"].alias("similarity"))
-
-
-def margin(df: DataFrame, references: DataFrame, benign: DataFrame | None, id_col: str, vector_col: str) -> DataFrame:
-    """V5-V7: id, idx, similarity, margin to the nearest benign sentence (0 without any) and calibrated score."""
-    near = nearest(df, references, id_col, vector_col)
-    if benign is None:
-        return near.withColumn("margin", F.col("similarity")).withColumn("score", calibrate(F.col("margin")))
-    other = nearest(df, benign, id_col, vector_col).select(id_col, F.col("similarity").alias("_benign"))
-    both = near.join(other, id_col).withColumn("margin", F.col("similarity") - F.col("_benign"))
-    return both.withColumn("score", calibrate(F.col("margin"))).drop("_benign")
+#: Bytes that all reference vectors may take together, as they travel to every task, and products that are held at once.
+REFERENCE_BYTES, PRODUCTS = 256 << 20, 1 << 22
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """V3 for a matrix."""
+    wide = vectors.astype(np.float64)
+    return wide / np.maximum(np.sqrt((wide * wide).sum(1, keepdims=True)), 1e-9)
+
+
+def closest(vectors: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit vector the place of its nearest reference (the first of equally near ones) and their cosine, in blocks."""
+    place, best = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    step = max(1, PRODUCTS // max(len(references), 1))
+    for at in range(0, len(vectors), step):
+        products = vectors[at : at + step] @ references.T
+        top = products.max(1)
+        # equal references may differ in the last bits of their products
+        place[at : at + step], best[at : at + step] = (products >= top[:, None] - 1e-12).argmax(1), top
+    return place, best
+
+
+def _matrix(references: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and unit vectors of references (idx, embedding), by number; checked against REFERENCE_BYTES before they come to the driver."""
+    size = references.agg(F.sum(F.size("embedding").cast("long") * 8)).head()[0] or 0
+    if size > REFERENCE_BYTES:
+        raise ValueError(f"reference vectors of {size} bytes; at most {REFERENCE_BYTES} can be sent to every task")
+    rows = references.select("idx", "embedding").orderBy("idx").toArrow()
+    vectors = rows.column("embedding").combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return rows.column("idx").to_numpy(), unit_rows(flat.reshape(len(rows), -1)) if len(rows) else np.zeros((0, 0))
+
+
+def _compared(df: DataFrame, references: DataFrame, benign: DataFrame | None, id_col: str, vector_col: str) -> DataFrame:
+    """id, idx, similarity and benign (the similarity to the nearest benign sentence) in one pass over the vectors; null for a null vector, and where there is nothing to compare to."""
+    context = df.sparkSession.sparkContext
+    sides = [_matrix(references), _matrix(benign) if benign is not None else (np.zeros(0, np.int64), np.zeros((0, 0)))]
+    shared = context.broadcast(sides)
+
+    @F.arrow_udf("idx int, similarity double, benign double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            there = np.asarray(vectors.is_valid())
+            flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
+            out = []
+            for k, (numbers, matrix) in enumerate(shared.value):
+                cosine, idx = np.full(len(vectors), np.nan), np.full(len(vectors), -1, np.int64)
+                if len(numbers) and there.any():
+                    place, cosine[there] = closest(unit_rows(flat.reshape(int(there.sum()), -1)), matrix)
+                    idx[there] = numbers[place]
+                out += [pa.array(idx, pa.int32(), mask=np.isnan(cosine))] * (k == 0) + [pa.array(cosine, pa.float64(), mask=np.isnan(cosine))]
+            yield pa.StructArray.from_arrays(out, ["idx", "similarity", "benign"])
+
+    return df.select(F.col(id_col), run(F.col(vector_col)).alias("_m")).select(id_col, "_m.idx", "_m.similarity", "_m.benign")
+
+
+def nearest(df: DataFrame, references: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """V4: id, idx and similarity of the nearest reference (idx, embedding); the lowest idx wins ties."""
+    return _compared(df, references, None, id_col, vector_col).drop("benign")
+
+
+def margin(df: DataFrame, references: DataFrame, benign: DataFrame | None, id_col: str, vector_col: str, text_col: str | None = None, phrases: DataFrame | None = None) -> DataFrame:
+    """V5-V7: id, idx, similarity, margin to the nearest benign sentence (to 0 without any) and calibrated score.
+
+    With text_col, blank texts score 0 and have no reference; with phrases (idx, phrase) the nearest one's text is given as `phrase`."""
+    vectors = df if text_col is None else df.withColumn(vector_col, F.when(F.trim(F.coalesce(text_col, F.lit(""))) != "", F.col(vector_col)))
+    both = _compared(vectors, references, benign, id_col, vector_col)
+    both = both.withColumn("margin", F.col("similarity") - F.coalesce("benign", F.lit(0.0)))
+    score = F.when(F.col("margin").isNotNull(), calibrate(F.col("margin")))  # least() and greatest() pass over nulls
+    both = both.withColumn("score", F.coalesce(score, F.lit(0.0)) if text_col else score).drop("benign")
+    return both if phrases is None else both.join(F.broadcast(phrases.select("idx", "phrase")), "idx", "left").select(*both.columns, "phrase")
 
 
 def best_of(native: Column, translated: Column) -> Column:
