@@ -7,7 +7,7 @@ import math
 import wave
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -41,16 +41,17 @@ def gate(mode: str, snr: Column, limit: float = 3.0) -> Column:
     return {"off": F.lit(False), "on": F.lit(True), "auto": F.coalesce(snr < limit, F.lit(False))}[mode]
 
 
-@F.pandas_udf(DoubleType())
-def spectral_centroid(samples: pd.Series) -> pd.Series:
-    """Mean frequency, weighted by magnitude under a Hann window."""
-    def one(x) -> float:
-        if x is None or not len(x):
-            return 0.0
-        mag = np.abs(np.fft.rfft(np.asarray(x, np.float64) * np.hanning(len(x))))
-        return float((mag * np.fft.rfftfreq(len(x), 1 / RATE)).sum() / max(mag.sum(), 1e-12))
-
-    return samples.map(one)
+@F.arrow_udf(DoubleType())
+def spectral_centroid(samples: pa.Array) -> pa.Array:
+    """Mean frequency, weighted by magnitude under a Hann window; 0 for no samples. Rows of a length are transformed together."""
+    rows = samples.fill_null(pa.scalar([], samples.type))
+    lengths, starts = rows.value_lengths().to_numpy(), rows.offsets.to_numpy()[:-1]
+    values, out = rows.values.to_numpy(zero_copy_only=False).astype(np.float64), np.zeros(len(rows))
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        mag = np.abs(np.fft.rfft(values[starts[at][:, None] + np.arange(n)] * np.hanning(n), axis=1))
+        out[at] = (mag * np.fft.rfftfreq(n, 1 / RATE)).sum(1) / np.maximum(mag.sum(1), 1e-12)
+    return pa.array(out)
 
 
 def pcm16(data: bytes) -> np.ndarray:

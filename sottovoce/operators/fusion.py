@@ -105,9 +105,13 @@ def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation
 
 
 def analyze(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation_col: str | None = None, language_col: str | None = None, max_chars: int = 4000) -> DataFrame:
-    """score() for texts of 1 to max_chars characters; others are rejected (left out)."""
-    fits = df.where(F.length(text_col).between(1, max_chars))
-    return score(fits, policy, id_col, text_col, translation_col, language_col)
+    """score() for texts of 1 to max_chars characters, with `error`; others have an error and no verdict."""
+    fits = F.coalesce(F.length(text_col).between(1, max_chars), F.lit(False))
+    marked = df.withColumn("error", F.when(~fits, F.lit(f"a text must have 1 to {max_chars} characters")))
+    # what is refused is not scored: it goes through as no text
+    given = marked.withColumn("_given", F.when(fits, F.col(text_col)))
+    scored = score(given, policy, id_col, "_given", translation_col, language_col).drop("_given")
+    return scored.withColumn("verdict", F.when(F.col("error").isNull(), F.col("verdict")))
 
 
 def candidates(first: DataFrame) -> DataFrame:

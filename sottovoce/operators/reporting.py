@@ -73,6 +73,7 @@ def csv_rows(alerts: DataFrame) -> DataFrame:
 
 
 def export_csv(alerts: DataFrame, path: str, limit: int = 100_000) -> None:
-    """The newest alerts as CSV; each part begins with its header."""
-    page = alerts.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
-    csv_rows(page).write.csv(path, header=True, encoding="UTF-8")
+    """The newest alerts as CSV; each part begins with a byte-order mark and its header, and is written as text."""
+    page = csv_rows(alerts.orderBy(F.desc("ts"), F.desc("id")).limit(limit))
+    marked = page.withColumnRenamed(page.columns[0], "\ufeff" + page.columns[0])
+    marked.write.csv(path, header=True, encoding="UTF-8")

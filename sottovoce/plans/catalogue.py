@@ -185,7 +185,7 @@ def level_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectral_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(audio.spectral_centroid("embedding"), 3).alias("centroid"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", quantised(audio.spectral_centroid("embedding")).alias("centroid"))
 
 
 def _audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

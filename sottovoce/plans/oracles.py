@@ -259,6 +259,10 @@ f(user_id, n, fl, sp) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL
   SELECT e.user_id, e.n, CASE WHEN x <= -80 THEN fl WHEN fl IS NULL THEN x WHEN speech OR inside OR (x - fl >= 18 AND x >= -30) THEN fl ELSE fl + 0.01::DOUBLE * (x - fl) END,
     CASE WHEN x <= -80 OR fl IS NULL OR NOT speech THEN sp WHEN sp IS NULL THEN x ELSE sp + 0.02::DOUBLE * (x - sp) END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
 SELECT user_id, n AS chunk_idx, {_q("fl")} AS floor_db, {_q("sp")} AS speaking_db FROM f WHERE n > 0""",
+        "spectral_centroid": f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i, len(embedding) AS n FROM embeddings),
+w AS (SELECT vec_id, i, n, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / (n - 1))) AS v FROM x),
+m AS (SELECT vec_id, k, any_value(n) AS n, sqrt(power(sum(v * cos(2 * pi() * k * i / n)), 2) + power(sum(v * sin(2 * pi() * k * i / n)), 2)) AS mag FROM w, range(0, 33) z(k) WHERE k <= n // 2 GROUP BY vec_id, k)
+SELECT vec_id, {_q("sum(mag * k * 16000.0::DOUBLE / n) / greatest(sum(mag), 1e-12::DOUBLE)")} AS centroid FROM m GROUP BY vec_id""",
         "event_cooldown": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 c(user_id, n, us) AS (SELECT user_id, n, us FROM e WHERE n = 1 UNION ALL SELECT e.user_id, min(e.n), min(e.us) FROM c JOIN e ON e.user_id = c.user_id AND e.us >= c.us + 21600000000 GROUP BY e.user_id)
 SELECT e.user_id, e.event_id FROM e JOIN c ON c.user_id = e.user_id AND c.n = e.n""",

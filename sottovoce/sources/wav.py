@@ -15,8 +15,10 @@ MAX_BYTES = 25 << 20
 
 
 def clips(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, samples and error of WAV files; files above the limit are not read, broken or long ones have an error and no samples."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).where(F.col("length") <= max_bytes)
+    """path, samples and error of WAV files; those above the limit (which are not read), broken or long ones have an error and no samples."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
+    files = found.where(F.col("length") <= max_bytes)
+    large = found.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("array<float>").alias("samples"), F.lit(f"the file has more than {max_bytes} bytes").alias("error"))
 
     @F.pandas_udf("struct<samples:array<float>,error:string>")
     def decode(contents: pd.Series) -> pd.DataFrame:
@@ -28,7 +30,7 @@ def clips(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFra
                 out.append((None, str(e) or type(e).__name__))
         return pd.DataFrame(out, columns=["samples", "error"])
 
-    return files.withColumn("d", decode("content")).select("path", "d.samples", "d.error")
+    return files.withColumn("d", decode("content")).select("path", "d.samples", "d.error").unionByName(large)
 
 
 def chunked(clips_: DataFrame, size: int = audio.CHUNK) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sottovoce.operators import audit
 from sottovoce.operators.environment import Environment
-from sottovoce.operators.state import segment
+from sottovoce.operators.state import filled, segment
 
 #: A key without input for so long leaves the state.
 FORGET_MS = 3_600_000
@@ -28,7 +28,8 @@ class ConsentError(PermissionError):
 
 
 def segments(chunks: DataFrame, key: str = "session_id", idle_ms: int = 60_000) -> DataFrame:
-    """R3-R5 on a stream of (key, chunk_idx, speech_prob), in order within a key; a key that falls idle is flushed."""
+    """R3-R5 on a stream of (key, chunk_idx, speech_prob), in order within a key; missing chunks are silent; a key that falls
+    idle is flushed. streaming.event_time puts rows in order first."""
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, kept = pickle.loads(state.get[0]) if state.exists else (0, None)
         if state.hasTimedOut:
@@ -36,7 +37,8 @@ def segments(chunks: DataFrame, key: str = "session_id", idle_ms: int = 60_000)
             state.remove()
         else:
             rows = pd.concat(list(frames)).sort_values("chunk_idx")
-            found, kept = segment((rows["speech_prob"] >= 0.5).tolist(), closing=False, state=kept)
+            at = kept[0] if kept else int(rows["chunk_idx"].iloc[0])
+            found, kept = segment(filled(rows["chunk_idx"].tolist(), (rows["speech_prob"] >= 0.5).tolist(), at), closing=False, state=kept or (at, -1, 0, 0, at))
             state.update((pickle.dumps((number + len(found), kept)),))
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(k[0], number + i, a, b, n) for i, (a, b, n) in enumerate(found)], columns=[key, "segment_id", "first", "stop", "speech"])
@@ -72,15 +74,16 @@ def confirm(windows: DataFrame, key: str = "segment_id", needed: int = 2) -> Dat
         if state.hasTimedOut:
             state.remove()
             return
-        streak, told = pickle.loads(state.get[0]) if state.exists else ({}, set())
+        last, streak, told = pickle.loads(state.get[0]) if state.exists else (None, {}, set())
         out = []
         for r in pd.concat(list(frames)).sort_values("window_idx").itertuples():
-            streak = {p: streak.get(p, 0) + 1 for p in set(r.phrases)}
+            before = streak if r.window_idx - 1 == last else {}  # a window that is missing breaks a streak
+            last, streak = r.window_idx, {p: before.get(p, 0) + 1 for p in set(r.phrases)}
             for p in sorted(streak):
                 if streak[p] >= needed and p not in told:
                     told.add(p)
                     out.append((k[0], p, int(r.window_idx), streak[p]))
-        state.update((pickle.dumps((streak, told)),))
+        state.update((pickle.dumps((last, streak, told)),))
         state.setTimeoutDuration(FORGET_MS)
         yield pd.DataFrame(out, columns=[key, "phrase", "confirmed_at", "windows"])
 
