@@ -101,7 +101,9 @@ def score(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation
         (~blank & F.col("_sev").isin("HIGH", "CRITICAL")).alias("is_violation"), F.col("_matches").alias("matches"), F.array_compact(tags).alias("sources"), categories.alias("categories"),
         F.array_compact(F.array(factors)).alias("risk_factors"), (F.col(semantic_col)["reference"] if semantic_col else F.lit(None).cast("string")).alias("semantic_reference"),
         F.coalesce(F.get(categories, F.lit(0)).isin(policy.review_categories()), F.lit(False)).alias("review_only"))
-    return wide.withColumn("verdict", verdict).select(*df.columns, "verdict")
+    # a filter on the verdict must find it finished: pushed down, it would have everything above computed again in its
+    # condition. None is pushed below a generator on what that gives (and of an outer one nothing is inferred).
+    return wide.withColumn("_verdict", verdict).select(*df.columns, F.explode_outer(F.array("_verdict")).alias("verdict"))
 
 
 def analyze(df: DataFrame, policy: Policy, id_col: str, text_col: str, translation_col: str | None = None, language_col: str | None = None, max_chars: int = 4000) -> DataFrame:

@@ -134,12 +134,13 @@ _IBAN = r"\b[a-z]{2}\d{2}(?:\s?[a-z0-9]{4}){2,7}(?:\s?[a-z0-9]{1,4})?\b"
 _IPV4 = r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b"
 
 
-def _verdict() -> str:
-    """WITH ... v(doc_id, lang, source, keyword_score, pattern_score, threat_score, severity, is_violation, n_matches, categories, sources)."""
+def _verdict(documents: str | None = None) -> str:
+    """Of the documents, or of a query that stands for them: WITH ... v(doc_id, lang, source, keyword_score, pattern_score, threat_score, severity, is_violation, n_matches, categories, sources)."""
     rules = Policy.example().rules
     weights = ", ".join(f"({_text(k)}, {w}::DOUBLE, {_text(label)})" for k, (w, label) in rules.items())
     t = f"docs AS (SELECT doc_id AS id, {_folded('text')} AS folded FROM documents), t AS (SELECT id, folded, {_marks('folded')} AS normal FROM docs)"
-    return f"""WITH {_hits(t)}, {_similar(Policy.example())},
+    given = f"documents AS ({documents}), " if documents else ""
+    return f"""WITH {given}{_hits(t)}, {_similar(Policy.example())},
 {_runs("u AS (SELECT 1)")}, {_numbered()},
 rules(kind, weight, label) AS (VALUES {weights}),
 quads AS (SELECT id, unnest(list_distinct(regexp_extract_all(folded, '{_IPV4}'))) AS v FROM t),
@@ -178,6 +179,13 @@ def sql(spoken: Policy) -> dict[str, str]:
     """spoken: the policy of phrase_hits_fuzzy."""
     return {
         "norm_text": f"WITH {_NORMAL} SELECT id AS doc_id, sha256(normal) AS normal_sha256, CAST(length(normal) AS BIGINT) AS n_chars FROM t",
+        "norm_text_unicode": f"WITH {_NORMAL} SELECT id AS doc_id, normal, replace(normal, ' ', '') AS skeleton FROM t",
+        "second_opinion_upgrade": f"""WITH edge AS (SELECT conv_id, arg_min(text, turn) AS a, arg_max(text, turn) AS z FROM conversations GROUP BY conv_id),
+one AS ({_verdict("SELECT conv_id AS doc_id, a || ' token' AS text, NULL AS lang, NULL AS source FROM edge")} SELECT * FROM v),
+two AS ({_verdict("SELECT conv_id AS doc_id, z || CASE WHEN length(z) % 2 = 0 THEN ' access token' ELSE '' END AS text, NULL AS lang, NULL AS source FROM edge")} SELECT * FROM v),
+ranks(severity, r) AS (VALUES ('NONE', 0), ('LOW', 1), ('MEDIUM', 2), ('HIGH', 3), ('CRITICAL', 4))
+SELECT one.doc_id AS conv_id, one.severity AS severity_before, two.severity AS severity_after, two.threat_score FROM one JOIN two ON two.doc_id = one.doc_id JOIN ranks a ON a.severity = one.severity JOIN ranks b ON b.severity = two.severity
+WHERE one.severity <> 'CRITICAL' AND (one.threat_score >= 0.2 OR one.n_matches > 0) AND b.r > a.r AND two.is_violation""",
         "script_profile": r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{L}') THEN 'latin' ELSE 'none' END AS script, FALSE AS is_rtl FROM documents",
         "phrase_hits_exact": f"WITH {_hits(_NORMAL)} SELECT id AS doc_id, category, phrase, weight, lang FROM hits",
         "phrase_hits_ranked": f"WITH {_hits(_NORMAL)}, {_kept()} SELECT id AS doc_id, count(*) AS n_matches, max(weight) AS score, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM kept GROUP BY id",
