@@ -66,43 +66,78 @@ def allowed(n: int, floor: float) -> int:
     return best
 
 
+class _Pieces:
+    """Pieces of one length: (letters' codes, phrase, place there), found by slot."""
+
+    def __init__(self, size: int, base: int, pieces: list[tuple[np.ndarray, int, int]]) -> None:
+        self.size, self.base = size, base
+        packed = np.array([self.pack(codes)[0] for codes, _, _ in pieces], np.int64)
+        slots = self.slot(packed)
+        order = np.argsort(slots, kind="stable")
+        self.packed, self.phrase, self.place = packed[order], *(np.array([x[j] for x in pieces], np.int64)[order] for j in (1, 2))
+        self.starts = np.searchsorted(slots[order], np.arange((1 << SLOT_BITS) + 1))
+
+    def pack(self, codes: np.ndarray) -> np.ndarray:
+        """The letters from each place on, as one number."""
+        n = len(codes) - self.size + 1
+        out = codes[:n].copy()
+        for k in range(1, self.size):
+            out = out * self.base + codes[k : k + n]
+        return out
+
+    @staticmethod
+    def slot(packed: np.ndarray) -> np.ndarray:
+        return (packed.astype(np.uint64) * _SPREAD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, codes: np.ndarray, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces stand (at `where` only, if given), of which phrase, and where the phrase would begin."""
+        if len(codes) < self.size:
+            return (np.zeros(0, np.int64),) * 3
+        packed = self.pack(codes)
+        slots = self.slot(packed)
+        many = np.diff(self.starts)[slots]
+        at = np.flatnonzero(many if where is None else many * where[: len(many)])
+        many = many[at]
+        entry = np.repeat(self.starts[slots[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at = np.repeat(at, many)
+        good = self.packed[entry] == packed[at]
+        return at[good], self.phrase[entry[good]], at[good] - self.place[entry[good]]
+
+
 class PhraseIndex:
-    """Finds (text, phrase, similarity) for phrases given with the similarity that each must reach."""
+    """Finds (text, phrase, similarity) for phrases given with the similarity that each must reach.
+
+    Windows of a phrase's full length stand anywhere and allow few changes, so their pieces are long; shorter ones, which
+    allow more, only stand at a text's ends, and their short pieces are only looked for there."""
 
     def __init__(self, phrases: list[tuple[str, float]]) -> None:
         self.phrases = phrases
         letters = sorted({c for p, _ in phrases for c in p})
         self.code = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)  # the last entry stands for all code points above; 0: no phrase has it
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.base = len(letters) + 1
-        self.slack = np.array([allowed(len(p), f) for p, f in phrases], np.int64)
+        base = len(letters) + 1
+        longest_piece = max(PIECE, int(62 / np.log2(base + 1)))
         self.size = np.array([len(p) for p, _ in phrases], np.int64)
+        self.floor = np.array([f for _, f in phrases], np.float64)
         self.longest = int(self.size.max(initial=0))
-        pieces = []  # (trigram, phrase, its place there)
-        self.whole = []  # phrases of too few letters for pieces
-        self.bits = np.zeros((len(phrases), self.base), np.uint64)
-        for k, (p, _) in enumerate(phrases):
-            wanted = int(self.slack[k]) + 1
-            if wanted * PIECE > len(p) or len(p) > 64:
+        self.whole = []  # phrases of too few letters for pieces, or too many for a word of bits
+        self.bits = np.zeros((len(phrases), base), np.uint64)
+        #: by whether windows are clipped: how many letters may be lost or put in
+        self.slack = np.zeros((2, len(phrases)), np.int64)
+        pieces: list[dict[int, list]] = [{}, {}]
+        for k, (p, floor) in enumerate(phrases):
+            self.slack[:, k] = 2 * (len(p) - int(-(-floor * len(p) // 100))), allowed(len(p), floor)
+            if (self.slack[:, k].max() + 1) * PIECE > len(p) or len(p) > 64:
                 self.whole.append(k)
                 continue
             codes = self.code[[ord(c) for c in p]]
             for j, c in enumerate(codes.tolist()):
                 self.bits[k, c] |= np.uint64(1 << j)
-            step = len(p) // wanted
-            pieces += [(self._trigram(codes[at : at + PIECE])[0], k, at) for at in range(0, wanted * step, step)]
-        trigrams = np.array([t for t, _, _ in pieces], np.int64)
-        slots = self._slot(trigrams)
-        order = np.argsort(slots, kind="stable")
-        self.trigram, self.phrase, self.place = trigrams[order], *(np.array([x[j] for x in pieces], np.int64)[order] for j in (1, 2))
-        self.starts = np.searchsorted(slots[order], np.arange((1 << SLOT_BITS) + 1))
-
-    def _trigram(self, codes: np.ndarray) -> np.ndarray:
-        return (codes[:-2] * self.base + codes[1:-1]) * self.base + codes[2:]
-
-    @staticmethod
-    def _slot(trigrams: np.ndarray) -> np.ndarray:
-        return (trigrams.astype(np.uint64) * _SPREAD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            for clipped in (0, 1):
+                step = len(p) // (int(self.slack[clipped, k]) + 1)
+                size = PIECE if clipped else min(step, longest_piece)
+                pieces[clipped].setdefault(size, []).extend((codes[at : at + size], k, at) for at in range(0, step * (int(self.slack[clipped, k]) + 1), step))
+        self.tables = [[_Pieces(size, base, found) for size, found in some.items()] for some in pieces]
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
         """For each text the (phrase's number, similarity) that reach the phrase's floor, by phrase."""
@@ -127,32 +162,31 @@ class PhraseIndex:
         joined = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32)
         codes = self.code[np.minimum(joined, len(self.code) - 1)]
         first = np.cumsum([0] + [len(t) + 1 for t in texts])
-        if len(codes) < PIECE or not len(self.trigram):
-            return
-        trigrams = self._trigram(codes)
-        slots = self._slot(trigrams)
-        many = np.diff(self.starts)[slots]
-        at = np.flatnonzero(many)
-        many = many[at]
-        entry = np.repeat(self.starts[slots[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        at = np.repeat(at, many)
-        good = self.trigram[entry] == trigrams[at]
-        at, entry = at[good], entry[good]
-        phrase, anchor = self.phrase[entry], at - self.place[entry]
-        row = np.searchsorted(first, at, side="right") - 1
-        lo, hi = first[row], first[row + 1] - 1
-        fits = hi - lo >= self.size[phrase]  # shorter texts are compared above
-        keys, kept = np.unique(phrase[fits] * (len(codes) + 2 * self.longest) + anchor[fits] + self.longest, return_index=True)
-        phrase, anchor, row = phrase[fits][kept], anchor[fits][kept], row[fits][kept]
-        for some in np.array_split(np.argsort(self.size[phrase], kind="stable"), max(1, -(-len(keys) // TOGETHER))):
-            self._measure(texts, best, codes, first, phrase[some], anchor[some], row[some])
-
-    def _measure(self, texts: list[str], best: list[dict[int, float]], codes: np.ndarray, first: np.ndarray, phrase: np.ndarray, anchor: np.ndarray, row: np.ndarray) -> None:
-        lo, hi, n, slack = first[row], first[row + 1] - 1, self.size[phrase], self.slack[phrase]
-        floors = np.array([f for _, f in self.phrases])[phrase]
+        # letters that a clipped window can reach
+        reach, ends = 2 * self.longest, np.zeros(len(codes) + 1, np.int64)
+        for begin, end in ((first[:-1], np.minimum(first[:-1] + reach, first[1:] - 1)), (np.maximum(first[1:] - 1 - reach, first[:-1]), first[1:] - 1)):
+            np.add.at(ends, begin, 1)
+            np.add.at(ends, end, -1)
+        ends = np.cumsum(ends[:-1]) > 0
+        for clipped in (0, 1):
+            met = [t.find(codes, ends if clipped else None) for t in self.tables[clipped]]
+            if not met:
+                continue
+            at, phrase, anchor = (np.concatenate([m[j] for m in met]) for j in range(3))
+            row = np.searchsorted(first, at, side="right") - 1
+            lo, hi, n, slack = first[row], first[row + 1] - 1, self.size[phrase], self.slack[clipped][phrase]
+            fits = hi - lo >= n  # shorter texts are compared above
+            if clipped:
+                fits &= (anchor - slack < lo) | (anchor + n + slack > hi)
+            keys, kept = np.unique(phrase[fits] * (len(codes) + 2 * self.longest) + anchor[fits] + self.longest, return_index=True)
+            phrase, anchor, row = phrase[fits][kept], anchor[fits][kept], row[fits][kept]
+            for some in np.array_split(np.argsort(self.size[phrase], kind="stable"), max(1, -(-len(keys) // TOGETHER))):
+                self._measure(clipped, texts, best, codes, first, phrase[some], anchor[some], row[some])
+
+    def _measure(self, clipped: int, texts: list[str], best: list[dict[int, float]], codes: np.ndarray, first: np.ndarray, phrase: np.ndarray, anchor: np.ndarray, row: np.ndarray) -> None:
+        lo, hi, n, slack, floors = first[row], first[row + 1] - 1, self.size[phrase], self.slack[clipped][phrase], self.floor[phrase]
         begin, end = np.maximum(anchor - slack, lo), np.minimum(anchor + n + slack, hi)
-        clipped = (anchor - slack < lo) | (anchor + n + slack > hi)
-        smallest = np.where(clipped, np.ceil(floors * n / (200 - floors)), n)  # a clipped window of fewer letters can't reach the floor
+        smallest = np.ceil(floors * n / (200 - floors)) if clipped else n  # a clipped window of fewer letters can't reach the floor
         least = np.ceil(floors * (n + smallest) / 200).astype(np.int64)
         mask = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
         state, open_ = np.full(len(phrase), ~np.uint64(0)), np.arange(len(phrase))
