@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sottovoce.functions import audio, numbers, text
 from sottovoce.operators import audit, fusion, jumps, keywords, live, merkle, outbox, reporting, semantic, state
 from sottovoce.operators.fusion import quantised
-from sottovoce.sources.policy import EXAMPLE, Policy
+from sottovoce.sources.policy import EXAMPLE, Policy, reported, resolved, summarised
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -71,8 +71,10 @@ def ipv4_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iban_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = numbers.ibans(text.casefold_latin(F.col("text")))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("iban"))
+    """N6 on documents, of which every tenth asks to pay into an account (they hold none of their own)."""
+    account = F.format_string(" Pay to DE%02d 3704 0044 0532 %04d 00, or gb%02dwest1234569876%04d.", F.col("doc_id") % 90 + 10, F.col("doc_id") % 10_000, F.col("doc_id") % 80 + 11, F.col("doc_id") % 10_000)
+    asked = F.concat("text", F.when(F.col("doc_id") % 10 == 0, account).otherwise(F.lit("")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(numbers.ibans(text.casefold_latin(asked)))).alias("iban"))
     return rows.select("doc_id", "iban", numbers.mask(F.upper("iban")).alias("masked"))
 
 
@@ -234,12 +236,19 @@ def outbox_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.stats(_outbox(spark, sf_dir))
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy entries that stand for benchmark items: the first two words of each, so that some have equal keys."""
+    b = read(spark, sf_dir, "benchmark")
+    words = F.array_join(F.slice(F.split(F.col("text"), " "), 1, 2), " ")
+    return b.select(F.concat(F.lit("topic "), F.col("item_id") % 4).alias("category"), F.when(F.col("item_id") % 3 == 0, "fr").otherwise("en").alias("lang"), words.alias("text"), ((F.col("item_id") % 7 + 1) / 8.0).alias("weight"), F.col("item_id").alias("ord"))
+
+
 def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Policy.example().summary(spark)
+    return summarised(resolved(_entries(spark, sf_dir), latin=True))
 
 
 def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Policy.example().report(spark)
+    return reported(resolved(_entries(spark, sf_dir), latin=True))
 
 
 def detector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,9 @@ state AS (SELECT id, CASE WHEN tried AND NOT ok THEN 1 ELSE 0 END AS attempts, C
   tried AND ok AS delivered, CASE WHEN tried AND NOT ok THEN 'failed ' || id END AS last_error FROM box)"""
 
 
+_ACCOUNT = """text || CASE WHEN doc_id % 10 = 0 THEN format(' Pay to DE{:02d} 3704 0044 0532 {:04d} 00, or gb{:02d}west1234569876{:04d}.', doc_id % 90 + 10, doc_id % 10000, doc_id % 80 + 11, doc_id % 10000) ELSE '' END"""
+_ENTRIES = f"""e AS (SELECT 'topic ' || (item_id % 4) AS category, CASE WHEN item_id % 3 = 0 THEN 'fr' ELSE 'en' END AS lang, array_to_string(string_split(text, ' ')[1:2], ' ') AS text, (item_id % 7 + 1) / 8.0::DOUBLE AS weight, item_id FROM benchmark),
+k AS (SELECT *, {_marks(_folded('text'))} AS key FROM e), policy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY weight DESC, item_id) AS r FROM k WHERE key <> '') WHERE r = 1)"""
 _TREES = """RECURSIVE o AS (SELECT o_orderkey AS id, o_orderkey // 1000 AS batch, epoch_us(o_orderdate) AS us, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS pos FROM orders),
 leaf AS (SELECT batch, pos, sha256('leaf|alert|' || id || '|' || us || '|' || sha256(length(CAST(id AS VARCHAR)) || ':' || id || ',' || length(p) || ':' || p || ',' || length(s) || ':' || s) || '|') AS h, count(*) OVER (PARTITION BY batch) AS n FROM o),
 tree(batch, lev, pos, h, width) AS (SELECT batch, CAST(0 AS BIGINT), pos, h, n FROM leaf UNION ALL
@@ -192,7 +195,7 @@ WHERE one.severity <> 'CRITICAL' AND (one.threat_score >= 0.2 OR one.n_matches >
         "phrase_hits_fuzzy": f"""WITH {_hits(f"docs AS (SELECT conv_id || '-' || turn AS id, {_folded('text')} AS folded FROM conversations), t AS (SELECT id, {_marks('folded')} AS normal FROM docs)", spoken)}, {_similar(spoken)}
 SELECT id, category, phrase, weight, match, similarity FROM words""",
         "ipv4_hits": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all({_folded('text')}, '{_IPV4}'))) AS ip FROM documents",
-        "iban_hits": f"SELECT doc_id, iban, {_mask('upper(iban)')} AS masked FROM (SELECT DISTINCT doc_id, replace(v, ' ', '') AS iban FROM (SELECT doc_id, unnest(regexp_extract_all({_folded('text')}, '{_IBAN}')) AS v FROM documents)) WHERE length(iban) BETWEEN 15 AND 34 AND length(regexp_replace(iban, '[^0-9]', '', 'g')) >= 10",
+        "iban_hits": f"SELECT doc_id, iban, {_mask('upper(iban)')} AS masked FROM (SELECT DISTINCT doc_id, replace(v, ' ', '') AS iban FROM (SELECT doc_id, unnest(regexp_extract_all({_folded(_ACCOUNT)}, '{_IBAN}')) AS v FROM documents)) WHERE length(iban) BETWEEN 15 AND 34 AND length(regexp_replace(iban, '[^0-9]', '', 'g')) >= 10",
         "digit_runs_classified": f"WITH {_runs(_FOLDED)}, {_numbered()} SELECT id AS doc_id, run, kind, luhn_ok FROM kinds",
         "masked_values": f"WITH {_runs(_FOLDED)} SELECT id AS doc_id, {_mask('run')} AS masked, CAST(length(run) AS BIGINT) AS n FROM (SELECT DISTINCT id, run FROM runs)",
         "verdict_fused": f"{_verdict()} SELECT doc_id, keyword_score, pattern_score, threat_score, severity, is_violation, n_matches, categories, sources FROM v",
@@ -230,8 +233,8 @@ SELECT endpoint, seq, CASE WHEN id % 12 = 0 THEN 'missing row' ELSE 'edited row'
         "transcript_minimised": "SELECT conv_id, turn, substr(sha256(coalesce(text, '')), 1, 16) AS transcript_hash, CAST(NULL AS VARCHAR) AS text FROM conversations",
         "outbox_due": f"WITH {_OUTBOX} SELECT id, CAST(attempts AS BIGINT) AS attempts FROM state WHERE NOT delivered AND next_attempt <= {_AS_OF} ORDER BY id LIMIT 20",
         "outbox_stats": f"WITH {_OUTBOX} SELECT count(*) FILTER (NOT delivered) AS pending, count(*) FILTER (delivered) AS delivered, arg_max(last_error, id) FILTER (last_error IS NOT NULL) AS last_error FROM state",
-        "policy_summary": f"WITH {_phrases()} SELECT count(*) AS phrases, count(DISTINCT category) AS categories, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM policy",
-        "policy_report": f"WITH {_phrases()} SELECT category, lang, count(*) AS phrases, max(weight) AS max_weight, string_agg(phrase, '|' ORDER BY phrase) AS texts FROM policy GROUP BY category, lang",
+        "policy_summary": f"WITH {_ENTRIES} SELECT count(*) AS phrases, count(DISTINCT category) AS categories, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM policy",
+        "policy_report": f"WITH {_ENTRIES} SELECT category, lang, count(*) AS phrases, max(weight) AS max_weight, string_agg(text, '|' ORDER BY text) AS texts FROM policy GROUP BY category, lang",
         "detector_quality": f"{_verdict()} SELECT l.toxic, contains(v.categories, 'safety_threats') AS hit, count(*) AS n FROM v JOIN labels l ON l.doc_id = v.doc_id GROUP BY 1, 2",
         "noise_floor": f"""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT user_id, {_q("sum(value * power(0.99::DOUBLE, n - i) * CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END)")} AS "floor" FROM s GROUP BY user_id""",

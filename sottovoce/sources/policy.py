@@ -100,19 +100,15 @@ class Policy:
         return out
 
     def phrases(self, spark: SparkSession) -> DataFrame:
-        """category, lang, text, weight, ord, key (normal form), skeleton; of equal keys the heaviest, then the first (K2)."""
+        """resolved() of the policy's own phrases."""
         rows = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(e, ("category", "lang", "text", "weight", "ord"), strict=True)]) for e in self.entries()])
-        table = spark.range(1).select(F.inline(rows)).withColumn("key", normalize(F.col("text"))).where("key <> ''")
-        first = F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "ord"))
-        return table.withColumn("_r", first).where("_r = 1").drop("_r").withColumn("skeleton", skeleton(F.col("key")))
+        return resolved(spark.range(1).select(F.inline(rows)))
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        """One row of phrases, categories, languages."""
-        return self.phrases(spark).agg(F.count(F.lit(1)).alias("phrases"), F.countDistinct("category").alias("categories"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("languages"))
+        return summarised(self.phrases(spark))
 
     def report(self, spark: SparkSession) -> DataFrame:
-        """Phrases by category and language."""
-        return self.phrases(spark).groupBy("category", "lang").agg(F.count(F.lit(1)).alias("phrases"), F.max("weight").alias("max_weight"), F.array_join(F.sort_array(F.collect_list("text")), "|").alias("texts"))
+        return reported(self.phrases(spark))
 
     def review_categories(self) -> list[str]:
         return self.raw.get("review_categories", ["safety_threats"])
@@ -121,3 +117,20 @@ class Policy:
         """F5."""
         b = self.bands
         return F.when(score >= b["critical"], "CRITICAL").when(score >= b["high"], "HIGH").when(score >= b["medium"], "MEDIUM").when(score >= b["low"], "LOW").otherwise("NONE")
+
+
+def resolved(entries: DataFrame, latin: bool = False) -> DataFrame:
+    """entries (category, lang, text, weight, ord) with key (normal form) and skeleton; of equal keys the heaviest, then the first (K2); without those of no key."""
+    table = entries.withColumn("key", normalize(F.col("text"), latin)).where("key <> ''")
+    first = F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "ord"))
+    return table.withColumn("_r", first).where("_r = 1").drop("_r").withColumn("skeleton", skeleton(F.col("key")))
+
+
+def summarised(phrases: DataFrame) -> DataFrame:
+    """One row of phrases, categories, languages."""
+    return phrases.agg(F.count(F.lit(1)).alias("phrases"), F.countDistinct("category").alias("categories"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("languages"))
+
+
+def reported(phrases: DataFrame) -> DataFrame:
+    """Phrases by category and language; as many texts meet as a policy has."""
+    return phrases.groupBy("category", "lang").agg(F.count(F.lit(1)).alias("phrases"), F.max("weight").alias("max_weight"), F.array_join(F.sort_array(F.collect_list("text")), "|").alias("texts"))
