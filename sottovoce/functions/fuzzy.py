@@ -3,8 +3,9 @@
 `partial_ratio` says what is meant, for one pair. `PhraseIndex` finds the same for many phrases in a batch of texts:
 where a phrase is similar enough, so few letters are lost or put in that one of its disjoint pieces of three letters
 stands there untouched. So the pieces are kept in an inverted index, all texts' trigrams probe it at once, and only
-around the places that hit are subsequences measured: first, for all places together, in bits of one array, a window
-wide enough to hold every alignment, which bounds them all; then, for the few that are left, each alignment."""
+around the places that hit are subsequences measured. A window wide enough to hold every alignment bounds them all: first
+by the letters that it shares with the phrase, from running tallies, then by its subsequence, for all places together in
+bits of one array. For the few that are left each alignment is measured."""
 
 from __future__ import annotations
 
@@ -13,9 +14,7 @@ from collections import Counter
 import numpy as np
 
 #: Letters of a piece; slots of the index, by bits; places measured together; letters of texts in a block.
-PIECE, SLOT_BITS, TOGETHER, BLOCK = 3, 16, 1 << 16, 1 << 20
-#: Steps of a measurement after which places without hope are left out.
-CHECKED = 4
+PIECE, SLOT_BITS, TOGETHER, BLOCK = 3, 16, 1 << 16, 1 << 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,21 +121,29 @@ class PhraseIndex:
         self.longest = int(self.size.max(initial=0))
         self.whole = []  # phrases of too few letters for pieces, or too many for a word of bits
         self.bits = np.zeros((len(phrases), base), np.uint64)
-        #: by whether windows are clipped: how many letters may be lost or put in
-        self.slack = np.zeros((2, len(phrases)), np.int64)
+        #: by whether windows are clipped: how many letters may be lost or put in, and how far a window may begin from where its piece
+        #: has it (a window of full length takes as many in as it loses, so half as far)
+        self.edits, self.slack = np.zeros((2, len(phrases)), np.int64), np.zeros((2, len(phrases)), np.int64)
         pieces: list[dict[int, list]] = [{}, {}]
         for k, (p, floor) in enumerate(phrases):
-            self.slack[:, k] = 2 * (len(p) - int(-(-floor * len(p) // 100))), allowed(len(p), floor)
-            if (self.slack[:, k].max() + 1) * PIECE > len(p) or len(p) > 64:
+            lost = len(p) - int(-(-floor * len(p) // 100))
+            self.edits[:, k], self.slack[:, k] = (2 * lost, allowed(len(p), floor)), (lost, allowed(len(p), floor))
+            if (self.edits[:, k].max() + 1) * PIECE > len(p) or len(p) > 64:
                 self.whole.append(k)
                 continue
             codes = self.code[[ord(c) for c in p]]
             for j, c in enumerate(codes.tolist()):
                 self.bits[k, c] |= np.uint64(1 << j)
             for clipped in (0, 1):
-                step = len(p) // (int(self.slack[clipped, k]) + 1)
+                wanted = int(self.edits[clipped, k]) + 1
+                step = len(p) // wanted
                 size = PIECE if clipped else min(step, longest_piece)
-                pieces[clipped].setdefault(size, []).extend((codes[at : at + size], k, at) for at in range(0, step * (int(self.slack[clipped, k]) + 1), step))
+                pieces[clipped].setdefault(size, []).extend((codes[at : at + size], k, at) for at in range(0, step * wanted, step))
+        tables = [Counter(self.code[[ord(c) for c in p]].tolist()) for p, _ in phrases]
+        self.kinds = np.array([len(t) for t in tables], np.int64)
+        self.letters, self.needed = (np.zeros((len(phrases), int(self.kinds.max(initial=0))), np.int64) for _ in range(2))
+        for k, t in enumerate(tables):
+            self.letters[k, : len(t)], self.needed[k, : len(t)] = list(t), list(t.values())
         self.tables = [[_Pieces(size, base, found) for size, found in some.items()] for some in pieces]
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
@@ -162,6 +169,11 @@ class PhraseIndex:
         joined = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32)
         codes = self.code[np.minimum(joined, len(self.code) - 1)]
         first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        tallies = np.zeros((self.bits.shape[1], len(codes) + 1), np.int32)  # how often each letter stood before each place
+        tallies[codes, np.arange(1, len(codes) + 1)] = 1
+        np.cumsum(tallies, axis=1, out=tallies)
+        rare = np.argsort(np.where(self.needed > 0, tallies[self.letters, -1], len(codes) + 1), axis=1, kind="stable")  # a phrase's rarest letters first
+        letters, needed = np.take_along_axis(self.letters, rare, 1), np.take_along_axis(self.needed, rare, 1)
         # letters that a clipped window can reach
         reach, ends = 2 * self.longest, np.zeros(len(codes) + 1, np.int64)
         for begin, end in ((first[:-1], np.minimum(first[:-1] + reach, first[1:] - 1)), (np.maximum(first[1:] - 1 - reach, first[:-1]), first[1:] - 1)):
@@ -181,25 +193,30 @@ class PhraseIndex:
             keys, kept = np.unique(phrase[fits] * (len(codes) + 2 * self.longest) + anchor[fits] + self.longest, return_index=True)
             phrase, anchor, row = phrase[fits][kept], anchor[fits][kept], row[fits][kept]
             for some in np.array_split(np.argsort(self.size[phrase], kind="stable"), max(1, -(-len(keys) // TOGETHER))):
-                self._measure(clipped, texts, best, codes, first, phrase[some], anchor[some], row[some])
+                self._measure(clipped, texts, best, codes, tallies, letters, needed, first, phrase[some], anchor[some], row[some])
 
-    def _measure(self, clipped: int, texts: list[str], best: list[dict[int, float]], codes: np.ndarray, first: np.ndarray, phrase: np.ndarray, anchor: np.ndarray, row: np.ndarray) -> None:
+    def _measure(self, clipped: int, texts: list[str], best: list[dict[int, float]], codes: np.ndarray, tallies: np.ndarray, letters: np.ndarray, needed: np.ndarray, first: np.ndarray, phrase: np.ndarray, anchor: np.ndarray, row: np.ndarray) -> None:
         lo, hi, n, slack, floors = first[row], first[row + 1] - 1, self.size[phrase], self.slack[clipped][phrase], self.floor[phrase]
         begin, end = np.maximum(anchor - slack, lo), np.minimum(anchor + n + slack, hi)
         smallest = np.ceil(floors * n / (200 - floors)) if clipped else n  # a clipped window of fewer letters can't reach the floor
         least = np.ceil(floors * (n + smallest) / 200).astype(np.int64)
-        mask = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
-        state, open_ = np.full(len(phrase), ~np.uint64(0)), np.arange(len(phrase))
-        which, place = phrase, begin.copy()
-        common = lambda: n[open_] - np.bitwise_count(state & mask[open_]).astype(np.int64)
-        for t in range(int((end - begin).max(initial=0))):
-            if t and t % CHECKED == 0:  # those that even all letters to come would not save are out
-                alive = common() + np.maximum(end[open_] - place, 0) >= least[open_]
-                state, open_, which, place = state[alive], open_[alive], which[alive], place[alive]
-            hit = state & self.bits[which, np.where(place < end[open_], codes[np.minimum(place, len(codes) - 1)], 0)]
+        # no subsequence is longer than the letters that both have: those that lack too many are out, after a few letters mostly
+        open_, lacking = np.arange(len(phrase)), np.zeros(len(phrase), np.int64)
+        which, b, e, spare = phrase, begin, end, n - least
+        for j in range(letters.shape[1]):
+            letter = letters[which, j]
+            lacking += np.maximum(needed[which, j] - (tallies[letter, e] - tallies[letter, b]), 0)
+            if j < 8 or j + 1 == letters.shape[1]:
+                alive = np.flatnonzero(lacking <= spare)
+                open_, lacking, which, b, e, spare = open_[alive], lacking[alive], which[alive], b[alive], e[alive], spare[alive]
+        n_, least_, end_, which, place = n[open_], least[open_], end[open_], phrase[open_], begin[open_]
+        mask = np.where(n_ == 64, ~np.uint64(0), (np.uint64(1) << (n_ % 64).astype(np.uint64)) - np.uint64(1))
+        state = np.full(len(open_), ~np.uint64(0))
+        for _ in range(int((end_ - place).max(initial=0))):
+            hit = state & self.bits[which, np.where(place < end_, codes[np.minimum(place, len(codes) - 1)], 0)]
             state = (state + hit) | (state - hit)
             place += 1
-        for c in open_[common() >= least[open_]]:
+        for c in open_[n_ - np.bitwise_count(state & mask).astype(np.int64) >= least_]:
             k, r, size = int(phrase[c]), int(row[c]), int(n[c])
             word, floor = self.phrases[k]
             text, most = texts[r], len(texts[r])
