@@ -10,5 +10,5 @@ def plan(df):
 
 
 def test_hits_are_computed_once(spark):
-    for query in (catalogue.early_warnings, catalogue.phrase_hits_ranked):
+    for query in (catalogue.early_warnings, catalogue.phrase_hits_ranked, catalogue.phrase_hits_exact):
         assert plan(query(spark, SF)).count("split(") == 1, query.__name__
