@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sottovoce.operators.fusion import candidates, score, upgraded
+from sottovoce.operators.fusion import FOUND, candidates, score, upgraded
 from sottovoce.sources.policy import Policy
 
 #: Samples of a chunk, of a spotting window, and by which a segment grows between two windows.
@@ -66,9 +66,9 @@ def translated(df: DataFrame, policy: Policy, id_col: str, text_col: str, transl
 
     translate gets null for the others and must give null for it: Spark runs a Python function on every row below a
     condition, so the condition has to be in its input."""
-    alone = score(df, policy, id_col, text_col, **options)
+    alone = score(df, policy, id_col, text_col, keep=True, **options)
     asked = translate(F.when(F.col("verdict.severity") != "CRITICAL", F.col(text_col)))
-    return score(alone.withColumn("_translation", asked).drop("verdict"), policy, id_col, text_col, translation_col="_translation", **options).drop("_translation")
+    return score(alone.withColumn("_translation", asked).drop("verdict"), policy, id_col, text_col, translation_col="_translation", known=True, **options).drop("_translation", *FOUND)
 
 
 def heard_again(first: DataFrame, second: DataFrame, policy: Policy, key: str, text_col: str = "text", latin: bool = False) -> DataFrame:

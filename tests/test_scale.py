@@ -5,7 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from sottovoce.functions import text
+from sottovoce.functions import numbers, text
 from sottovoce.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,21 @@ def test_a_script_is_found_in_one_pass_over_a_text(spark):
 
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.dominant_script(F.col("t")).alias("s")).collect()
     assert [(r["t"], r["s"]) for r in got if r["s"] != slow(r["t"])] == []
+
+
+def test_a_translated_text_is_looked_through_once(spark):
+    assert plan(catalogue.translated_verdicts(spark, SF)).count("near(") == 2  # one each for the text and its translation
+
+
+def test_what_is_folded_once_is_what_was_folded_thrice(spark):
+    rng = random.Random(3)
+    pieces = ["one", "Dot", "do", ".", "'", " ", "1.2.3.4", "\uE000", "é.", "…", "\n", "seven", "DE12 3456 7890 1234 56", "٣", "no", "d'ot", "12345", "triple", ","]
+    df = spark.createDataFrame([("".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(14))),) for _ in range(2000)], "t string")
+    f, fold = F.col("f"), text.fold_marks
+    df = df.select(text.casefold_latin(F.col("t")).alias("f")).withColumn("m", numbers.dotted(f, fold))
+    df = df.withColumn("s", numbers.spelled(f, F.col("m"), fold)).select(
+        "f", numbers.undotted(f, F.col("m"), fold).alias("normal"), fold(f).alias("normal_"), numbers.long_runs(f, fold).alias("runs_"), numbers.quads(f, fold).alias("quads_"),
+        numbers.long_runs_in(f, F.col("s"), numbers.written_ipv4(f), numbers.account_shapes(f), fold).alias("runs"), F.array_union(numbers.written_ipv4(f), numbers.spoken_ipv4(F.col("s"))).alias("quads"))
+    got = df.collect()
+    assert all((r["normal"], r["runs"], r["quads"]) == (r["normal_"], r["runs_"], r["quads_"]) for r in got)
+    assert any(r["runs"] for r in got) and any(r["quads"] for r in got)
