@@ -83,21 +83,24 @@ def heads(nodes: DataFrame, before: DataFrame | None = None) -> DataFrame:
 def proofs(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """For wanted leaves (batch, pos): batch, pos, leaf and proof, the array (from below) of the siblings of each level, own
     place among them included as null."""
-    own = F.explode(F.sequence(F.lit(0), F.col("height") - 1))
-    heights = nodes.groupBy("batch").agg(F.max("level").alias("height"))
-    leaf = nodes.where("level = 0").select("batch", "pos", F.col("hash").alias("leaf"))
-    asked = wanted.select("batch", "pos").distinct().join(heights, "batch").join(leaf, ["batch", "pos"])
-    steps = asked.where("height > 0").select("batch", F.col("pos").alias("leaf_pos"), own.alias("level"))
-    # the place of a leaf's ancestor at a level; its siblings share the place above
-    at = F.floor(F.col("leaf_pos") / F.pow(F.lit(float(FANOUT)), F.col("level"))).cast("bigint")
-    steps = steps.withColumn("at", at).withColumn("above", F.floor(F.col("at") / FANOUT))
-    family = nodes.where("width > 1").select("batch", "level", F.floor(F.col("pos") / FANOUT).alias("above"), "pos", "hash")
-    family = family.groupBy("batch", "level", "above").agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("c"))
-    met = steps.join(family, ["batch", "level", "above"])
-    siblings = F.transform("c", lambda x: F.when(x["pos"] != F.col("at"), x["hash"]))
-    listed = met.groupBy("batch", F.col("leaf_pos").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("level", siblings.alias("siblings")))).alias("p"))
-    none = F.array().cast("array<array<string>>")
-    return asked.join(listed, ["batch", "pos"], "left").select("batch", "pos", "leaf", F.coalesce(F.transform("p", lambda x: x["siblings"]), none).alias("proof"))
+    def masked(c: Column, own: Column) -> Column:
+        return F.transform(c, lambda x: F.when(x["pos"] != own, x["hash"]))
+
+    family = nodes.where("width > 1").groupBy("batch", "level", F.floor(F.col("pos") / FANOUT).alias("pos")).agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("c"))
+    family, none = checkpointed(family), F.array().cast("array<array<string>>")
+    above = None
+    # from the top down: siblings share what lies above them, so it moves once for each family, and reaches leaves only in the end
+    for level in range(family.agg(F.max("level")).head()[0] or 0, -1, -1):
+        here = family.where(F.col("level") == level).select("batch", "pos", "c")
+        here = here.withColumn("up", none) if above is None else here.join(above, ["batch", "pos"], "left").withColumn("up", F.coalesce("up", none))
+        if level:
+            above = here.select("batch", "up", "c", F.explode_outer("c").alias("m")).select("batch", F.col("m.pos").alias("pos"), F.concat(F.array(masked(F.col("c"), F.col("m.pos"))), F.col("up")).alias("up"))
+    alone = nodes.where("level = 0 and width = 1").select("batch", F.lit(0).cast("bigint").alias("pos"), F.array(F.struct("pos", "hash")).alias("c"), F.lit(None).cast("array<array<string>>").alias("up"))
+    asked = wanted.select("batch", F.col("pos").alias("own"), F.floor(F.col("pos") / FANOUT).alias("pos")).distinct()
+    met = asked.join(here.unionByName(alone), ["batch", "pos"])
+    leaf = F.get(F.filter("c", lambda x: x["pos"] == F.col("own")), F.lit(0))["hash"]
+    proof = F.when(F.col("up").isNull(), none).otherwise(F.concat(F.array(masked(F.col("c"), F.col("own"))), F.col("up")))
+    return met.select("batch", F.col("own").alias("pos"), leaf.alias("leaf"), proof.alias("proof")).where("leaf is not null")
 
 
 def proven_root(leaf: Column, proof: Column) -> Column:

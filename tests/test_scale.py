@@ -6,6 +6,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from sottovoce.functions import numbers, text
+from sottovoce.operators import jumps, merkle, rounds
 from sottovoce.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,24 @@ def test_what_is_folded_once_is_what_was_folded_thrice(spark):
     got = df.collect()
     assert all((r["normal"], r["runs"], r["quads"]) == (r["normal_"], r["runs_"], r["quads_"]) for r in got)
     assert any(r["runs"] for r in got) and any(r["quads"] for r in got)
+
+
+def test_families_meet_leaves_only_in_the_end(spark):
+    leaves, _ = catalogue._leaves(spark, SF)
+    found = merkle.proofs(merkle.forest(leaves), leaves)
+    assert plan(found).count("collect_list") == 0  # no siblings are listed anew for every leaf
+
+
+def test_rounds_of_pointers_send_nothing_to_the_driver(spark, monkeypatch):
+    plans, was = [], jumps.checkpointed
+    monkeypatch.setattr(jumps, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or was(df))
+    plans.append(catalogue.event_cooldown(spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_few_blocks_are_held_at_a_time(spark, monkeypatch):
+    key, seen, was = "spark.sql.execution.arrow.maxRecordsPerBatch", [], rounds.checkpointed
+    before = spark.conf.get(key)
+    monkeypatch.setattr(rounds, "checkpointed", lambda df: seen.append(int(spark.conf.get(key))) or was(df))
+    catalogue.environment_events(spark, SF)
+    assert min(seen) * rounds.BLOCK <= rounds.TOGETHER and spark.conf.get(key) == before
