@@ -36,14 +36,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def reached(nodes: DataFrame, key: list[str]) -> DataFrame:
-    """Of nodes (key, at, nxt: the node they lead to, or null; start) those that are a start or are led to: key and at."""
+    """Of nodes (key, at, nxt: the node they lead to, or null; start) those that are a start or are led to: key and at.
+
+    Joins here are merges: rows of small numbers take far less room in a file than in memory, so a broadcast, of which one
+    a round passes through the driver, would be of many times the size that its file promises."""
     jump = checkpointed(nodes.select(*key, "at", "nxt", "start"))
     seen, jump = jump.where("start").select(*key, "at"), jump.where("nxt is not null").select(*key, "at", "nxt")
     while jump.head(1):
-        led = seen.join(jump, [*key, "at"]).select(*key, F.col("nxt").alias("at"))
+        led = seen.join(jump.hint("merge"), [*key, "at"]).select(*key, F.col("nxt").alias("at"))
         seen = checkpointed(seen.union(led).distinct())
         on = jump.select(*key, F.col("at").alias("nxt"), F.col("nxt").alias("far"))
-        jump = checkpointed(jump.join(on, [*key, "nxt"]).select(*key, "at", F.col("far").alias("nxt")))
+        jump = checkpointed(jump.join(on.hint("merge"), [*key, "nxt"]).select(*key, "at", F.col("far").alias("nxt")))
     return seen
 
 
@@ -69,7 +72,7 @@ def spaced(events: DataFrame, key: list[str], ts: str, order: str, gap_seconds:
     probes = rows.select(*key, (F.col("_us") + int(gap_seconds * 1e6)).alias("_us"), "at")
     led = first_from(rows.withColumnRenamed("at", "_to"), probes, key, "_us", ["_to"], "_n")
     chosen = reached(led.select(*key, "at", F.col("_n._to").alias("nxt"), (F.col("at") == 1).alias("start")), key)
-    return numbered.join(chosen.withColumnRenamed("at", "_at"), [*key, "_at"], "left_semi").select(*events.columns)
+    return numbered.join(chosen.withColumnRenamed("at", "_at").hint("merge"), [*key, "_at"], "left_semi").select(*events.columns)
 
 
 def forced_segments(chunks: DataFrame, key: str, pre: int, hang: int, least: int, most: int, keep: int) -> DataFrame:
