@@ -18,6 +18,8 @@ HOT_SLICES = 1000
 MIN_HOT_ROWS = 256
 #: Tables of so few rows are joined as they are: one task may hold all of them.
 SMALL_ROWS = 50_000
+#: Tables of so few rows are written to a file for each FILE_ROWS, however many tasks they come from.
+FEW_ROWS, FILE_ROWS = 1 << 17, 1 << 12
 
 
 def ascii_lower(text: Column) -> Column:
@@ -56,9 +58,14 @@ def clear_of(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[str], Col
     return df.withColumnsRenamed(renamed) if renamed else df, lambda c: F.col(f"`{now.get(c, c)}`")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back."""
+def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
+
+    most: the rows that df has at most, if known. A file takes longer to write than a few rows to move, so few rows are
+    dealt to few files first; what they are computed by keeps its tasks."""
     path = shared_path(df.sparkSession, name)
+    if most is not None and most <= FEW_ROWS:
+        df = df.repartition(max(-(-most // FILE_ROWS), 1))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -81,7 +88,7 @@ def hot_keys(counted: DataFrame, on: str) -> DataFrame | None:
         return None
     share = max(rows // HOT_SLICES, MIN_HOT_ROWS)
     hot = counted.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
-    hot = materialise(hot.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_n")), "hot")
+    hot = materialise(hot.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_n")), "hot", HOT_SLICES)
     return hot if hot.head(1) else None
 
 
@@ -126,7 +133,7 @@ def flagged(df: DataFrame, key: str, needed: DataFrame, flag: str = "_maybe", mo
     listed = F.map_from_entries(F.collect_list(F.struct((F.col("w") % (ROW_BITS // 64)).cast("int"), "b")))
     rows = words.groupBy(F.floor(F.col("w") * 64 / ROW_BITS).cast("int").alias("_row")).agg(listed.alias("m"))  # at most 64 words each
     rows = rows.select("_row", F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("_words"))
-    found = df.withColumn("_row", F.floor(spot(key) / ROW_BITS).cast("int")).join(F.broadcast(materialise(rows, "bitmap")), "_row", "left")
+    found = df.withColumn("_row", F.floor(spot(key) / ROW_BITS).cast("int")).join(F.broadcast(materialise(rows, "bitmap", bits // ROW_BITS)), "_row", "left")
     word = F.get("_words", (F.floor(spot(key) / 64) % (ROW_BITS // 64)).cast("int"))
     hit = F.getbit(word, F.expr(f"cast(pmod(xxhash64(cast(`{key}` as bigint)), 64) as int)")) == 1
     return found.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_row", "_words")

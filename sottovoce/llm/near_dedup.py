@@ -44,6 +44,8 @@ BLOCK, PAIRS = 256, 1 << 20
 #: Binary logarithms of the fewest and the most cells (a byte each, so at most 16 MB) in which shingles are counted to tell which are rare;
 #: cells that are packed together, and parts in which a pack's counts are added up first.
 LEAST_CELLS, MOST_CELLS, CELL_CHUNK, CELL_SALTS = 16, 24, 1 << 16, 64
+#: Packs of counts that the driver takes at once (at most 5 MB).
+CHUNKS = 8
 
 _WORD = vectext.spaced((0x20, 0x20), (0x09, 0x0D))
 _RNG = np.random.default_rng(977)
@@ -139,16 +141,17 @@ def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.
     return pd.Series(jaccard((x > y).sum(1), (x < y).sum(1), n_a.to_numpy(float), n_b.to_numpy(float)))
 
 
-def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     """A row (row, text_id, text) for each needed row, and some more: documents are picked by a bitmap of fixed size over
-    the hashes of the needed ones. Different documents may share a hash; the id tells them apart."""
+    the hashes of the needed ones. Different documents may share a hash; the id tells them apart. most: rows of docs, at most."""
     text = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
     picked = maybe_in(text, "row", needed)
-    return materialise(picked.dropDuplicates(["row", "text_id"]), "texts")
+    return materialise(picked.dropDuplicates(["row", "text_id"]), "texts", most)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Of the node pairs (a, b), those whose full sets reach the threshold."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, most: int) -> DataFrame:
+    """Of the node pairs (a, b), those whose full sets reach the threshold. most: rows of docs, at most."""
+    n_pairs = pairs.count()
     estimate = F.pandas_udf(_estimate, "double")
     named = pairs.select(F.col("a").alias("x")).union(pairs.select("b"))
     about = materialise(maybe_in(nodes.select("node", "registers", "n", "row", "id"), "node", named), "about")
@@ -156,9 +159,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     # size alone rules a pair out at once; registers rule out most others
     sized = skew_join(skew_join(pairs, side["b"], "b"), side["a"], "a", counted=pairs).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = sized.where(estimate("registers_a", "registers_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b", "row_a", "id_a", "row_b", "id_b")
-    likely = materialise(likely, "likely")
+    likely = materialise(likely, "likely", n_pairs)
     discard(about)
-    texts = _texts(docs, likely.select(F.col("row_a").alias("row")).union(likely.select("row_b")), id_col, text_col)
+    texts = _texts(docs, likely.select(F.col("row_a").alias("row")).union(likely.select("row_b")), id_col, text_col, most)
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     of = {s: texts.select(F.col("row").alias(f"row_{s}"), F.col("text_id").alias(f"text_id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
     own = lambda s: F.col(f"id_{s}").eqNullSafe(F.col(f"text_id_{s}"))
     both = skew_join(skew_join(likely, of["b"], "row_b").where(own("b")), of["a"], "row_a", counted=likely).where(own("a"))
-    found = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    found = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links", n_pairs)
     discard(texts)
     discard(likely)
     return found
@@ -184,16 +187,17 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """A row per linked node: node, label (the smallest node it reaches). Rounds of taking the neighbours' smallest label
     and then the label's label; each is written out. After a given number of rounds, labels are nodes of the same
     component, though it may still have several."""
-    edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v"), "edges")
-    labels = materialise(edges.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("label")), "labels")
+    most = 2 * links.count()
+    edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v"), "edges", most)
+    labels = materialise(edges.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("label")), "labels", most)
     hot = hot_keys(edges, "v")
     done = False
     while not done:
         near = skew_join(edges, labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v", hot=hot).groupBy("u").agg(F.min("l").alias("l"))
         lower = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("mid"))
-        lower = materialise(lower, "lower")
+        lower = materialise(lower, "lower", most)
         jumped = skew_join(lower, lower.select(F.col("node").alias("mid"), F.col("mid").alias("far")), "mid")
-        after = materialise(jumped.select("node", F.least("mid", "far").alias("label"), "old"), "labels")
+        after = materialise(jumped.select("node", F.least("mid", "far").alias("label"), "old"), "labels", most)
         discard(lower)
         rounds = rounds and rounds - 1
         done = rounds == 0 or not after.where("label <> old").head(1)
@@ -268,7 +272,7 @@ def _rarest(docs: DataFrame, opened: DataFrame, id_col: str, text_col: str, widt
     kind = "chunk long, salt long, cells binary, counts binary"
     counted = picked.mapInArrow(count, kind).groupBy("chunk", "salt").applyInPandas(add, kind).withColumn("salt", F.lit(0).cast("long")).groupBy("chunk", "salt").applyInPandas(add, kind)
     logged = np.zeros(cells, np.uint8)  # a byte for each cell: how often, as a logarithm of eight steps an octave
-    for r in counted.toLocalIterator():
+    for r in counted.repartition(-(-cells // (CELL_CHUNK * CHUNKS))).toLocalIterator():  # a job for each partition, so few of them
         logged[r["chunk"] * CELL_CHUNK + np.frombuffer(r["cells"], np.uint16).astype(np.int64)] = np.minimum(8 * np.log2(np.frombuffer(r["counts"], np.int64) + 1.0), 255)
     shared = docs.sparkSession.sparkContext.broadcast(logged)
 
@@ -288,17 +292,17 @@ def _rarest(docs: DataFrame, opened: DataFrame, id_col: str, text_col: str, widt
     return met.select("node", "label", "n", "index", F.posexplode_outer("tokens").alias("place", "token"))
 
 
-def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Links between nodes of different components in the open buckets (step 3)."""
+def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, most: int) -> DataFrame:
+    """Links between nodes of different components in the open buckets (step 3). most: rows of docs, at most."""
     spark = docs.sparkSession
     labelled = skew_join(buckets.select("key", "node"), labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     labelled = materialise(labelled, "labelled")
-    still = materialise(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "still")
+    still = materialise(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "still", buckets.count())
     if not still.head(1):
         discard(labelled)
         return spark.createDataFrame([], "a long, b long")
     of_open = skew_join(labelled, still, "key").groupBy("node").agg(F.first("label").alias("label"))
-    opened = materialise(of_open.join(nodes.select("node", "row", "id", "n"), "node"), "opened")
+    opened = materialise(of_open.join(nodes.select("node", "row", "id", "n"), "node"), "opened", most)
     discard(labelled)
     tokens = materialise(_rarest(docs, opened, id_col, text_col, width, percent), "tokens")
     met_in = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("place") < F.col("index")).alias("indexed")).where("lo <> hi and indexed").select("token")
@@ -311,7 +315,7 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
     sizes = shown.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     state = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("major"))
     state = state.select("key", F.col("major.label").alias("major"), F.ceil((F.col("all") - F.col("major.c")) / BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ns"))
-    state = materialise(state, "open")
+    state = materialise(state, "open", met_in.count())
     rows = skew_join(shown, state, "key")
     own = lambda c: F.pmod(F.xxhash64("node", F.lit(3)), F.col(c)).cast("int")
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -329,7 +333,7 @@ def _crossing(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Dat
             yield from likely_pairs(rows, percent)
 
     pairs = materialise(dealt.mapInArrow(run, "a long, b long").distinct(), "pairs")
-    links = verified(pairs, nodes, docs, id_col, text_col, width, percent)
+    links = verified(pairs, nodes, docs, id_col, text_col, width, percent, most)
     for used in (opened, met_in, shown, state, placed, about, pairs):
         discard(used)
     return links
@@ -394,16 +398,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     prepare(docs.sparkSession)
     percent = round(threshold * 100)
     sketched = materialise(features(docs, id_col, text_col, width), "features")
+    most = sketched.count()
     first = F.first(F.struct("registers", "n", "row", "id"))
     nodes = sketched.where("n > 0").groupBy("digest").agg(first.alias("f"), F.min("id").alias("least")).select(F.monotonically_increasing_id().alias("node"), "digest", "f.*", "least")
     nodes = materialise(nodes, "nodes")  # numbers are fixed by writing them
     found = materialise(sketched.select("id", "row", "n", "digest"), "found")
     discard(sketched)
     pairs, buckets = _buckets(nodes)
-    links = verified(pairs, nodes, docs, id_col, text_col, width, percent)
+    links = verified(pairs, nodes, docs, id_col, text_col, width, percent, most)
     discard(pairs)
     labels = components(links, rounds=4)
-    more = _crossing(buckets, labels, nodes, docs, id_col, text_col, width, percent)
+    more = _crossing(buckets, labels, nodes, docs, id_col, text_col, width, percent, most)
     discard(buckets)
     discard(labels)
     labels = components(links.union(more))

@@ -34,3 +34,10 @@ def test_clear_of(spark):
     assert out.columns == ["kept_kept_A", "kept_a", "x.y", "b"]
     assert tuple(out.select(of("A"), of("x.y"), of("b")).head()) == (1, 3, 4)
     assert common.clear_of(df, "z")[0].columns == df.columns
+
+
+def test_few_rows_are_written_to_few_files(spark):
+    many = spark.range(1000).repartition(40, "id")
+    few = common.materialise(many, "few", 5000)
+    assert len(few.inputFiles()) == 2 and sorted(r["id"] for r in few.collect()) == list(range(1000))
+    assert len(common.materialise(many, "many", common.FEW_ROWS + 1).inputFiles()) > 30
