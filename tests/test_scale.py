@@ -6,8 +6,9 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from sottovoce.functions import numbers, text
-from sottovoce.operators import jumps, merkle, rounds
+from sottovoce.operators import jumps, keywords, merkle, rounds
 from sottovoce.plans import catalogue
+from sottovoce.sources.policy import EXAMPLE, Policy
 
 SF = "/root/testdata/sf0.001"
 RANGES = {"arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)], "devanagari": [(0x900, 0x97F)], "latin": [(0, 0x24F)]}
@@ -72,3 +73,17 @@ def test_few_blocks_are_held_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(rounds, "checkpointed", lambda df: seen.append(int(spark.conf.get(key))) or was(df))
     catalogue.environment_events(spark, SF)
     assert min(seen) * rounds.BLOCK <= rounds.TOGETHER and spark.conf.get(key) == before
+
+
+def test_only_texts_that_hold_a_phrase_are_split(spark):
+    assert "split(coalesce" not in plan(catalogue.phrase_hits_ranked(spark, SF)).split("CASE WHEN RLIKE(")[0]
+    rows = [("an access token",), ("an access-token",), ("xaccess token",), ("access tokens",), ("",), (None,)]
+    docs = spark.createDataFrame(rows, "t string").select("t", text.normalize(F.col("t"), latin=True).alias("n"))
+    found = keywords.exact_hits(docs, Policy(EXAMPLE | {"categories": {"c": {"weight": 0.5, "phrases": ["access token"]}}}), "t", "n")
+    assert sorted(r["t"] for r in found.collect()) == ["access tokens", "an access token", "an access-token"]
+
+
+def test_long_stretches_of_digits_and_dots_are_read_whole(spark):
+    df = spark.createDataFrame([("one 2 " * 20_000,), ("1 dot " * 20_000 + "x 1 dot 2 dot 3 dot 4",)], "t string").select(F.trim("t").alias("t"))
+    got = df.select(F.transform(numbers.digit_runs(F.col("t")), F.length).alias("n"), numbers.spoken_ipv4(F.col("t")).alias("q")).collect()
+    assert got[0]["n"] == [40_000] and got[1]["q"] == ["1.2.3.4"]
