@@ -87,3 +87,7 @@ def test_long_stretches_of_digits_and_dots_are_read_whole(spark):
     df = spark.createDataFrame([("one 2 " * 20_000,), ("1 dot " * 20_000 + "x 1 dot 2 dot 3 dot 4",)], "t string").select(F.trim("t").alias("t"))
     got = df.select(F.transform(numbers.digit_runs(F.col("t")), F.length).alias("n"), numbers.spoken_ipv4(F.col("t")).alias("q")).collect()
     assert got[0]["n"] == [40_000] and got[1]["q"] == ["1.2.3.4"]
+
+
+def test_edited_and_missing_rows_come_from_one_join(spark):
+    assert plan(catalogue.chain_tamper_detect(spark, SF)).count("Relation [") <= 6  # two less than with a join for each
