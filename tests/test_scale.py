@@ -97,7 +97,7 @@ def test_edited_and_missing_rows_come_from_one_join(spark):
     assert plan(catalogue.chain_tamper_detect(spark, SF)).count("Relation [") <= 6  # two less than with a join for each
 
 
-@pytest.mark.parametrize("query", ["severity_counts", "language_counts", "detector_quality", "csv_projection"])
+@pytest.mark.parametrize("query", ["severity_counts", "language_counts", "detector_quality", "csv_projection", "category_counts"])
 def test_numbers_are_looked_for_where_they_may_stand(spark, query):
     found = plan(catalogue.queries()[query](spark, SF))
     # one pass tells where numbers may stand, nothing looks behind every letter, and dots are only spelled out for some texts
